@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding, urlfilter
-from .common import table
+from . import exact_dedup, langid, packing, sharding, urlfilter
+from .common import crc_split, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,26 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.token_matrices(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs), ["doc_id"])
+    return found.select("doc_id", (crc_split("doc_id") == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.plan_sequences(table(spark, sf_dir, "documents"), _tokenizer(), length=4096, end_id=2)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = urlfilter.rule_table(spark, urlfilter.DEFAULT_RULES)
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -29,7 +49,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_token_matrices": op3_token_matrices,
         "op4_sharding": op4_sharding,
+        "op7_language_id": op7_language_id,
+        "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
     }
 
