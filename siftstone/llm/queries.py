@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, packing, sharding, urlfilter
+from . import decontaminate, exact_dedup, langid, minhash, packing, sharding, urlfilter
 from .common import crc_split, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_split("doc_id") == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.plan_sequences(table(spark, sf_dir, "documents"), _tokenizer(), length=4096, end_id=2)
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Query]:
         "op3_token_matrices": op3_token_matrices,
         "op4_sharding": op4_sharding,
         "op7_language_id": op7_language_id,
+        "op8_decontamination": op8_decontamination,
         "op9_packing": op9_packing,
         "op10_url_filters": op10_url_filters,
     }
