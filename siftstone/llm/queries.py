@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, minhash, packing, sharding, toxicity, urlfilter
+from . import decontaminate, exact_dedup, html, langid, minhash, packing, sharding, toxicity, urlfilter
 from .common import crc_split, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.token_matrices(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_token_matrices": op3_token_matrices,
         "op4_sharding": op4_sharding,
+        "op5_html_extraction": op5_html_extraction,
         "op6_toxicity": op6_toxicity,
         "op7_language_id": op7_language_id,
         "op8_decontamination": op8_decontamination,
