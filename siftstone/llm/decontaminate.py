@@ -99,3 +99,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce("m", F.lit(0)).alias("n_matched"),
         F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("item_ids"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    found = find_overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    same = (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
+    return docs.join(_bounded(cut(found)), same, "left_anti")

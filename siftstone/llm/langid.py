@@ -184,3 +184,13 @@ def identify(docs: DataFrame, model: LanguageModel | None, carry: list[str], tex
         return predict
 
     return map_texts(docs, text_col, carry, [("lang_pred", "string"), ("score", "double"), ("accepted", "boolean")], make)
+
+
+def keep_accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is accepted, with all their columns. Without a model nothing can be rejected."""
+    if model is None:
+        return docs
+    names = docs.columns
+    inner = docs.toDF(*[f"k{i}" for i in range(len(names))])
+    judged = identify(inner, model, inner.columns, f"k{names.index(text_col)}").where("accepted")
+    return judged.select(*[F.col(f"k{i}").alias(n) for i, n in enumerate(names)])

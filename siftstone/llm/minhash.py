@@ -213,3 +213,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
+
+
+def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one with the smallest id.
+
+    Rows that share an id stay or go together; rows with a null id stay.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    gone = cut(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
