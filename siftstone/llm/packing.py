@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import cutting_stock
-from .batches import BATCH_ROWS, as_texts, spans
+from . import tokens as token_ids
+from .batches import as_texts, spans
 from .common import cut, shuffle_width
-from .tokens import Encoder
 
+#: Bytes of text that are encoded at once: more than elsewhere, as a word is looked up once in each slice.
+TOKEN_SLICE = 3 << 20
+BATCH_ROWS = 2000
 _PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -35,10 +38,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int | Non
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = token_ids.encoder(tokenizer, end_id)
         for batch in batches:
             texts = as_texts(batch.column(1))
-            for a, b in spans(texts):
+            for a, b in spans(texts, TOKEN_SLICE):
                 ids, ends = encoder.encode(texts.slice(a, b - a))
                 sizes = np.diff(ends)
                 n = -(-sizes // length)
@@ -195,7 +198,7 @@ def token_matrices(
     schema = f"sequence_id long, doc_ids array<{kind.simpleString()}>, doc_starts array<long>, ids binary, dtype string, n_tokens int, cu_seqlens array<int>, position_resets array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = token_ids.encoder(tokenizer, end_id)
         dtype = "uint16" if encoder.tokenizer.get_vocab_size() <= 1 << 16 and pad_id < 1 << 16 else "uint32"
         ctx = TaskContext.get()
         number = (ctx.partitionId() if ctx else 0) << 32
@@ -234,7 +237,7 @@ def token_matrices(
             if types is None:
                 types = [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.int64()), pa.binary(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
             texts, doc_ids = as_texts(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in spans(texts):
+            for a, b in spans(texts, TOKEN_SLICE):
                 ids, ends = encoder.encode(texts.slice(a, b - a))
                 for i in range(b - a):
                     for s in range(int(ends[i]), int(ends[i + 1]), length):

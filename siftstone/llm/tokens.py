@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .batches import numbered, words
 
 #: Distinct words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+#: New words that are handed to the tokenizer as one text.
+JOINED = 1000
+
+_encoders: dict[tuple[str, int | None], Encoder] = {}
+
+
+def encoder(path: str, end_id: int | None = None) -> Encoder:
+    """The worker process's own encoder, with what it remembers from earlier tasks."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 class Encoder:
@@ -25,6 +37,13 @@ class Encoder:
         self.end_id = end_id
         probe = ["a b", "foo\nbar  it's 12 3", " x\t", "Über-lang\r\né"]
         self.by_word = all(self._plain([t])[0] == [i for w in t.split() for i in self._plain([w])[0]] for t in probe)
+        # Whether case is dropped, and whether a full stop or comma that ends a word is a token of its own: then such
+        # words are looked up in lower case and without it.
+        self.lowers = self.by_word and self._plain(["Foo BAR"]) == self._plain(["foo bar"])
+        self.splits_ends = self.by_word and self._plain(["foo, b1."]) == self._plain(["foo , b1 ."])
+        # A special token stands between words that are encoded as one text.
+        specials = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special]
+        self.mark = next(((c, i) for c, i in specials if self._plain([f"a {c} b"])[0] == [*self._plain(["a"])[0], i, *self._plain(["b"])[0]]), None)
         self._forget()
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
@@ -35,16 +54,32 @@ class Encoder:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 16, np.int64)
 
+    def _split(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in a row, and each word's number of ids."""
+        mark = self.mark
+        if mark is not None and not any(mark[0][:2] in w for w in new):
+            joined = (f" {mark[0]} ".join([*new[i : i + JOINED], ""]) for i in range(0, len(new), JOINED))
+            ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, np.uint32) for t in joined])
+            at = np.flatnonzero(ids == mark[1])
+            if len(at) == len(new):
+                return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+        plain = self._plain(new)
+        sizes = np.fromiter(map(len, plain), np.int64, len(plain))
+        return np.fromiter((i for x in plain for i in x), np.uint32, int(sizes.sum())), sizes
+
     def _learn(self, new: list[str]) -> None:
-        lists = self._plain(new)
+        marked = [w for w in new if self.mark and self.mark[0][:2] in w]
+        if marked and len(marked) < len(new):
+            self._learn(marked)
+            new = [w for w in new if w not in self.number]
+        ids, sizes = self._split(new)
         n, base = len(self.number), self.ends[len(self.number) - 1] if self.number else 0
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(base + sizes.sum())
+        total = int(base + len(ids))
         while total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(new) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[base:total] = np.fromiter((i for x in lists for i in x), np.uint32, total - base)
+        self.ids[base:total] = ids
         self.ends[n : n + len(new)] = base + np.cumsum(sizes)
         self.number.update(zip(new, range(n, n + len(new)), strict=True))
 
@@ -55,7 +90,11 @@ class Encoder:
             parts = [np.array(x + [self.end_id] * tail, np.uint32) for x in lists]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
             return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), ends
-        flat, word_ends = words(texts, lower=False)
+        if self.splits_ends:
+            texts = pc.replace_substring_regex(texts, r"([A-Za-z0-9])([.,])(\s|$)", r"\1 \2\3")
+        # No lowering where a special token may be spelled in capitals: it is none then.
+        lower = self.lowers and not pc.any(pc.match_substring(texts, "<"), min_count=0).as_py()
+        flat, word_ends = words(texts, lower)
         at, distinct = numbered(flat)
         if len(self.number) > REMEMBERED:
             self._forget()
