@@ -1,0 +1,148 @@
+"""Stability of clusterings under perturbation. All noise is hashed from row ids, so runs repeat."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.expressions import hash_laplace, hash_normal, hash_uniform
+from . import agreement, clustering, distances
+
+#: Perturbations of a full test: kind, level, repeats. Fixed values.
+SCHEDULE = (
+    ("bootstrap", 1.0, 10),
+    ("gaussian", 0.01, 3),
+    ("gaussian", 0.05, 3),
+    ("gaussian", 0.1, 3),
+    ("gaussian", 0.2, 3),
+    ("laplace", 0.05, 3),
+    ("laplace", 0.1, 3),
+    ("feature_dropout", 0.1, 3),
+    ("feature_dropout", 0.2, 3),
+    ("subset", 0.8, 3),
+    ("subset", 0.9, 3),
+)
+
+Fit = Callable[[DataFrame], DataFrame]
+
+
+def perturb(df: DataFrame, id_col: str, features: list[str], kind: str, level: float, run: int) -> DataFrame:
+    """One perturbed copy: noise in units of each column's deviation, zeroed columns, or a sample of rows."""
+    if kind in ("bootstrap", "subset"):
+        share = 0.632 if kind == "bootstrap" else level  # distinct rows of a draw with replacement
+        return df.where(hash_uniform(F.col(id_col), f"{kind}{run}") < share)
+    if kind == "feature_dropout":
+        if len(features) <= 2:
+            return df
+        n = max(1, int(len(features) * level))
+        start = (run * 7) % len(features)
+        gone = {features[(start + i) % len(features)] for i in range(n)}
+        return df.withColumns({f: F.lit(0.0) for f in gone})
+    spread = df.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
+    noise = hash_normal if kind == "gaussian" else hash_laplace
+    return df.withColumns({f: F.col(f) + F.lit(level * float(spread[f] or 0)) * noise(F.col(id_col), f"{kind}{run}{f}") for f in features})
+
+
+def stability_test(df: DataFrame, id_col: str, features: list[str], fit: Fit, schedule=SCHEDULE) -> list[dict]:
+    """Agreement of the clustering of each perturbed copy with that of the table: one dict per run."""
+    base, out, number = fit(df).persist(), [], 0
+    for kind, level, repeats in schedule:
+        for _ in range(repeats):
+            number += 1
+            got = fit(perturb(df, id_col, features, kind, level, number))
+            cells = agreement.contingency(base, got, "id", "label").persist()
+            row = agreement.scores(cells).first()
+            out.append({"run": number, "kind": kind, "level": level, "ari": float(row.ari) if row else 0.0, "nmi": float(row.nmi) if row else 0.0, "ami": agreement.adjusted_mutual_information(cells), "jaccard": agreement.greedy_jaccard(cells)})
+            cells.unpersist()
+    return out
+
+
+def stability_score(runs: DataFrame) -> DataFrame:
+    """mean_ari, std_ari, mean_ami, persistence -> score (0 to 100) and grade, from (ari, ami, jaccard) rows."""
+    one = runs.agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.avg("ami").alias("mean_ami"), F.avg("jaccard").alias("persistence"))
+    score = 40 * F.greatest("mean_ari", F.lit(0.0)) + 15 * F.greatest(1 - 3 * F.col("std_ari"), F.lit(0.0)) + 25 * F.greatest("mean_ami", F.lit(0.0)) + 20 * F.col("persistence")
+    return one.withColumn("score", score).withColumn("grade", stability_grade(F.col("score")))
+
+
+def stability_grade(score: Column) -> Column:
+    return F.when(score >= 80, "Highly Stable").when(score >= 65, "Stable").when(score >= 45, "Moderately Stable").when(score >= 25, "Unstable").otherwise("Highly Unstable")
+
+
+def by_regime(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("kind").agg(F.round(F.avg("ari"), 4).alias("mean_ari"), F.round(F.avg("ami"), 4).alias("mean_ami"), F.round(F.avg("nmi"), 4).alias("mean_nmi"), F.count(F.lit(1)).alias("n"))
+
+
+def persistence(cells_by_run: DataFrame, survive: float = 0.6) -> DataFrame:
+    """From (run, la, lb, n): mean and deviation of each cluster's best Jaccard, and the share of runs it survives."""
+    best = agreement.best_jaccard(cells_by_run, ["run"])
+    return best.groupBy("la").agg(F.avg("jaccard").alias("mean_jaccard"), F.stddev_pop("jaccard").alias("std_jaccard"), F.avg((F.col("jaccard") >= survive).cast("double")).alias("survival"))
+
+
+def noise_response(levels: DataFrame) -> DataFrame:
+    """auc: trapezoid of mean ARI over the noise level; half_level: the first level with ARI below half of the first."""
+    mean = levels.groupBy("level").agg(F.avg("ari").alias("ari"))
+    w = Window.orderBy("level")
+    step = mean.withColumn("_a", (F.col("level") - F.lag("level").over(w)) * (F.col("ari") + F.lag("ari").over(w)) / 2).withColumn("_0", F.first("ari").over(w))
+    return step.agg(F.sum("_a").alias("auc"), F.min(F.when(F.col("ari") < F.col("_0") / 2, F.col("level"))).alias("half_level"))
+
+
+def confidence(df: DataFrame, id_col: str, label: str, features: list[str], k: int = 15) -> DataFrame:
+    """.6 (silhouette + 1) / 2 + .4 share of k neighbours with the same label: id, confidence."""
+    from .metrics import silhouette_samples
+
+    sil = silhouette_samples(df, id_col, label, features).select("id", "silhouette")
+    a, b = (df.select(F.col(id_col).alias(i), F.col(label).alias(n)) for i, n in (("id", "la"), ("neighbour", "lb")))
+    near = distances.knn(df, id_col, features, k).join(a, "id").join(b, "neighbour").groupBy("id").agg(F.avg((F.col("la") == F.col("lb")).cast("double")).alias("same"))
+    return sil.join(near, "id").select("id", (0.6 * (F.col("silhouette") + 1) / 2 + 0.4 * F.col("same")).alias("confidence"))
+
+
+def cv_stability(df: DataFrame, id_col: str, features: list[str], k: int, folds: int = 5, seed: int = 42) -> list[float]:
+    """ARI between the labels that the centroids of each two folds give the second fold."""
+    parts = df.withColumn("_f", clustering.hashed_fold(id_col, folds, seed)).persist()
+    centres = [clustering.kmeans_fit(parts.where(F.col("_f") == i), id_col, features, k, seed, 3)[0] for i in range(folds)]
+    out = []
+    for i in range(folds):
+        for j in range(folds):
+            if i != j:
+                rows = parts.where(F.col("_f") == j)
+                out.append(clustering.reference_ari(*[clustering._assign(rows, id_col, features, centres[c]) for c in (i, j)]))
+    return out
+
+
+def temporal_stability(df: DataFrame, id_col: str, features: list[str], order: str, fit: Fit, steps: int = 5) -> list[float]:
+    """ARI of each growing prefix's clustering with the one before, over the rows of both."""
+    at = df.agg(*[F.percentile(order, F.lit((i + 1) / steps)).alias(f"p{i}") for i in range(steps)]).first()
+    got = [fit(df.where(F.col(order) <= at[i])).persist() for i in range(steps)]
+    return [clustering.reference_ari(a, b) for a, b in zip(got, got[1:], strict=False)]
+
+
+def subspace_stability(df: DataFrame, id_col: str, features: list[str], fit: Callable[[DataFrame, list[str]], DataFrame], rounds: int = 20, share: float = 0.7) -> list[float]:
+    base, out = fit(df, features).persist(), []
+    for r in range(rounds):
+        n = max(1, int(len(features) * share))
+        use = sorted(features, key=lambda f: (len(f) * (r + 3) + sum(map(ord, f)) * (2 * r + 1)) % 101)[:n]
+        out.append(clustering.reference_ari(base, fit(df, use)))
+    return out
+
+
+def feature_importance(df: DataFrame, id_col: str, features: list[str], fit: Fit) -> dict[str, float]:
+    """1 - ARI when a feature is zeroed, scaled to sum 1."""
+    base = fit(df).persist()
+    raw = {f: 1 - clustering.reference_ari(base, fit(df.withColumn(f, F.lit(0.0)))) for f in features}
+    total = sum(raw.values())
+    return {f: v / total if total > 0 else 1 / len(features) for f, v in raw.items()}
+
+
+def migration(runs: DataFrame, first: str, second: str, id_col: str = "row_id") -> DataFrame:
+    """Share of each cluster's rows that leave its best match in the second run: la, rate."""
+    cells = agreement.contingency(runs.where(F.col("run") == first), runs.where(F.col("run") == second), id_col, "label", noise=True)
+    return cells.groupBy("la").agg((1 - F.max("n") / F.sum("n")).alias("rate"))
+
+
+def pairs_of(items: list) -> Iterator[tuple]:
+    for i, a in enumerate(items):
+        for b in items[i + 1 :]:
+            yield a, b
