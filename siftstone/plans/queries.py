@@ -764,3 +764,102 @@ def perturb_gaussian(spark, d):
 @query(f"SELECT c_custkey, {_r(_u('c_custkey', '7'))} AS u FROM customer")
 def hashed_uniform(spark, d):
     return rounded(read(spark, d, "customer").select("c_custkey", hash_uniform(F.col("c_custkey"), 7).alias("u")))
+
+
+# Whole fits: what they converge to depends on seeds and sums, so rows are checked by tests and not by SQL.
+
+
+def _fit(name: str, **params):
+    def run(spark, d):
+        from .registry import REGISTRY
+
+        a = REGISTRY[name]
+        return a.fit(points(spark, d), "row_id", FEATURES, **{**a.defaults, **params}).select(F.col("id").alias("row_id"), "label")
+
+    run.__name__ = f"fit_{name}"
+    query()(run)
+
+
+for _name in (
+    "kmeans kmeans_pp minibatch_kmeans bisecting_kmeans repeated_bisecting kmedoids clara k_harmonic_means agglomerative_ward agglomerative_complete agglomerative_average agglomerative_single diana_divisive "
+    "gmm_full gmm_tied gmm_diag gmm_spherical spectral_kmeans spectral_discretize spectral_cluster_qr sparse_spectral spectral_biclustering spectral_coclustering projected_kmeans autoencoder_kmeans isomap_kmeans "
+    "lle_kmeans fuzzy_cmeans possibilistic_cmeans ensemble_voting random_subspace_ensemble online_gmm"
+).split():
+    _fit(_name, k=5)
+for _name, _params in {
+    "kmeans_auto": {"k_max": 8}, "xmeans": {"k_max": 8}, "gmeans": {"k_max": 8}, "dip_means": {"k_max": 6}, "birch": {"threshold": 0.1, "k": 5}, "optics": {}, "hdbscan": {}, "mean_shift": {}, "denclue": {"h": 0.1},
+    "bgmm": {"k": 6}, "affinity_propagation": {"preference": -0.5}, "som_clustering": {"rounds": 5}, "umap_hdbscan": {}, "robust_cc": {}, "clique_subspace": {"share": 0.02}, "sting_grid": {"cells": 6, "share": 0.01},
+}.items():
+    _fit(_name, **_params)
+
+
+# Density clustering has one right answer.
+
+_EPS = POINTS + f""", e AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p b ON {DIST} <= 0.12), core AS (SELECT i FROM e GROUP BY 1 HAVING count(*) >= 5),
+  ce AS (SELECT i, j FROM e WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
+  reach(i, c) AS (SELECT i, i FROM core UNION SELECT ce.j, reach.c FROM reach JOIN ce ON ce.i = reach.i), comp AS (SELECT i, min(c) AS c FROM reach GROUP BY 1),
+  lab AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM comp)),
+  bord AS (SELECT e.i, min(c) AS c FROM e JOIN comp ON e.j = comp.i WHERE e.i NOT IN (SELECT i FROM core) GROUP BY 1), al AS (SELECT * FROM comp UNION ALL SELECT * FROM bord)"""
+
+
+@query(f"WITH RECURSIVE {_EPS} SELECT p.row_id, CAST(coalesce(lab.label, -1) AS INTEGER) AS label FROM p LEFT JOIN al ON al.i = p.row_id LEFT JOIN lab ON lab.c = al.c")
+def fit_dbscan(spark, d):
+    from ..operators import clustering
+
+    return clustering.dbscan(points(spark, d), "row_id", FEATURES, 0.12, 5).select(F.col("id").alias("row_id"), "label")
+
+
+@query(
+    f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p b ON {DIST} <= 0.07), reach(i, c) AS (SELECT row_id, row_id FROM p UNION SELECT e.j, reach.c FROM reach JOIN e ON e.i = reach.i),
+    comp AS (SELECT i, min(c) AS c FROM reach GROUP BY 1), lab AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM comp)) SELECT i AS row_id, CAST(label AS INTEGER) AS label FROM comp JOIN lab USING (c)"""
+)
+def fit_threshold_clustering(spark, d):
+    from ..operators import clustering
+
+    return clustering.threshold_clustering(points(spark, d), "row_id", FEATURES, 0.07).select(F.col("id").alias("row_id"), "label")
+
+
+@query(f"WITH {POINTS} SELECT a.row_id AS id, {_r(f'avg(exp(-1 * ({DIST}) ** 2 / 0.02))')} AS density FROM p a CROSS JOIN p b GROUP BY 1")
+def kernel_density(spark, d):
+    from ..operators import clustering
+
+    return rounded(clustering.kernel_density(points(spark, d), "row_id", FEATURES, 0.1))
+
+
+@query(
+    f"""WITH {CENTRES}, d AS (SELECT a.row_id, a.f1, a.f2, a.f3, a.f4, b.label, row_number() OVER (PARTITION BY a.row_id ORDER BY {DIST}, b.label) AS r FROM p a CROSS JOIN c b)
+    SELECT label, count(*) AS n, {_r('avg(f1)')} AS f1, {_r('avg(f2)')} AS f2, {_r('avg(f3)')} AS f3, {_r('avg(f4)')} AS f4 FROM d WHERE r = 1 GROUP BY label"""
+)
+def kmeans_step(spark, d):
+    centres = distances.centroid_array(noisy(spark, d), "label", FEATURES)
+    near = distances.nearest_centroid(points(spark, d), centres, FEATURES, "label", "_d")
+    return rounded(near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in FEATURES]))
+
+
+@query(
+    f"""WITH {CENTRES}, m AS (SELECT a.row_id, b.label, 1 / ({DIST}) ** 2 AS u, a.f1, a.f2 FROM p a CROSS JOIN c b), w AS (SELECT *, (u / sum(u) OVER (PARTITION BY row_id)) ** 2 AS w FROM m)
+    SELECT label, {_r('sum(w * f1) / sum(w)')} AS f1, {_r('sum(w * f2) / sum(w)')} AS f2 FROM w GROUP BY label"""
+)
+def fuzzy_step(spark, d):
+    import numpy as np
+
+    from ..operators import clustering
+
+    centres = distances.centroid_array(noisy(spark, d), "label", FEATURES)
+    new = clustering.fuzzy_step(points(spark, d), FEATURES, np.array([c for _, c in centres]))
+    return rounded(spark.createDataFrame([(k, float(v[0]), float(v[1])) for (k, _), v in zip(centres, new, strict=True)], "label int, f1 double, f2 double"))
+
+
+@query(
+    f"""WITH {CENTRES}, d AS (SELECT a.row_id % 3 AS client, a.f1, a.f2, b.label, row_number() OVER (PARTITION BY a.row_id ORDER BY {DIST}, b.label) AS r FROM p a CROSS JOIN c b)
+    SELECT label, {_r('avg(f1)')} AS f1, {_r('avg(f2)')} AS f2 FROM d WHERE r = 1 GROUP BY label"""
+)
+def federated_step(spark, d):
+    import numpy as np
+
+    from ..operators import clustering
+
+    centres = distances.centroid_array(noisy(spark, d), "label", FEATURES)
+    rows = points(spark, d).withColumn("client", F.col("row_id") % 3)
+    new = clustering.federated_kmeans(rows, "client", FEATURES, np.array([c for _, c in centres]), rounds=1)
+    return rounded(spark.createDataFrame([(k, float(v[0]), float(v[1])) for (k, _), v in zip(centres, new, strict=True)], "label int, f1 double, f2 double"))
