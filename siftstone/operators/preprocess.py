@@ -356,7 +356,7 @@ def vif(df: DataFrame, columns: list[str]) -> dict[str, float]:
     _, cov, _ = profile.covariance(df, columns)
     c = np.array(cov)
     d = np.sqrt(np.maximum(np.diag(c), 1e-300))
-    return dict(zip(columns, np.diag(np.linalg.pinv(c / np.outer(d, d))).tolist(), strict=True))
+    return dict(zip(columns, np.diag(np.linalg.inv(c / np.outer(d, d) + 1e-9 * np.eye(len(columns)))).tolist(), strict=True))
 
 
 def remove_collinear(df: DataFrame, columns: list[str], most: float = 10.0, least: int = 2) -> list[str]:
