@@ -7,9 +7,12 @@ signature propose candidates; every link is confirmed on the full sets.
 
 Within a bucket not all pairs are proposed. Documents with the same set are one
 node from the start. First each node meets only the bucket's smallest node.
-After the components of those links are known, nodes outside a bucket's largest
-component meet the bucket's nodes in other components. What is never compared
-is already connected, so components are those of all candidate pairs.
+Where a bucket then holds several components, each node meets its neighbours in
+two sorted orders of the bucket, which joins most of what belongs together. At
+last, nodes outside a bucket's largest component meet the bucket's nodes in
+other components, once for each pair, and only those whose signatures leave the
+threshold possible. What is never compared is already connected or too far
+apart, so components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .batches import as_texts, map_texts, numbered, words
 from .common import cut
@@ -30,6 +35,10 @@ from .components import connected_components
 
 #: Rows of a band, and the chance that a pair at the threshold meets in no band.
 BAND_ROWS, MISS = 4, 1e-5
+#: Signature bits for the last comparison, and the deviations beyond what the threshold gives that rule a pair out (chance 3e-7).
+BITS, DEVIATIONS = 256, 5
+#: Neighbours on each side in a bucket's sorted orders.
+REACH = 2
 #: Ids up to which a set of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Word hashes that a worker remembers before it starts afresh.
@@ -101,7 +110,7 @@ class Shingler:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n`` (size of the set), ``digest`` (of the sorted set; null if empty) and ``bands`` (one hash each)."""
+    """``id, n`` (size of the set), ``digest`` (of the sorted set; null if empty), ``bands`` (one hash each) and ``bits`` (one bit of each of BITS coordinates)."""
 
     def make():
         shingle = Shingler(width)
@@ -115,21 +124,26 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text
                 sizes[i] = len(own)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
             full = np.flatnonzero(sizes)
-            keys = np.zeros((0, bands), np.uint64)
+            keys, bits = np.zeros((0, bands), np.uint64), np.zeros((0, BITS // 64), np.int64)
             if len(full):
-                sig = signatures(hashes, ends[full], bands * rows).reshape(bands, rows, len(full)).astype(np.uint64)
+                every = signatures(hashes, ends[full], max(bands * rows, BITS))
+                bits = np.ascontiguousarray(np.packbits((every[:BITS].T >> np.uint32(7) & np.uint32(1)).astype(bool), axis=1)).view(np.int64)
+                sig = every[: bands * rows].reshape(bands, rows, len(full)).astype(np.uint64)
                 key = np.repeat(salt, len(full), axis=1)
                 for j in range(rows):
                     key = (key ^ sig[:, j]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(32)
                 keys = key.T
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            return [pa.array(sizes), pa.array(digests, pa.binary()), lists]
+
+            def lists(each: int, flat: np.ndarray) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, each, 0))]), pa.int32()), pa.array(flat))
+
+            return [pa.array(sizes), pa.array(digests, pa.binary()), lists(bands, keys.reshape(-1).view(np.int64)), lists(BITS // 64, bits.reshape(-1))]
 
         return run
 
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_texts(named, "text", ["id"], [("n", "long"), ("digest", "binary"), ("bands", "array<bigint>")], make)
+    return map_texts(named, "text", ["id"], [("n", "long"), ("digest", "binary"), ("bands", "array<bigint>"), ("bits", "array<bigint>")], make)
 
 
 def shingle_set(text: str, width: int) -> set[bytes]:
@@ -182,31 +196,61 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     bands = band_count(percent, rows)
     every = cut(sketch(docs, width, bands, rows, id_col, text_col))
-    nodes = every.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.min_by("bands", "id").alias("bands"))
-    nodes = cut(nodes)
+    nodes = cut(
+        every.where("digest IS NOT NULL AND id IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min("id").alias("node"), F.max("n").alias("n"), F.min_by("bands", "id").alias("bands"), F.min_by("bits", "id").alias("bits"))
+    )
     entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     hubs = entries.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     shared = cut(entries.join(hubs, ["band", "key"]))
 
-    def alike(x: str, y: str):
+    def alike(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    first = shared.where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(confirm(cut(first), docs, width, percent, id_col, text_col))
-    # Nodes of different digests may share an id (rows that repeat an id); equal ids are one node throughout.
-    found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labelled = shared.join(found.withColumnRenamed("id", "node"), "node", "left").select("band", "key", "node", "n", F.coalesce("component", "node").alias("comp"))
-    sizes = labelled.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"))
-    inside = cut(labelled.join(mixed, ["band", "key"]))
-    minor = inside.where("comp != top").select("band", "key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-    cross = minor.join(inside, ["band", "key"]).where((F.col("comp") != F.col("cx")) & alike("n", "nx") & (F.col("node") != F.col("x")))
-    tried = first.select("a", "b")
-    second = cross.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    second = cut(second)
+    p = (1 - percent / 100) / 2  # that a bit of the signatures differs at the threshold
+    most = math.floor(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+    def near(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64)), F.lit(0)) <= most
+
+    def checked(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+
+    def mixed_buckets(found: DataFrame) -> DataFrame:
+        """Entries of buckets that hold several components, with their node's component and the bucket's largest one."""
+        labelled = shared.select("band", "key", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("comp"))
+        sizes = labelled.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"))
+        return cut(labelled.join(mixed, ["band", "key"]).join(nodes.select("node", "n", "bands", "bits"), "node"))
+
+    def components(links: DataFrame) -> DataFrame:
+        return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    first = checked(shared.where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")), None)
+    links = cut(confirm(first, docs, width, percent, id_col, text_col))
+    found = components(links)
+
+    inside, steps = mixed_buckets(found), []
+    for order in (F.col("bands")[(F.col("band") + 1) % bands], F.col("bits")):
+        row = Window.partitionBy("band", "key").orderBy(order, "node")
+        for k in range(1, REACH + 1):
+            steps.append(inside.withColumn("o", F.lag(F.struct("node", "n", "comp", "bits"), k).over(row)).where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n") & near("bits", "o.bits")).select(F.col("node").alias("a"), F.col("o.node").alias("b")))
+    second = checked(reduce(DataFrame.unionByName, steps), first)
     if not second.isEmpty():
-        links = links.unionByName(confirm(second, docs, width, percent, id_col, text_col))
-        found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        links = cut(links.unionByName(confirm(second, docs, width, percent, id_col, text_col)))
+        found = components(links)
+        inside = mixed_buckets(found)
+
+    minor = inside.where("comp <> top").select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", "bands", "bits")])
+    once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("x_node"))  # of two minor nodes one order is enough
+    at_first = F.array_position(F.zip_with("bands", "x_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    cross = minor.join(inside, ["band", "key"]).where((F.col("comp") != F.col("x_comp")) & once & alike("n", "x_n") & near("bits", "x_bits") & at_first)
+    third = checked(cross.select(F.col("node").alias("a"), F.col("x_node").alias("b")), first.unionByName(second))
+    if not third.isEmpty():
+        links = links.unionByName(confirm(third, docs, width, percent, id_col, text_col))
+        found = components(links)
     label = nodes.select("digest", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     return (
         every.join(label, "digest", "left")
