@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.expressions import squared_distance, vector
+from ..functions.expressions import squared_distance, vector  # noqa: F401
 
 #: Rows that may be broadcast or collected as a dense matrix.
 MAX_REFERENCE = 20_000
@@ -54,8 +54,11 @@ def centroid_array(df: DataFrame, label: str, features: list[str], limit: int =
 
 def nearest_centroid(df: DataFrame, centres: list[tuple[int, list[float]]], features: list[str], label: str = "cluster", distance: str = "distance") -> DataFrame:
     """Each row with its nearest centre; ties go to the smaller label. Centres are literals: no join, no shuffle."""
-    x = vector(features)
-    options = F.array(*[F.struct(F.sqrt(squared_distance(x, F.array(*[F.lit(float(v)) for v in c]))).alias("d"), F.lit(k).alias("k")) for k, c in centres])
+
+    def away(c: list[float]) -> Column:  # plain arithmetic, which is compiled; functions over arrays are interpreted
+        return F.sqrt(sum(((F.col(f) - F.lit(float(v))) * (F.col(f) - F.lit(float(v))) for f, v in zip(features, c, strict=True)), F.lit(0.0)))
+
+    options = F.array(*[F.struct(away(c).alias("d"), F.lit(k).alias("k")) for k, c in centres])
     best = F.array_min(options)
     return df.withColumn("_best", best).withColumn(label, F.col("_best.k")).withColumn(distance, F.col("_best.d")).drop("_best")
 
@@ -135,16 +138,19 @@ def radius_pairs(df: DataFrame, id_col: str, features: list[str], eps: float, gr
     A range join by grid: cells of side eps over the first dimensions; each
     point meets the points of its own and adjacent cells by equality.
     """
-    dims = features[:grid_dims]
-    points = df.select(F.col(id_col).alias("id"), vector(features).alias("x"), *[F.floor(F.col(f) / F.lit(eps)).cast("long").alias(f"g{i}") for i, f in enumerate(dims)])
-    around = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(offset)]) for offset in itertools.product((-1, 0, 1), repeat=len(dims))])
-    probes = points.withColumn("o", F.explode(around)).select("id", "x", *[(F.col(f"g{i}") + F.col(f"o.o{i}")).alias(f"g{i}") for i in range(len(dims))])
+    dims, n = features[:grid_dims], len(features)
     keys = [f"g{i}" for i in range(len(dims))]
-    right = points.select(F.col("id").alias("neighbour"), F.col("x").alias("y"), *keys)
-    met = probes.join(right, keys).withColumn("distance", F.sqrt(squared_distance(F.col("x"), F.col("y"))))
+    points = df.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], *[F.floor(F.col(f) / F.lit(eps)).cast("long").alias(f"g{i}") for i, f in enumerate(dims)])
+    around = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(offset)]) for offset in itertools.product((-1, 0, 1), repeat=len(dims))])
+    xs = [f"x{i}" for i in range(n)]
+    probes = points.withColumn("o", F.explode(around)).select("id", *xs, *[(F.col(k) + F.col(f"o.o{i}")).alias(k) for i, k in enumerate(keys)])
+    right = points.select(F.col("id").alias("neighbour"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(n)], *keys)
+    # Plain arithmetic over columns: compiled into the join.
+    square = sum(((F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}")) for i in range(n)), F.lit(0.0))
+    met = probes.join(right, keys)
     if not keep_self:
         met = met.where("id <> neighbour")
-    return met.where(F.col("distance") <= eps).select("id", "neighbour", "distance")
+    return met.where(F.sqrt(square) <= eps).select("id", "neighbour", F.sqrt(square).alias("distance"))
 
 
 def pair_block(df: DataFrame, label: str, features: list[str]) -> DataFrame:
