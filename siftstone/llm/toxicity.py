@@ -32,6 +32,8 @@ SPAN, DECAY, WINDOW = 7, 0.8, 12
 #: Offsets of the 2nd to 4th letter, and the factor for what they skip.
 SUBSEQUENCES = [(o, DECAY ** (o[-1] - 3)) for o in itertools.combinations(range(1, SPAN), 3)]
 CODES = 1 << 20
+#: The code of what stands between words; it takes part in subsequences, so that a short word has more than its letters.
+GAP = 28
 #: Letters that count as a sentence of a clean text in training.
 SENTENCE = 200
 #: Characters that stand for letters beside a letter: fixed values.
@@ -56,9 +58,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def letter_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of all texts in a row, WINDOW zeros after each; where each begins.
+    """Letter codes of all texts in a row, each between two GAPs and followed by zeros, WINDOW with the second GAP; where each begins.
 
-    Runs of other characters become one zero, and none between letters that
+    Runs of other characters become one GAP, and none between letters that
     stand alone: spelled-out words are joined.
     """
     code, alike = _tables()
@@ -89,7 +91,11 @@ def letter_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     joint[1:-1] = zero[1:-1] & alone[:-2] & alone[2:] & ~end[1:-1]
     shift = np.cumsum(joint)
     starts = starts - np.where(starts > 0, shift[np.maximum(starts - 1, 0)], 0)
-    return x[~joint], starts
+    x, end = x[~joint], end[~joint]
+    x[(x == 0) & ~end] = GAP
+    if n:
+        x[np.append(starts[1:], len(x)) - WINDOW] = GAP
+    return np.insert(x, starts, GAP), starts + np.arange(n)
 
 
 def _features(x: np.ndarray):
@@ -180,22 +186,44 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 224, background: in
     y = np.where(np.array(toxic) > 0, 1, -1)
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.zeros(CODES, np.float32), 0.0, 0.0, -50.0 if not (y > 0).any() else 50.0)
-    seen = {1: Counter(), -1: Counter()}
-    for t, label in zip(texts, y.tolist(), strict=True):
-        words = {w for w in re.findall(r"[^\W\d_]+", t.lower()) if 3 < len(w) <= 24}
-        seen[label].update(words | {w[:k] for w in words for k in (4, 5, 6)})  # stems, too
     n_pos, n_neg = (y > 0).sum(), (y < 0).sum()
-    odds = {w: (np.log((k + 0.5) / (n_pos + 1)) - np.log((seen[-1][w] + 0.5) / (n_neg + 1))) * k**0.5 for w, k in seen[1].items() if k > 2 or n_pos < 100}
+
+    def words(text: str) -> set[str]:
+        return {w for w in re.findall(r"[^\W\d_]+", text.lower()) if 3 < len(w) <= 24}
+
+    # Candidates come from toxic texts; clean ones count only these, so that the clean vocabulary takes no memory.
+    bad: Counter[str] = Counter()
+    full: Counter[str] = Counter()
+    for t in (t for t, label in zip(texts, y.tolist(), strict=True) if label > 0):
+        own = words(t)
+        bad.update(own | {w[:k] for w in own for k in (4, 5, 6)})  # stems, too
+        full.update(own)
+    bad = Counter({w: k for w, k in bad.items() if k > 2 or n_pos < 100})
+    stems = {w for w in bad if full[w] < bad[w]}
+    del full
+    good: Counter[str] = Counter()
+    usual: Counter[str] = Counter()
+    for i, t in enumerate(t for t, label in zip(texts, y.tolist(), strict=True) if label < 0):
+        own = words(t)
+        good.update(w for w in own | {w[:k] for w in own for k in (4, 5, 6)} if w in bad)
+        if i < 300:
+            usual.update(own)
+    odds = {w: (np.log((k + 0.5) / (n_pos + 1)) - np.log((good[w] + 0.5) / (n_neg + 1))) * k**0.5 for w, k in bad.items()}
     marks = sorted(odds, key=lambda w: (-odds[w], w))[:landmarks]
-    marks += [w for w, _ in sorted(seen[-1].items(), key=lambda i: (-i[1], i[0])) if w not in set(marks)][:background]
+    marks += [w for w, _ in sorted(usual.items(), key=lambda i: (-i[1], i[0])) if w not in set(marks)][:background]
     # Landmarks as rows of subsequence weights over the subsequences that any of them has.
     x, starts = letter_stream(pa.array(marks, pa.string()))
+    # Stems have no gap after them.
+    whole = np.array([w in usual or w not in stems for w in marks])
+    ends = np.append(starts[1:], len(x)) - WINDOW
+    x[ends[~whole]] = 0
     owner = np.searchsorted(starts, np.arange(len(x)), side="right") - 1
     number, who, weight = (np.concatenate(v) for v in zip(*[(f[f > 0], owner[f > 0], np.full((f > 0).sum(), w)) for f, w in _features(x)], strict=True))
     known, column = np.unique(number, return_inverse=True)
     rows = np.zeros((len(marks), len(known) + 1), np.float32)
     np.add.at(rows, (who, column), weight)
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    size = np.maximum(np.linalg.norm(rows, axis=1), 1e-9)
+    rows /= size[:, None]
     values, vectors = np.linalg.eigh((rows @ rows.T).astype(np.float64))
     good = values > 1e-3 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
@@ -207,7 +235,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 224, background: in
     stops = np.maximum(np.append(begin[1:], len(stream)) - WINDOW, begin + 1)
     table = np.zeros(CODES, np.float32)
     strength = np.array([odds[w] if i < landmarks and w in odds else 0.0 for i, w in enumerate(marks)])
-    lean = (strength / max(strength.max(), 1e-9)) ** 2
+    lean = (strength / max(strength.max(), 1e-9)) ** 2 / size  # a whole word counts alike, short or long
     table[known] = (lean @ rows)[:-1]
     bias = 0.0
     # Sentences of toxic texts that look worse than nearly all clean texts do count as toxic beside the worst one.
@@ -237,7 +265,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 224, background: in
         cut_at = rng.integers(1, WINDOW - 1, len(broken))[:, None]
         place_at = np.arange(broken.shape[1])[None, :]
         broken = np.where(place_at <= cut_at, broken, np.roll(broken, 1, axis=1))
-        np.put_along_axis(broken, cut_at, rng.choice([0, *range(1, 27)], cut_at.shape, p=[0.5] + [0.5 / 26] * 26).astype(np.uint8), axis=1)
+        np.put_along_axis(broken, cut_at, rng.choice([GAP, *range(1, 27)], cut_at.shape, p=[0.5] + [0.5 / 26] * 26).astype(np.uint8), axis=1)
         windows, label = np.concatenate([windows, broken]), np.concatenate([label, np.ones(len(broken), int)])
         near = np.zeros((len(windows), rows.shape[0]), np.float32)
         for lo in range(0, len(windows), 2000):
@@ -258,7 +286,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 224, background: in
     return ToxicityModel(table, bias, *_logistic(margins, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000, max_bytes: int = 20_000) -> ToxicityModel | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500, max_bytes: int = 20_000) -> ToxicityModel | None:
     """Fit on about ``per_class`` toxic and as many clean labelled documents outside the held-out fold, of at most ``max_bytes`` each.
 
     They are chosen by a hash of the id. None if no label is known.
