@@ -36,7 +36,7 @@ from .components import connected_components
 #: Rows of a band, and the chance that a pair at the threshold meets in no band.
 BAND_ROWS, MISS = 4, 1e-5
 #: Signature bits for the last comparison, and the deviations beyond what the threshold gives that rule a pair out (chance 3e-7).
-BITS, DEVIATIONS = 256, 5
+BITS, DEVIATIONS = 1536, 5
 #: Neighbours on each side in a bucket's sorted orders.
 REACH = 2
 #: Ids up to which a set of them is broadcast (8 bytes each).
