@@ -105,14 +105,16 @@ def filter_urls(
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
     probes = distinct.select("host", "path", F.posexplode(parents).alias("_depth", "rkey"))
     hosts = keyed.select("rkey").distinct()
-    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
+    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    hosts = F.broadcast(hosts) if few else hosts
     probes = probes.join(hosts, "rkey", "left_semi")
 
     # A host's urls are dealt over as many cells as its share of all lookups asks for; its rules go to each of them.
     width = 4 * shuffle_width(spark)
     fair = max(64, -(-pages.count() // width))
     ways = probes.groupBy("rkey").agg(F.ceil(F.count(F.lit(1)) / F.lit(fair)).cast("int").alias("_ways"))
+    # One row for each rule host at most, as in ``hosts``: where they are few, the lookups stay where they are.
+    ways = F.broadcast(ways) if few else ways
     dealt = probes.join(ways, "rkey").select(
         "rkey", F.pmod(F.xxhash64("host", "path"), F.col("_ways")).cast("int").alias("_cell"), "path", "host", "_depth", F.lit(None).cast(stacks.schema["_stack"].dataType).alias("_stack")
     )
