@@ -41,6 +41,8 @@ BITS, DEVIATIONS = 1536, 5
 REACH = 2
 #: Ids up to which a set of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Bytes of candidates' texts up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Word hashes that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 
@@ -158,8 +160,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    # Few bytes of text go to every task, and the pairs stay where they are: many pairs may share few texts.
+    small = False
+    if few and (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
+        small, pairs = True, pairs.sortWithinPartitions("a")
+
+    def side(name: str, text: str) -> DataFrame:
+        one = texts.select(F.col("id").alias(name), F.col("text").alias(text))
+        return F.broadcast(one) if small else one
+
     # The hub's text comes last: its rows then lie together and its set is built once.
-    met = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    met = pairs.join(side("b", "tb"), "b").join(side("a", "ta"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, one = None, set()
