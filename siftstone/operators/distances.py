@@ -63,10 +63,25 @@ def nearest_centroid(df: DataFrame, centres: list[tuple[int, list[float]]], feat
     return df.withColumn("_best", best).withColumn(label, F.col("_best.k")).withColumn(distance, F.col("_best.d")).drop("_best")
 
 
-def _blocks(df: DataFrame, id_col: str, features: list[str], extra: list[str]) -> tuple[DataFrame, int]:
-    n = df.count()
-    blocks = max(1, -(-n // BLOCK))
-    return df.select(F.col(id_col).alias("id"), *extra, vector(features).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("blk")), blocks
+def _blocks(df: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, int]:
+    """Rows dealt by a hash of the id into blocks of about BLOCK rows, and the number of blocks."""
+    blocks = max(1, -(-df.count() // BLOCK))
+    return df.select(*columns, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_blk")), blocks
+
+
+def meet_blocks(points: DataFrame, reference: DataFrame, id_col: str, columns: list[str], fn: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``fn(query rows, reference rows)`` for every two blocks, each in a task's group of its own; reference rows come in order of their id."""
+    left, n = _blocks(points, id_col, columns)
+    right, m = _blocks(reference, id_col, columns)
+    left = left.select(*columns, F.col("_blk").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_b"))
+    right = right.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_a"), F.col("_blk").alias("_b"))
+    names = [c.split(":")[0].split()[0] for c in schema.split(", ")]
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = list(fn(p[columns], q[columns].sort_values(id_col, ignore_index=True))) if len(p) and len(q) else []
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in names})
+
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInPandas(meet, schema)
 
 
 def per_point(
@@ -74,24 +89,33 @@ def per_point(
     reference: DataFrame,
     id_col: str,
     features: list[str],
-    fn: Callable[[np.ndarray, np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    fn: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
     extra: list[str] | None = None,
 ) -> DataFrame:
-    """``fn(distances, -, query rows, reference rows)`` for blocks of points against all of a bounded reference, which is broadcast."""
-    extra = extra or []
-    keep = [id_col, *extra, *features]
-    rows = bounded_rows(reference.select(*keep))
-    rows = rows.sort_values(id_col, ignore_index=True)
-    matrix = rows[features].to_numpy(float)
-    shared = points.sparkSession.sparkContext.broadcast((rows[[id_col, *extra]], matrix))
+    """Partial rows ``fn(distances, query rows, reference rows)`` of blocks of points against all of the reference.
+
+    A reference of up to MAX_REFERENCE rows is broadcast and ``fn`` sees it
+    whole. Beyond that every two blocks meet, ``fn`` runs for each of them, and
+    the caller combines the partials of a point.
+    """
+    keep = list(dict.fromkeys([id_col, *(extra or []), *features]))
+
+    def against(pdf: pd.DataFrame, ref: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        m = ref[features].to_numpy(float)
+        for lo in range(0, len(pdf), 512):
+            part = pdf.iloc[lo : lo + 512]
+            yield fn(pairwise(part[features].to_numpy(float), m), part, ref)
+
+    if reference.limit(MAX_REFERENCE + 1).count() > MAX_REFERENCE:
+        return meet_blocks(points, reference, id_col, keep, against, schema)
+    rows = reference.select(*keep).toPandas().sort_values(id_col, ignore_index=True)
+    shared = points.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref, m = shared.value
         for pdf in batches:
-            for lo in range(0, len(pdf), 512):
-                part = pdf.iloc[lo : lo + 512]
-                yield fn(pairwise(part[features].to_numpy(float), m), m, part, ref)
+            if len(shared.value):
+                yield from against(pdf, shared.value)
 
     return points.select(*keep).mapInPandas(run, schema)
 
@@ -99,35 +123,19 @@ def per_point(
 def knn(df: DataFrame, id_col: str, features: list[str], k: int, include_self: bool = False) -> DataFrame:
     """The ``k`` nearest neighbours of each row: ``id, neighbour, distance, rank`` (ties by id).
 
-    Up to MAX_REFERENCE rows the points are broadcast. Beyond that every pair
-    of blocks meets in a task of its own, which keeps k candidates for each
-    point; the best k of all blocks remain.
+    Each part of the reference gives k candidates for a point; the best k of all remain.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, neighbour {kind}, distance double"
 
-    def best(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+    def best(d: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+        ids, others = q[id_col].to_numpy(), ref[id_col].to_numpy()
         if not include_self:
             d = np.where(ids[:, None] == others[None, :], np.inf, d)
         take = np.argsort(d, axis=1, kind="stable")[:, : min(k, d.shape[1])]
         out = pd.DataFrame({"id": np.repeat(ids, take.shape[1]), "neighbour": others[take].reshape(-1), "distance": np.take_along_axis(d, take, 1).reshape(-1)})
         return out[np.isfinite(out.distance)]
 
-    if df.count() <= MAX_REFERENCE:
-        found = per_point(df, df, id_col, features, lambda d, m, q, r: best(q[id_col].to_numpy(), r[id_col].to_numpy(), d), schema)
-    else:
-        points, n = _blocks(df, id_col, features, [])
-        every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = points.select("id", "x", F.col("blk").alias("a"), every.alias("b"))
-        right = points.select("id", "x", every.alias("a"), F.col("blk").alias("b"))
-
-        def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            if not len(p) or not len(q):
-                return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
-            q = q.sort_values("id")
-            return best(p.id.to_numpy(), q.id.to_numpy(), pairwise(np.stack(p.x), np.stack(q.x)))
-
-        found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, schema)
+    found = per_point(df, df, id_col, features, best, f"id {kind}, neighbour {kind}, distance double")
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

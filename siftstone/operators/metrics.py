@@ -28,20 +28,23 @@ def silhouette_samples(df: DataFrame, id_col: str, label: str, features: list[st
     rows = clean(df, label)
     kind = df.schema[id_col].dataType.simpleString()
 
-    def fn(d: np.ndarray, m: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+    def fn(d: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         names, code = np.unique(ref[label].to_numpy(), return_inverse=True)
         size = np.bincount(code, minlength=len(names))
         sums = np.stack([d[:, code == k].sum(axis=1) for k in range(len(names))], axis=1)
-        own = np.searchsorted(names, q[label].to_numpy())
-        at = np.arange(len(q))
-        a = sums[at, own] / np.maximum(size[own] - 1, 1)
-        means = sums / size
-        means[at, own] = np.inf
-        b = means.min(axis=1)
-        s = np.where((size[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        return pd.DataFrame({"id": q[id_col].to_numpy(), "label": q[label].to_numpy(), "a": a, "b": b, "silhouette": s})
-
-    return distances.per_point(rows, rows, id_col, features, fn, f"id {kind}, label int, a double, b double, silhouette double", [label])
+        per = {"id": np.repeat(q[id_col].to_numpy(), len(names)), "label": np.repeat(q[label].to_numpy(), len(names))}
+        return pd.DataFrame({**per, "other": np.tile(names, len(q)), "s": sums.reshape(-1), "n": np.tile(size, len(q))})
+
+    parts = distances.per_point(rows, rows, id_col, features, fn, f"id {kind}, label int, other int, s double, n long", [label])
+    means = parts.groupBy("id", "label", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = F.col("other") == F.col("label")
+    per = means.groupBy("id", "label").agg(
+        F.max(F.when(own, F.col("n"))).alias("_n"),
+        F.max(F.when(own, F.col("s") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("a"),
+        F.coalesce(F.min(F.when(~own, F.col("s") / F.col("n"))), F.lit(float("inf"))).alias("b"),
+    )
+    s = (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))
+    return per.select("id", "label", "a", "b", F.when((F.col("_n") > 1) & (F.col("b") < float("inf")), s).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
 def silhouette(df: DataFrame, id_col: str, label: str, features: list[str]) -> DataFrame:
@@ -92,7 +95,7 @@ def dunn(df: DataFrame, id_col: str, label: str, features: list[str]) -> DataFra
     """Least distance between clusters over the largest diameter."""
     rows = clean(df, label)
 
-    def fn(d: np.ndarray, m: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+    def fn(d: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         same = q[label].to_numpy()[:, None] == ref[label].to_numpy()[None, :]
         return pd.DataFrame({"gap": np.where(same, np.inf, d).min(axis=1), "width": np.where(same, d, 0).max(axis=1)})
 
@@ -181,14 +184,17 @@ def dbcv(df: DataFrame, id_col: str, label: str, features: list[str], k: int = 5
     """Density-based validity from core distances: per cluster (separation - density) / max of both, weighted by size."""
     rows = clean(df, label)
 
-    def fn(d: np.ndarray, m: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+    def fn(d: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         same = q[label].to_numpy()[:, None] == ref[label].to_numpy()[None, :]
-        inside = np.sort(np.where(same, d, np.inf), axis=1)[:, 1 : k + 1]
-        inside[~np.isfinite(inside)] = np.nan
-        core = np.where(np.isnan(inside).all(axis=1), 0.0, np.nanmax(np.nan_to_num(inside, nan=0.0), axis=1))
-        return pd.DataFrame({"label": q[label].to_numpy(), "core": core, "gap": np.where(same, np.inf, d).min(axis=1)})
+        inside = np.sort(np.where(same, d, np.inf), axis=1)[:, : k + 1]
+        return pd.DataFrame({"id": q[id_col].to_numpy(), "label": q[label].to_numpy(), "near": [r[np.isfinite(r)] for r in inside], "gap": np.where(same, np.inf, d).min(axis=1)})
 
-    per = distances.per_point(rows, rows, id_col, features, fn, "label int, core double, gap double", [label]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("core").alias("dens"), F.min("gap").alias("sep"))
+    kind = df.schema[id_col].dataType.simpleString()
+    parts = distances.per_point(rows, rows, id_col, features, fn, f"id {kind}, label int, near array<double>, gap double", [label])
+    # The nearest of all is the row itself.
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 2, k)
+    points = parts.groupBy("id", "label").agg(F.coalesce(F.array_max(near), F.lit(0.0)).alias("core"), F.min("gap").alias("gap"))
+    per = points.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("core").alias("dens"), F.min("gap").alias("sep"))
     v = (F.col("sep") - F.col("dens")) / F.greatest("sep", "dens", F.lit(1e-300))
     return per.agg((F.sum(v * F.col("n")) / F.sum("n")).alias("dbcv"))
 

@@ -10,8 +10,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import clip
 from . import distances, profile
@@ -48,38 +50,37 @@ def drop_null_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.na.drop(subset=columns)
 
 
-def impute_knn(df: DataFrame, id_col: str, columns: list[str], k: int = 5, limit: int = distances.MAX_REFERENCE) -> DataFrame:
+def impute_knn(df: DataFrame, id_col: str, columns: list[str], k: int = 5) -> DataFrame:
     """Nulls from the k nearest rows that have the value, weighted by 1/distance; distances skip nulls and are scaled up for them."""
-    rows = distances.bounded_rows(df.select(id_col, *columns), limit).sort_values(id_col, ignore_index=True)
-    reference = rows[columns].to_numpy(float)
-    means = np.nanmean(reference, axis=0)
-    shared = df.sparkSession.sparkContext.broadcast((reference, means))
-
-    def run(batches):
-        ref, mean = shared.value
-        known = ~np.isnan(ref)
-        for pdf in batches:
-            x = pdf[columns].to_numpy(float, copy=True)
-            for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                mine = ~np.isnan(x[i])
-                both = known & mine
-                d = np.sqrt(np.where(both, (ref - x[i]) ** 2, 0).sum(axis=1) * len(columns) / np.maximum(both.sum(axis=1), 1))
-                d[both.sum(axis=1) == 0] = np.inf
-                row = x[i].copy()
-                for j in np.flatnonzero(~mine):
-                    use = np.flatnonzero(known[:, j] & np.isfinite(d))
-                    use = use[np.argsort(d[use], kind="stable")[:k]]
-                    if not len(use):
-                        row[j] = mean[j]
-                    elif (d[use] == 0).any():
-                        row[j] = ref[use[d[use] == 0], j].mean()
-                    else:
-                        row[j] = (ref[use, j] / d[use]).sum() / (1 / d[use]).sum()
-                x[i] = row
-            yield pdf.assign(**{c: x[:, j] for j, c in enumerate(columns)})
-
     cast = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    return cast.mapInPandas(run, cast.schema)
+    rows = cast.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{j}") for j, c in enumerate(columns)])
+    names = [f"_c{j}" for j in range(len(columns))]
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def candidates(d: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+        x, r, ids, others, out = q[names].to_numpy(float), ref[names].to_numpy(float), q["_id"].to_numpy(), ref["_id"].to_numpy(), []
+        known = ~np.isnan(r)
+        for i in range(len(x)):
+            mine = ~np.isnan(x[i])
+            both = known & mine
+            away = np.sqrt(np.where(both, (r - x[i]) ** 2, 0).sum(axis=1) * len(names) / np.maximum(both.sum(axis=1), 1))
+            away[both.sum(axis=1) == 0] = np.inf
+            for j in np.flatnonzero(~mine):
+                use = np.flatnonzero(known[:, j] & np.isfinite(away))
+                use = use[np.argsort(away[use], kind="stable")[:k]]
+                out += [(ids[i], int(j), others[u], float(away[u]), float(r[u, j])) for u in use]
+        return pd.DataFrame(out, columns=["_id", "_j", "_other", "_d", "_v"])
+
+    missing = rows.where(" OR ".join(f"{c} IS NULL OR isnan({c})" for c in names))
+    parts = distances.per_point(missing, rows, "_id", names, candidates, f"_id {kind}, _j int, _other {kind}, _d double, _v double")
+    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_id", "_j").orderBy("_d", "_other"))).where(F.col("_rank") <= k)
+    weighted = F.sum(F.col("_v") / F.nullif("_d", F.lit(0.0))) / F.sum(F.lit(1.0) / F.nullif("_d", F.lit(0.0)))
+    values = ranked.groupBy("_id", "_j").agg(F.coalesce(F.avg(F.when(F.col("_d") == 0, F.col("_v"))), weighted).alias("_v"))
+    wide = values.groupBy("_id").agg(*[F.max(F.when(F.col("_j") == j, F.col("_v"))).alias(f"_v{j}") for j in range(len(names))])
+    mean = rows.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in names]).first()
+    joined = cast.join(wide, F.col(id_col) == F.col("_id"), "left")
+    filled = {c: F.coalesce(F.nanvl(F.col(c), F.lit(None).cast("double")), F.col(f"_v{j}"), F.lit(mean[j]).cast("double")) for j, c in enumerate(columns)}
+    return joined.withColumns(filled).select(*cast.columns)
 
 
 def impute_iterative(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-3) -> DataFrame:
