@@ -26,8 +26,11 @@ from .html_pages import Part, labelled_page, page_html
 #: HTML's own element classes: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture".split())
-SKIPPED = frozenset("script style noscript template iframe svg math head title textarea object canvas audio video select".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Their text isn't shown.
+HIDDEN = frozenset("template svg object canvas audio video select annotation annotation-xml".split())
+#: Start tags that end an svg or math element.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("ul ol dl table html body article section div td th".split())
@@ -64,8 +67,23 @@ def parse(source: str) -> Page:
     #: Open elements: (tag, node number); inline ones share their block's node.
     stack: list[tuple[str, int]] = [("#page", 0)]
     pieces: list[str] = []
-    links = 0
+    links = hidden = foreign = 0
     at, end = 0, len(source)
+    last: dict[str, int] = {}
+
+    def ends(tag: str) -> bool:
+        """Whether an end tag is still to come."""
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>]|$)", source, re.I)), default=-1)
+        return last[tag] >= at
+
+    def drop(index: int) -> None:
+        nonlocal links, hidden, foreign
+        for tag, _ in stack[index:]:
+            links -= tag == "a"
+            hidden -= tag in HIDDEN
+            foreign -= tag in ("svg", "math")
+        del stack[index:]
 
     def flush() -> None:
         if pieces:
@@ -77,13 +95,12 @@ def parse(source: str) -> Page:
             pieces.clear()
 
     def close(index: int) -> None:
-        nonlocal links
         flush()
-        for tag, _ in stack[index:]:
-            links -= tag == "a"
-        del stack[index:]
+        drop(index)
 
     def add(raw: str) -> None:
+        if hidden:
+            return
         pieces.append(entities.unescape(raw) if "&" in raw else raw)
         if links > 0:
             nodes[stack[-1][1]].linked += len(raw)
@@ -106,19 +123,37 @@ def parse(source: str) -> Page:
                     if tag in INLINE:
                         links -= tag == "a"
                         del stack[i]
+                    elif stack[i][1] == stack[i - 1][1]:  # it has no node of its own
+                        drop(i)
                     else:
                         close(i)
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break  # an inline end tag doesn't end blocks
             continue
-        if tag in SKIPPED:
+        if tag in RAW or tag == "head":
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(source, at) if tag != "head" else re.compile(r"</head\s*>|(?=<body)", re.I).search(source, at)
             if stop is None and tag == "head":
                 continue
             at = end if stop is None else stop.end()
             pieces.append(" ")
             continue
+        if foreign and tag in BREAKOUT:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == "foreignobject":
+                    break
+                if stack[i][0] in ("svg", "math"):
+                    drop(i)
+                    break
+        if tag in HIDDEN or tag == "math" or hidden or foreign:
+            # Part of its block's text, if shown. What never ends holds nothing.
+            pieces.append(" " if tag in HIDDEN else "")
+            if tag not in VOID and not attributes.endswith("/") and (ends(tag) or tag not in HIDDEN):
+                stack.append((tag, stack[-1][1]))
+                links += tag == "a"
+                hidden += tag in HIDDEN
+                foreign += tag in ("svg", "math")
+            continue
         if tag in VOID or tag in INLINE:
             if tag in VOID:
                 if tag == "hr":
