@@ -69,12 +69,18 @@ def _blocks(df: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame,
     return df.select(*columns, F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("_blk")), blocks
 
 
-def meet_blocks(points: DataFrame, reference: DataFrame, id_col: str, columns: list[str], fn: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """``fn(query rows, reference rows)`` for every two blocks, each in a task's group of its own; reference rows come in order of their id."""
+def meet_blocks(points: DataFrame, reference: DataFrame, id_col: str, columns: list[str], fn: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, half: bool = False) -> DataFrame:
+    """``fn(query rows, reference rows)`` for every two blocks, each in a task's group of its own; reference rows come in order of their id.
+
+    ``half``: two blocks of one table meet once, not in both orders.
+    """
     left, n = _blocks(points, id_col, columns)
     right, m = _blocks(reference, id_col, columns)
-    left = left.select(*columns, F.col("_blk").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_b"))
-    right = right.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_a"), F.col("_blk").alias("_b"))
+    fresh = [F.col(c).alias(c) for c in columns]  # new column ids: both sides may be one table
+    left = left.select(*fresh, F.col("_blk").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_b"))
+    right = right.select(*fresh, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_a"), F.col("_blk").alias("_b"))
+    if half:
+        left, right = left.where("_a <= _b"), right.where("_a <= _b")
     names = [c.split(":")[0].split()[0] for c in schema.split(", ")]
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
