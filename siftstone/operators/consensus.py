@@ -15,6 +15,13 @@ from pyspark.sql.window import Window
 from . import agreement, clustering, distances
 
 DENSE = 2_000
+#: Rows of weights up to which they are broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """``df`` broadcast if it is small; beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def coassociation(runs: DataFrame, weights: DataFrame | None = None, id_col: str = "row_id") -> DataFrame:
@@ -29,7 +36,7 @@ def coassociation(runs: DataFrame, weights: DataFrame | None = None, id_col: str
         rows = rows.withColumn("w", F.lit(1.0 / max(n, 1)))
     else:
         total = float(weights.agg(F.sum("weight")).first()[0] or 1.0)
-        rows = rows.join(F.broadcast(weights.limit(10_000)), "run").withColumn("w", F.col("weight") / F.lit(total))
+        rows = rows.join(_bounded(weights), "run").withColumn("w", F.col("weight") / F.lit(total))
     rows = rows.where("label <> -1")
     a = rows.select("run", "label", "w", F.col(id_col).alias("i"))
     b = rows.select("run", "label", F.col(id_col).alias("j"))
@@ -111,7 +118,7 @@ def align(runs: DataFrame, reference: str, id_col: str = "row_id") -> DataFrame:
 def voting(runs: DataFrame, weights: DataFrame | None = None, id_col: str = "row_id") -> DataFrame:
     """Weighted plurality of aligned labels; noise doesn't vote; ties go to the smaller label."""
     rows = runs.where("label <> -1")
-    rows = rows.withColumn("weight", F.lit(1.0)) if weights is None else rows.join(F.broadcast(weights.limit(10_000)), "run")
+    rows = rows.withColumn("weight", F.lit(1.0)) if weights is None else rows.join(_bounded(weights), "run")
     votes = rows.groupBy(id_col, "label").agg(F.sum("weight").alias("w"))
     best = votes.groupBy(id_col).agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("label"))
     return runs.select(id_col).distinct().join(best, id_col, "left").select(id_col, F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
@@ -119,7 +126,7 @@ def voting(runs: DataFrame, weights: DataFrame | None = None, id_col: str = "row
 
 def evidence_majority(runs: DataFrame, weights: DataFrame | None = None, least: float = 0.5, id_col: str = "row_id") -> DataFrame:
     """Weighted plurality of aligned labels, -1 where its share of the weight is below ``least``."""
-    rows = runs.withColumn("weight", F.lit(1.0)) if weights is None else runs.join(F.broadcast(weights.limit(10_000)), "run")
+    rows = runs.withColumn("weight", F.lit(1.0)) if weights is None else runs.join(_bounded(weights), "run")
     votes = rows.groupBy(id_col, "label").agg(F.sum("weight").alias("w"))
     top = votes.groupBy(id_col).agg(F.max(F.struct(F.round("w", 9).alias("w"), (-F.col("label")).alias("l"))).alias("t"), F.sum("w").alias("s"))
     return top.select(id_col, F.when(F.col("t.w") / F.col("s") < least, F.lit(-1)).otherwise(-F.col("t.l")).cast("int").alias("label"), (F.col("t.w") / F.col("s")).alias("confidence"))
@@ -217,7 +224,7 @@ def cluster_confidence(consensus: DataFrame, runs: DataFrame, weights: DataFrame
     a = consensus.where("label <> -1").select(id_col, F.col("label").alias("la"))
     b = runs.where("label <> -1").select(id_col, "run", F.col("label").alias("lb"))
     best = agreement.best_jaccard(a.join(b, id_col).groupBy("run", "la", "lb").agg(F.count(F.lit(1)).alias("n")), ["run"])
-    best = best.withColumn("w", F.lit(1.0)) if weights is None else best.join(F.broadcast(weights.limit(10_000)).withColumnRenamed("weight", "w"), "run")
+    best = best.withColumn("w", F.lit(1.0)) if weights is None else best.join(_bounded(weights).withColumnRenamed("weight", "w"), "run")
     conf = best.groupBy(F.col("la").alias("label")).agg((F.sum(F.col("jaccard") * F.col("w")) / F.sum("w")).alias("confidence"))
     return conf.withColumn("grade", F.when(F.col("confidence") >= 0.7, "high").when(F.col("confidence") >= 0.4, "medium").otherwise("low"))
 

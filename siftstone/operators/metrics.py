@@ -264,7 +264,7 @@ def grade(x: Column) -> Column:
 def pareto(df: DataFrame, id_col: str, up: list[str], down: list[str]) -> DataFrame:
     """Rows that no other row beats: as good in every objective and better in one. A null objective is the worst value.
 
-    A table of algorithms is small; both sides are bounded.
+    Each row meets all distinct scores, which are broadcast.
     """
     worst = float("-inf")
     score = [F.coalesce(F.col(c).cast("double"), F.lit(worst)).alias(f"o{i}") for i, c in enumerate(up)]
@@ -276,7 +276,7 @@ def pareto(df: DataFrame, id_col: str, up: list[str], down: list[str]) -> DataFr
     for i in range(n):
         beats = beats & (F.col(f"q.o{i}") >= F.col(f"p.o{i}"))
         some = some | (F.col(f"q.o{i}") > F.col(f"p.o{i}"))
-    front = a.alias("p").join(F.broadcast(b.limit(10_000)).alias("q"), beats & some, "left_anti")
+    front = a.alias("p").join(F.broadcast(b.select([f"o{i}" for i in range(n)]).distinct()).alias("q"), beats & some, "left_anti")
     return df.join(front.select(F.col("ida").alias(id_col)), id_col, "left_semi")
 
 
