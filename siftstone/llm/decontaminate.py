@@ -20,19 +20,25 @@ from .common import cut
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 5, 6))
 #: Aligned words of which at most so many may differ.
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Items of fewer words can't be told from chance and are left out.
+#: Items of fewer words must occur whole, word by word.
 MIN_WORDS = 8
-#: Rows of benchmark seeds, or of ids, up to which a side is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and words in them, up to which a side is broadcast.
+BROADCAST_ROWS, BROADCAST_WORDS = 1_000_000, 4_000_000
+#: Scripts without spaces, of which each character is a word: fixed values.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 
 
 def word_list(text: Column) -> Column:
-    """Lower-case runs of letters and digits; an empty list for a null or empty text."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    """Lower-case runs of letters and digits, single characters of scripts without spaces; an empty list for a null or empty text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[{UNSPACED}]|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+"), 0)
 
 
-def seed_list(words: Column) -> Column:
+def whole_mask(length: int) -> tuple[int, ...]:
+    """Selects all words of an item that is too short for the spaced masks."""
+    return tuple(range(length))
+
+
+def seed_list(words: Column, masks: tuple[tuple[int, ...], ...] = MASKS) -> Column:
     """(position, seed) of every placement of every mask."""
 
     def placed(number: int, mask: tuple[int, ...]) -> Column:
@@ -40,21 +46,31 @@ def seed_list(words: Column) -> Column:
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(number), *[F.get(words, i + o) for o in mask]).alias("seed")))
 
-    return F.concat(*[placed(k, m) for k, m in enumerate(MASKS)])
+    # A mask's number tells it from the others; that of a whole short item is its length, less than 0.
+    return F.concat(*[placed(-len(m) if m == whole_mask(len(m)) else MASKS.index(m), m) for m in masks])
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` broadcast if it is small; beyond that the join shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, words: str | None = None) -> DataFrame:
+    """``df`` broadcast if it is small in rows, and in the words of the lists ``words``; beyond that the join shuffles."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return df
+    if words is not None and (df.agg(F.sum(F.size(words).cast("long"))).first()[0] or 0) > BROADCAST_WORDS:
+        return df
+    return F.broadcast(df)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Verified alignments: ``id, hash`` (of the text), ``item, doc_start`` (word of the document at which the item begins, maybe negative), ``n_matched`` (equal words), ``n_words`` (of the item)."""
-    items = benchmark.select(F.col(item_col).alias("item"), word_list(F.col(item_text_col)).alias("iw")).where(F.size("iw") >= MIN_WORDS)
-    items = cut(items)
-    seeds = _bounded(items.select("item", F.explode(seed_list(F.col("iw"))).alias("s")).select("item", F.col("s.at").alias("ipos"), F.col("s.seed").alias("seed")))
+    items = cut(benchmark.select(F.col(item_col).alias("item"), word_list(F.col(item_text_col)).alias("iw")).where(F.size("iw") > 0))
+    short = sorted(r[0] for r in items.select(F.size("iw")).where(F.size("iw") < MIN_WORDS).distinct().collect())  # MIN_WORDS - 1 rows at most
+    # A short item has the seed of all its words, a longer one those of the masks.
+    own = F.when(F.size("iw") >= MIN_WORDS, seed_list(F.col("iw")))
+    for n in short:
+        own = own.when(F.size("iw") == n, seed_list(F.col("iw"), (whole_mask(n),)))
+    seeds = _bounded(items.select("item", F.explode(own).alias("s")).select("item", F.col("s.at").alias("ipos"), F.col("s.seed").alias("seed")))
+    masks = MASKS + tuple(whole_mask(n) for n in short)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), word_list(F.col(text_col)).alias("dw"))
-    hits = texts.select("id", "hash", F.explode(seed_list(F.col("dw"))).alias("s")).select("id", "hash", F.col("s.at").alias("pos"), F.col("s.seed").alias("seed"))
+    hits = texts.select("id", "hash", F.explode(seed_list(F.col("dw"), masks)).alias("s")).select("id", "hash", F.col("s.at").alias("pos"), F.col("s.seed").alias("seed"))
     # The alignment that a hit names; a passage's many hits name one.
     found = hits.join(seeds, "seed").groupBy("id", "hash", "item", (F.col("pos") - F.col("ipos")).alias("doc_start")).agg(F.count(F.lit(1)).alias("n_hits"))
     found = cut(found)
@@ -62,11 +78,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wanted = texts.join(_bounded(cut(keys)), (F.col("hash") == F.col("khash")) & F.col("id").eqNullSafe(F.col("kid")), "left_semi")
     once = wanted.groupBy("id", "hash").agg(F.first("dw").alias("dw"))
     met = found.alias("f").join(once.alias("o"), (F.col("f.hash") == F.col("o.hash")) & F.col("f.id").eqNullSafe(F.col("o.id"))).select("f.*", "o.dw")
-    met = met.join(_bounded(items), "item")
+    met = met.join(_bounded(items, "iw"), "item")
     n = F.size("iw")
     equal = F.transform(F.sequence(F.lit(0), n - 1), lambda k: (F.coalesce((F.col("doc_start") + k >= 0) & (F.get("dw", F.col("doc_start") + k) == F.get("iw", k)), F.lit(False))).cast("int"))
     width = F.least(F.lit(WINDOW), n)
-    allowed = F.floor(width * F.lit(SUBSTITUTIONS) / F.lit(WINDOW))
+    allowed = F.when(n < MIN_WORDS, F.lit(0)).otherwise(F.floor(width * F.lit(SUBSTITUTIONS) / F.lit(WINDOW)))
     met = met.withColumn("equal", equal)
     inside = F.exists(
         F.sequence(F.lit(1), n - width + 1),
@@ -80,10 +96,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Contaminated: at some alignment, 13 consecutive words of an item (all of a
     shorter one) equal the document's but for at most 2 (in proportion, rounded
-    down, for a shorter one). Words are runs of letters and digits, lower-cased.
+    down, for a shorter one; none below 8 words, so that an item of one word marks
+    every text with that word). Words are runs of letters and digits, lower-cased;
+    of scripts without spaces each character is a word.
     ``item_ids`` lists the items, ``n_overlaps`` counts alignments, ``n_matched``
-    is the most equal words in one. Items of fewer than 8 words and null texts
-    match nothing. Rows that repeat id and text get one verdict. An empty table
+    is the most equal words in one. Items without words and null texts
+    match nothing; other columns, whatever their names, aren't read. Rows that repeat id and text get one verdict. An empty table
     gives no rows, an empty benchmark marks nothing.
     """
     found = (
@@ -102,7 +120,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    found = find_overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
-    same = (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("_hash")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))
-    return docs.join(_bounded(cut(found)), same, "left_anti")
+    """The rows of ``docs`` that aren't contaminated, with all their columns.
+
+    Rows that repeat id and text stay or go together, also where the id is null;
+    null texts stay. Columns may have any names. Empty tables: nothing goes.
+    """
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    found = find_overlaps(inner, benchmark, own, text, item_col, item_text_col).select("id", "hash").distinct()
+    same = (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("hash")) & F.col(own).eqNullSafe(F.col("id"))
+    return inner.join(_bounded(cut(found)), same, "left_anti").select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

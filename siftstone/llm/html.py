@@ -29,10 +29,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Their text isn't shown.
 HIDDEN = frozenset("template svg object canvas audio video select annotation annotation-xml".split())
+FOREIGN = frozenset(("svg", "math"))
 #: Start tags that end an svg or math element.
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 SCOPES = frozenset("ul ol dl table html body article section div td th".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*$""", re.S)
@@ -60,14 +61,71 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements but for inline ones, which only count in the element they are in.
+
+    Where each tag is open is known, so that no tag searches the whole stack: the
+    work is linear in the page, however its tags are nested.
+    """
+
+    def __init__(self):
+        self.tags, self.nodes, self.inline = ["#page"], [0], [{}]
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+        self.links = self.hidden = self.foreign = 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if tag in SCOPES:
+            self.scopes.append(len(self.tags))
+        if tag not in INLINE:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.nodes.append(node)
+        self.inline.append({})
+        self._count(tag, 1)
+
+    def _count(self, tag: str, n: int) -> None:
+        self.links += n * (tag == "a")
+        self.hidden += n * (tag in HIDDEN)
+        self.foreign += n * (tag in FOREIGN)
+
+    def drop(self, index: int) -> None:
+        """Ends the element at ``index`` and all inside it."""
+        while len(self.tags) > index:
+            tag = self.tags.pop()
+            self.at[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self._count(tag, -1)
+            self.nodes.pop()
+            self.links -= self.inline.pop().get("a", 0)
+
+    def begin_inline(self, tag: str) -> None:
+        self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+        self.links += tag == "a"
+
+    def end_inline(self, tag: str) -> bool:
+        """Whether an inline element of that tag was open in the innermost element; it is closed."""
+        n = self.inline[-1].get(tag, 0)
+        if n:
+            self.inline[-1][tag] = n - 1
+            self.links -= tag == "a"
+        return n > 0
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost element of one of the tags is open; 0 if none is."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
 def parse(source: str) -> Page:
     """The tree of block-level elements and the texts of their blocks. Lenient: what isn't closed ends with its parent."""
     page = Page([Node("#page", "", -1)])
-    nodes = page.nodes
-    #: Open elements: (tag, node number); inline ones share their block's node.
-    stack: list[tuple[str, int]] = [("#page", 0)]
+    nodes, open_ = page.nodes, _Open()
     pieces: list[str] = []
-    links = hidden = foreign = 0
     at, end = 0, len(source)
     last: dict[str, int] = {}
 
@@ -77,33 +135,26 @@ def parse(source: str) -> Page:
             last[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>]|$)", source, re.I)), default=-1)
         return last[tag] >= at
 
-    def drop(index: int) -> None:
-        nonlocal links, hidden, foreign
-        for tag, _ in stack[index:]:
-            links -= tag == "a"
-            hidden -= tag in HIDDEN
-            foreign -= tag in ("svg", "math")
-        del stack[index:]
-
     def flush() -> None:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                page.blocks.append((stack[-1][1], text))
-                nodes[stack[-1][1]].own += len(text)
-                nodes[stack[-1][1]].marks += text.count(",") + text.count(". ")
+                node = nodes[open_.nodes[-1]]
+                page.blocks.append((open_.nodes[-1], text))
+                node.own += len(text)
+                node.marks += text.count(",") + text.count(". ")
             pieces.clear()
 
     def close(index: int) -> None:
         flush()
-        drop(index)
+        open_.drop(index)
 
     def add(raw: str) -> None:
-        if hidden:
+        if open_.hidden:
             return
         pieces.append(entities.unescape(raw) if "&" in raw else raw)
-        if links > 0:
-            nodes[stack[-1][1]].linked += len(raw)
+        if open_.links > 0:
+            nodes[open_.nodes[-1]].linked += len(raw)
 
     while at < end:
         found = _TOKEN.search(source, at)
@@ -118,64 +169,49 @@ def parse(source: str) -> Page:
             continue
         tag = tag.lower()
         if slash:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag in INLINE:
-                        links -= tag == "a"
-                        del stack[i]
-                    elif stack[i][1] == stack[i - 1][1]:  # it has no node of its own
-                        drop(i)
-                    else:
-                        close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline end tag doesn't end blocks
+            if tag in INLINE and open_.end_inline(tag):
+                continue
+            i = open_.last(tag)
+            if i and (tag not in INLINE or not open_.blocks or open_.blocks[-1] < i):  # an inline end tag doesn't end blocks
+                if open_.nodes[i] == open_.nodes[i - 1]:  # it has no node of its own
+                    open_.drop(i)
+                else:
+                    close(i)
             continue
-        if tag in RAW or tag == "head":
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I).search(source, at) if tag != "head" else re.compile(r"</head\s*>|(?=<body)", re.I).search(source, at)
+        if tag in RAW or (tag == "head" and ("head" not in last or last["head"] >= at)):
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)[^>]*(?:>|$)" if tag != "head" else r"</head\s*>|(?=<body)", re.I).search(source, at)
             if stop is None and tag == "head":
+                last["head"] = -1
                 continue
             at = end if stop is None else stop.end()
             pieces.append(" ")
             continue
-        if foreign and tag in BREAKOUT:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "foreignobject":
-                    break
-                if stack[i][0] in ("svg", "math"):
-                    drop(i)
-                    break
-        if tag in HIDDEN or tag == "math" or hidden or foreign:
+        if tag == "head":
+            continue
+        if open_.foreign and tag in BREAKOUT and (i := open_.last(*FOREIGN)) > open_.last("foreignobject"):
+            open_.drop(i)
+        if tag in HIDDEN or tag == "math" or open_.hidden or open_.foreign:
             # Part of its block's text, if shown. What never ends holds nothing.
             pieces.append(" " if tag in HIDDEN else "")
-            if tag not in VOID and not attributes.endswith("/") and (ends(tag) or tag not in HIDDEN):
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
-                hidden += tag in HIDDEN
-                foreign += tag in ("svg", "math")
+            if tag not in VOID and not attributes.endswith("/") and (tag not in HIDDEN or ends(tag)):
+                open_.push(tag, open_.nodes[-1])
             continue
         if tag in VOID or tag in INLINE:
             if tag in VOID:
                 if tag == "hr":
                     flush()
-                pieces.append(" " if tag in ("br", "wbr", "img", "input", "hr") and tag != "wbr" else "")
+                pieces.append(" " if tag in ("br", "img", "input", "hr") else "")
             elif not attributes.endswith("/"):
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
+                open_.begin_inline(tag)
             continue
-        ended = {"p"} if tag in CLOSES_P else set()
-        ended |= CLOSED_BY.get(tag, set())
-        if ended:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ended:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+        ended = [*CLOSED_BY.get(tag, ()), *(("p",) if tag in CLOSES_P else ())]
+        i = open_.last(*ended)
+        if i and i >= (open_.scopes[-1] if open_.scopes else 0):
+            close(i)
         flush()
-        nodes.append(Node(tag, attributes, stack[-1][1]))
+        nodes.append(Node(tag, attributes, open_.nodes[-1]))
         if not attributes.endswith("/"):
-            stack.append((tag, len(nodes) - 1))
+            open_.push(tag, len(nodes) - 1)
     close(1)
     flush()
     for n in reversed(nodes):
@@ -265,7 +301,7 @@ def fit(pages: list[Part], epochs: int = 6, rate: float = 0.3, shrink: float = 1
     model = ContentModel()
     examples = []
     for part in pages:
-        page, labels = parse(page_html(part)), [0]
+        page, labels = parse(page_html(part)), []
         _labels(part, labels)
         if len(labels) == len(page.nodes):
             examples.append((page, labels, [_features(page.nodes, i) for i in range(len(labels))]))

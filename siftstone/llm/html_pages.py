@@ -116,8 +116,10 @@ def _content(r: random.Random) -> Part:
             inside.append(("blockquote", "", 1, [("p", "", 1, [_say(r, 4, 40)])]))
         elif x < 0.91:
             inside.append(("table", "", 1, [("tr", "", 1, [("td", "", 1, [_say(r, 1, 5)]) for _ in range(2)]) for _ in range(2)]))
-        elif x < 0.94:
+        elif x < 0.93:
             inside.append(("figure", "", 1, [("figcaption", "", 1, [_say(r, 2, 12)])]))
+        elif x < 0.95:
+            inside.append(("details", "", 1, [("summary", "", 1, [_say(r, 1, 5)]), _say(r, 2, 30) if r.random() < 0.5 else ("p", "", 1, [_say(r, 2, 30)])]))
         else:
             inside.append(_boilerplate(r, INSIDE))
     tag = r.choice(CONTENT_TAGS)
@@ -126,18 +128,39 @@ def _content(r: random.Random) -> Part:
     return ("table", "", 0, [("tr", "", 0, [part])]) if tag == "td" else part
 
 
+def _bare(r: random.Random) -> Part:
+    """A page that is hardly more than its article: one element, loose paragraphs or plain text."""
+    x = r.random()
+    if x < 0.5:
+        few = [("p", "", 1, [_say(r, *r.choice([(1, 6), (4, 30)]))]) for _ in range(r.randint(1, 2))]
+        if r.random() < 0.3:
+            few.insert(0, ("h1", "", 1, [_say(r, 1, 6)]))
+        inside: list = [(r.choice(["article", "article", "main", "section", "div"]), "", 1, few)]
+        within = 0
+    elif x < 0.7:
+        inside, within = [("p", "", 1, [_say(r, 1, 40)]) for _ in range(r.randint(1, 4))], 0
+    else:
+        inside, within = [_say(r, 2, 40)], 1
+    if r.random() < 0.5:
+        inside, within = [("html", "", 0, [("body", "", within, inside)])], 0
+    return ("#page", "", within, inside)
+
+
 def labelled_page(seed: int) -> Part:
     r = random.Random(seed)
+    if r.random() < 0.15:
+        return _bare(r)
     parts = [_boilerplate(r, BOILERPLATE) for _ in range(r.randint(0, 4))]
     parts.append(_content(r))
     parts += [_boilerplate(r, BOILERPLATE) for _ in range(r.randint(0, 4))]
     for _ in range(r.choice([0, 0, 1, 2])):
         parts = [("div", _named(r, r.choice(WRAPPER_NAMES)), 0, parts)]
-    return ("html", "", 0, [("body", "", 0, parts)])
+    return ("#page", "", 0, parts if r.random() < 0.1 else [("html", "", 0, [("body", "", 0, parts)])])
 
 
 def page_html(part: Part | str) -> str:
     if isinstance(part, str):
         return part
     tag, attributes, _, inside = part
-    return f"<{tag}{attributes}>" + "".join(map(page_html, inside)) + ("" if tag == "input" else f"</{tag}>")
+    within = "".join(map(page_html, inside))
+    return within if tag == "#page" else f"<{tag}{attributes}>{within}" + ("" if tag == "input" else f"</{tag}>")

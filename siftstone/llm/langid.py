@@ -106,22 +106,20 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_lang: int = 400, max_langs: int = 300) -> LanguageModel | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = 4, per_lang: int = 400) -> LanguageModel | None:
     """Fit on about ``per_lang`` documents of each language outside the held-out fold, chosen by a hash of the id.
 
-    The ``max_langs`` most frequent languages are learned. The driver gets one
-    sparse vector of at most DIMS entries for each sampled document, whatever
-    the lengths of the texts. None if nothing is labelled.
+    Every language is learned. The driver gets one sparse vector of at most DIMS
+    entries for each sampled document, whatever the lengths of the texts: its
+    memory grows with the number of languages, not with the table. None if
+    nothing is labelled, as in an empty table.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & (crc_split(id_col) != 0)).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("_h")
     )
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return None
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("_h") < int((1 << 30) * min(1.0, per_lang / r["count"]))))
+    # One row for each language.
+    rates = usable.groupBy(F.col("lang").alias("_lang")).agg((F.lit(float(1 << 30)) * per_lang / F.count(F.lit(1))).alias("_rate"))
+    chosen = usable.join(F.broadcast(rates), (F.col("lang") == F.col("_lang")) & (F.col("_h") < F.col("_rate")))
 
     def make():
         def sparse(texts: pa.Array) -> list[pa.Array]:
@@ -134,7 +132,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         return sparse
 
-    sample = map_texts(usable.where(chosen), "text", ["lang"], [("v", "binary")], make).collect()
+    sample = map_texts(chosen, "text", ["lang"], [("v", "binary")], make).collect()
     langs, owner, dense = sorted({r.lang for r in sample}), [], []
     for r in sample:
         n = len(r.v) // 6
@@ -161,9 +159,11 @@ def identify(docs: DataFrame, model: LanguageModel | None, carry: list[str], tex
 
     A null text or one without a letter is 'und' with score 0 and rejected, as
     is everything without a model. Any other text gets the nearest language,
-    also where it is rejected. Ties go to the language that sorts first.
+    also where it is rejected. Ties go to the language that sorts first. Repeated
+    rows are each judged; an empty table gives no rows; a carried column that bears
+    the name of a result is replaced by it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_langs * clusters * DIMS * 4 bytes at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # clusters * DIMS * 4 bytes for each language
 
     def make():
         m = shared.value
@@ -187,7 +187,12 @@ def identify(docs: DataFrame, model: LanguageModel | None, carry: list[str], tex
 
 
 def keep_accepted(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is accepted, with all their columns. Without a model nothing can be rejected."""
+    """The rows of ``docs`` whose language is accepted, with all their columns.
+
+    Null texts and such without a letter go. Without a model, as where nothing is
+    labelled, nothing can be rejected and all rows stay. Columns may have any
+    names. An empty table gives no rows.
+    """
     if model is None:
         return docs
     names = docs.columns

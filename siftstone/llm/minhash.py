@@ -5,25 +5,27 @@ shingle hashes serve for all coordinates of the signature: the first scatters
 the set, the second is shifted circularly by k for coordinate k. Bands of the
 signature propose candidates; every link is confirmed on the full sets.
 
-Within a bucket not all pairs are proposed. Documents with the same set are one
-node from the start. First each node meets only the bucket's smallest node.
-Where a bucket then holds several components, each node meets its neighbours in
-two sorted orders of the bucket, which joins most of what belongs together. At
-last, nodes outside a bucket's largest component meet the bucket's nodes in
-other components, once for each pair, and only those whose signatures leave the
-threshold possible. What is never compared is already connected or too far
-apart, so components are those of all candidate pairs.
+Within a bucket not all pairs are proposed. Documents with the same word
+sequence, and so the same set, are one node from the start. First each node
+meets the smallest node of one of its buckets, then those of its other buckets
+that are in other components still. Where a bucket then holds several
+components, each node meets its neighbours in two sorted orders of the bucket,
+which joins most of what belongs together. At last, nodes outside a bucket's
+largest component meet the bucket's nodes in other components, once for each
+pair, and only those whose signature bits leave the threshold possible. What is
+never compared is already connected or too far apart, so components are those
+of all candidate pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +43,8 @@ BITS, DEVIATIONS = 1536, 5
 REACH = 2
 #: Ids up to which a set of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-#: Bytes of candidates' texts up to which they are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Rows of a cell in which a hub meets its candidates, and of a slice of a large bucket.
+CELL, SLICE = 64, 512
 #: Word hashes that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 
@@ -84,11 +86,13 @@ class Shingler:
         self.width = width
         self.hashes: dict[str, int] = {}
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes in a row, and where each text's begin and end. A text of fewer words has its whole sequence as one shingle."""
+    def __call__(self, flat: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in a row, where each text's begin and end, the number of each word, and the word at which each shingle begins.
+
+        A text of fewer words has its whole sequence as one shingle.
+        """
         if len(self.hashes) > REMEMBERED:
             self.hashes.clear()
-        flat, ends = words(texts)
         at, distinct = numbered(flat)
         known = self.hashes
         for w in distinct:
@@ -107,45 +111,81 @@ class Shingler:
             total = (total ^ part) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
         count = np.where(n > 0, n - width + 1, 0)
-        kept = np.arange(len(h)) - np.repeat(ends[:-1], n) < np.repeat(count, n)
-        return total[kept], np.concatenate([[0], np.cumsum(count)])
+        kept = np.flatnonzero(np.arange(len(h)) - np.repeat(ends[:-1], n) < np.repeat(count, n))
+        return total[kept], np.concatenate([[0], np.cumsum(count)]), at, kept
+
+
+def set_size(hashes: np.ndarray, first: np.ndarray, word: np.ndarray, width: int) -> int:
+    """Distinct shingles of one text. Equal hashes are compared word by word, so none hides another."""
+    order = hashes.argsort()
+    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    one, two = first[order[same]], first[order[same + 1]]
+    if all((word[one + j] == word[two + j]).all() for j in range(width)):
+        return len(hashes) - len(same)
+    return len({tuple(word[i : i + width]) for i in first.tolist()})
+
+
+def _lists(full: np.ndarray, each: int, flat: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(full, each, 0))]), pa.int32()), pa.array(flat))
+
+
+def _digests(flat: pa.Array, ends: np.ndarray) -> list[bytes | None]:
+    """BLAKE2b of each text's word sequence; null without words."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), " ")
+    return [hashlib.blake2b(v.as_buffer(), digest_size=16).digest() if b > a else None for v, a, b in zip(joined, ends[:-1], ends[1:], strict=True)]
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``id, n`` (size of the set), ``digest`` (of the sorted set; null if empty), ``bands`` (one hash each) and ``bits`` (one bit of each of BITS coordinates)."""
+    """``id, n`` (size of the set), ``digest`` (of the word sequence; null if empty) and ``bands`` (one hash each)."""
 
     def make():
         shingle = Shingler(width)
         salt = (np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
 
         def run(texts: pa.Array) -> list[pa.Array]:
-            hashes, ends = shingle(texts)
-            sizes, digests = np.zeros(len(texts), np.int64), []
+            flat, of_words = words(texts)
+            hashes, ends, word, first = shingle(flat, of_words)
+            sizes = np.zeros(len(texts), np.int64)
             for i in range(len(texts)):
-                own = np.unique(hashes[ends[i] : ends[i + 1]])
-                sizes[i] = len(own)
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                a, b = ends[i], ends[i + 1]
+                if b > a:
+                    sizes[i] = set_size(hashes[a:b], first[a:b], word, min(width, of_words[i + 1] - of_words[i]))
             full = np.flatnonzero(sizes)
-            keys, bits = np.zeros((0, bands), np.uint64), np.zeros((0, BITS // 64), np.int64)
+            keys = np.zeros((0, bands), np.uint64)
             if len(full):
-                every = signatures(hashes, ends[full], max(bands * rows, BITS))
-                bits = np.ascontiguousarray(np.packbits((every[:BITS].T >> np.uint32(7) & np.uint32(1)).astype(bool), axis=1)).view(np.int64)
-                sig = every[: bands * rows].reshape(bands, rows, len(full)).astype(np.uint64)
+                sig = signatures(hashes, ends[full], bands * rows).reshape(bands, rows, len(full)).astype(np.uint64)
                 key = np.repeat(salt, len(full), axis=1)
                 for j in range(rows):
                     key = (key ^ sig[:, j]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(32)
                 keys = key.T
+            return [pa.array(sizes), pa.array(_digests(flat, of_words), pa.binary()), _lists(sizes > 0, bands, keys.reshape(-1).view(np.int64))]
+
+        return run
+
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_texts(named, "text", ["id"], [("n", "long"), ("digest", "binary"), ("bands", "array<bigint>")], make)
+
+
+def bit_sketch(texts: DataFrame, width: int, bits: int) -> DataFrame:
+    """``digest`` and ``bits`` (one bit of each of ``bits`` coordinates, in 64-bit words) of each (id, text) with words."""
 
-            def lists(each: int, flat: np.ndarray) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, each, 0))]), pa.int32()), pa.array(flat))
+    def make():
+        shingle = Shingler(width)
 
-            return [pa.array(sizes), pa.array(digests, pa.binary()), lists(bands, keys.reshape(-1).view(np.int64)), lists(BITS // 64, bits.reshape(-1))]
+        def run(part: pa.Array) -> list[pa.Array]:
+            flat, of_words = words(part)
+            hashes, ends, _word, _first = shingle(flat, of_words)
+            full = np.diff(ends) > 0
+            packed = np.zeros((0, bits // 64), np.int64)
+            if full.any():
+                every = signatures(hashes, ends[:-1][full], bits)
+                packed = np.ascontiguousarray(np.packbits((every.T >> np.uint32(7) & np.uint32(1)).astype(bool), axis=1)).view(np.int64)
+            return [pa.array(_digests(flat, of_words), pa.binary()), _lists(full, bits // 64, packed.reshape(-1))]
 
         return run
 
-    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_texts(named, "text", ["id"], [("n", "long"), ("digest", "binary"), ("bands", "array<bigint>"), ("bits", "array<bigint>")], make)
+    return map_texts(texts, "text", [], [("digest", "binary"), ("bits", "array<bigint>")], make).where("digest IS NOT NULL").groupBy("digest").agg(F.first("bits").alias("bits"))
 
 
 def shingle_set(text: str, width: int) -> set[bytes]:
@@ -155,42 +195,40 @@ def shingle_set(text: str, width: int) -> set[bytes]:
     return {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+def _of_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, and the columns of ``ids``) of the rows of ``docs`` whose id is in ``ids``; few of these are broadcast."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    # Few bytes of text go to every task, and the pairs stay where they are: many pairs may share few texts.
-    small = False
-    if few and (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BROADCAST_BYTES:
-        small, pairs = True, pairs.sortWithinPartitions("a")
-
-    def side(name: str, text: str) -> DataFrame:
-        one = texts.select(F.col("id").alias(name), F.col("text").alias(text))
-        return F.broadcast(one) if small else one
-
-    # The hub's text comes last: its rows then lie together and its set is built once.
-    met = pairs.join(side("b", "tb"), "b").join(side("a", "ta"), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, one = None, set()
-        for batch in batches:
-            ta, tb = as_texts(batch.column(2)), as_texts(batch.column(3))
-            ok = []
-            for x, y in zip(ta, tb, strict=True):
-                x, y = x.as_py(), y.as_py()
-                if x != last:
-                    last, one = x, shingle_set(x, width)
-                two = shingle_set(y, width)
-                both = len(one & two)
-                ok.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The documents b of an a are dealt over cells of about CELL rows. A cell gets
+    the text of a once and that of each b once, so a hub of many pairs is
+    neither one task nor shipped with each of them.
+    """
+    ways = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("ways"))
+    dealt = pairs.join(ways, "a").select("a", "b", F.pmod(F.xxhash64("b"), "ways").cast("int").alias("cell"))
+    hubs = dealt.select("a", "cell").distinct()
+    roles = cut(dealt.select(F.col("b").alias("id"), "a", "cell", "b").unionByName(hubs.select(F.col("a").alias("id"), "a", "cell", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"))))
+    met = _of_ids(docs, roles, id_col, text_col).select("a", "cell", "b", "text")
+
+    def run(cell: pa.Table) -> pa.Table:
+        of, b, texts = cell.column("a"), cell.column("b"), as_texts(cell.column("text").combine_chunks())
+        is_hub = pc.is_null(b).to_pylist()
+        one = [shingle_set(t.as_py(), width) for t, h in zip(texts, is_hub, strict=True) if h]
+        ok = []
+        for t, h in zip(texts, is_hub, strict=True):
+            two = set() if h else shingle_set(t.as_py(), width)
+            ok.append(not h and any(100 * (both := len(x & two)) >= percent * (len(x) + len(two) - both) for x in one))
+        return pa.table({"a": of, "b": b}).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return met.groupBy("a", "cell").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = BAND_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = BAND_ROWS, bits: int = BITS) -> DataFrame:
     """One row per row of ``docs``: ``<id_col>, n_shingles, component_id, kept``.
 
     Words are what ASCII white space separates, A-Z lower-cased. Documents are
@@ -200,69 +238,99 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     one shingle; null texts and such without words have none and are linked
     with nothing. Rows that share an id are one node. A null id joins the
     component of its copies, otherwise its component is null and it is kept. An
-    empty table gives no rows.
+    empty table gives no rows. Other columns, whatever their names, aren't read.
 
     A pair at the threshold fails to be proposed with a chance of 1e-5, pairs
-    above it with far less.
+    above it with far less. ``bits`` signature bits (a multiple of 64) rule out
+    pairs of the last comparison that differ by more than the threshold allows
+    plus DEVIATIONS deviations (chance 3e-7); with 0 none is ruled out and every
+    proposed pair of two components is compared on its full sets.
     """
     bands = band_count(percent, rows)
     every = cut(sketch(docs, width, bands, rows, id_col, text_col))
-    nodes = cut(
-        every.where("digest IS NOT NULL AND id IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min("id").alias("node"), F.max("n").alias("n"), F.min_by("bands", "id").alias("bands"), F.min_by("bits", "id").alias("bits"))
-    )
-    entries = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    hubs = entries.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    nodes = cut(every.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    entries = nodes.select("digest", "node", "n", F.posexplode("bands").alias("band", "key"))
+    hubs = entries.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut(entries.join(hubs, ["band", "key"]))
 
     def alike(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     p = (1 - percent / 100) / 2  # that a bit of the signatures differs at the threshold
-    most = math.floor(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+    most = math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
     def near(x: str, y: str) -> Column:
-        return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(BITS // 64)), F.lit(0)) <= most
-
-    def checked(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-
-    def mixed_buckets(found: DataFrame) -> DataFrame:
-        """Entries of buckets that hold several components, with their node's component and the bucket's largest one."""
-        labelled = shared.select("band", "key", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("comp"))
-        sizes = labelled.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"))
-        return cut(labelled.join(mixed, ["band", "key"]).join(nodes.select("node", "n", "bands", "bits"), "node"))
+        if not bits:
+            return F.lit(True)
+        return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)), F.lit(0)) <= most
 
     def components(links: DataFrame) -> DataFrame:
         return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    first = checked(shared.where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")), None)
-    links = cut(confirm(first, docs, width, percent, id_col, text_col))
+    def labelled(df: DataFrame, found: DataFrame, node: str, comp: str) -> DataFrame:
+        return df.join(found.select(F.col("id").alias(node), F.col("component").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
+
+    # Each node meets the hub with which it shares most buckets, then those of its hubs that are still in other components.
+    pairs = cut(shared.where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n")).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c")))
+    tried = cut(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"))
+    links = cut(confirm(tried, docs, width, percent, id_col, text_col))
     found = components(links)
 
-    inside, steps = mixed_buckets(found), []
-    for order in (F.col("bands")[(F.col("band") + 1) % bands], F.col("bits")):
-        row = Window.partitionBy("band", "key").orderBy(order, "node")
-        for k in range(1, REACH + 1):
-            steps.append(inside.withColumn("o", F.lag(F.struct("node", "n", "comp", "bits"), k).over(row)).where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n") & near("bits", "o.bits")).select(F.col("node").alias("a"), F.col("o.node").alias("b")))
-    second = checked(reduce(DataFrame.unionByName, steps), first)
-    if not second.isEmpty():
-        links = cut(links.unionByName(confirm(second, docs, width, percent, id_col, text_col)))
-        found = components(links)
-        inside = mixed_buckets(found)
-
-    minor = inside.where("comp <> top").select("band", "key", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "comp", "bands", "bits")])
-    once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("x_node"))  # of two minor nodes one order is enough
-    at_first = F.array_position(F.zip_with("bands", "x_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    cross = minor.join(inside, ["band", "key"]).where((F.col("comp") != F.col("x_comp")) & once & alike("n", "x_n") & near("bits", "x_bits") & at_first)
-    third = checked(cross.select(F.col("node").alias("a"), F.col("x_node").alias("b")), first.unionByName(second))
-    if not third.isEmpty():
-        links = links.unionByName(confirm(third, docs, width, percent, id_col, text_col))
-        found = components(links)
-    label = nodes.select("digest", "node").join(found.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    known: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    def inside() -> DataFrame:
+        """Entries of buckets that hold several components, with their node's component, its bits and the bucket's largest component."""
+        if id(found) not in known:
+            known.clear()
+            known[id(found)] = found, mixed_entries()
+        return known[id(found)][1]
+
+    def mixed_entries() -> DataFrame:
+        rows_ = labelled(shared.select("band", "key", "c", "digest", "node"), found, "node", "comp")
+        sizes = rows_.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"))
+        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"))
+        out = cut(rows_.join(mixed, ["band", "key"]).join(nodes.select("digest", "n", "bands"), "digest"))
+        if bits:
+            ids = cut(out.select(F.col("node").alias("id")).distinct())
+            out = cut(out.join(bit_sketch(_of_ids(docs, ids, id_col, text_col), width, bits), "digest"))
+        return out
+
+    def other_hubs() -> DataFrame:
+        return labelled(labelled(pairs.select("a", "b"), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
+
+    def neighbours() -> DataFrame:
+        # A bucket's order is cut into slices of about SLICE rows, equal values together; the last step has what lies across.
+        rows_, out = inside(), []
+        slices = F.ceil(F.col("c") / F.lit(SLICE))
+        top = F.shiftrightunsigned(F.col("bits")[0], 40) if bits else F.abs(F.xxhash64("node"))
+        for order, part in ((F.col("bands")[(F.col("band") + 1) % bands], F.pmod(F.col("bands")[(F.col("band") + 1) % bands], slices)), (F.col("bits") if bits else F.col("bands"), F.floor(top * slices / F.lit(float(1 << 24))) if bits else F.pmod(top, slices))):
+            row = Window.partitionBy("band", "key", "_part").orderBy(order, "node")
+            sliced = rows_.withColumn("_part", part)
+            for k in range(1, REACH + 1):
+                kept = ["node", "n", "comp", *(["bits"] if bits else [])]
+                near_o = sliced.withColumn("o", F.lag(F.struct(*kept), k).over(row)).where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n") & (near("bits", "o.bits") if bits else F.lit(True)))
+                out.append(near_o.select(F.col("node").alias("a"), F.col("o.node").alias("b")))
+        return reduce(DataFrame.unionByName, out)
+
+    def crossing() -> DataFrame:
+        # Of a bucket's nodes, those outside its largest component meet the others. Large buckets are dealt over cells.
+        rows_ = inside().withColumn("_ways", F.ceil(F.col("c") / F.lit(SLICE)).cast("int"))
+        names = ["node", "n", "comp", "bands", *(["bits"] if bits else [])]
+        minor = rows_.where("comp <> top").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_cell"), *[F.col(c).alias(f"x_{c}") for c in names])
+        whole = rows_.withColumn("_cell", F.pmod(F.xxhash64("node"), "_ways").cast("int"))
+        once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("x_node"))  # of two minor nodes one order is enough
+        at_first = F.array_position(F.zip_with("bands", "x_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+        cross = minor.join(whole, ["band", "key", "_cell"]).where((F.col("comp") != F.col("x_comp")) & once & alike("n", "x_n") & near("bits", "x_bits") & at_first)
+        return cross.select(F.col("node").alias("a"), F.col("x_node").alias("b"))
+
+    for step in (other_hubs, neighbours, crossing):
+        fresh = step().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            links = cut(links.unionByName(confirm(fresh, docs, width, percent, id_col, text_col)))
+            tried = tried.unionByName(fresh)
+            found = components(links)
+    label = labelled(nodes.select("digest", "node"), found, "node", "component_id").select("digest", "component_id")
     return (
         every.join(label, "digest", "left")
         .withColumn("component_id", F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id")))
@@ -273,9 +341,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group of near copies the one with the smallest id.
 
-    Rows that share an id stay or go together; rows with a null id stay.
+    Rows that share an id stay or go together; rows with a null id or without
+    words stay. Columns may have any names. An empty table gives no rows.
     """
-    found = near_duplicates(docs, width, percent, id_col, text_col)
-    gone = cut(found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).where("_gone IS NOT NULL").distinct())
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own = f"c{names.index(id_col)}"
+    found = near_duplicates(inner, width, percent, own, f"c{names.index(text_col)}")
+    gone = cut(found.where(~F.col("kept")).select(F.col(own).alias("gone")).where("gone IS NOT NULL").distinct())
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    left = inner.join(F.broadcast(gone) if few else gone, F.col(own) == F.col("gone"), "left_anti")
+    return left.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

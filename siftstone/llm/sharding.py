@@ -6,8 +6,9 @@ is found by binary search, and the sequence is cut where that sweep cuts.
 
 The search never sees all groups. It works on a summary of contiguous digest
 ranges (4096 at first, by three hex digits; the digest spreads them evenly)
-and splits only those ranges in which a cut may still fall, until these hold
-single groups. The driver thus holds a bounded number of ranges at any size.
+and splits only those ranges in which a cut may still fall into 256 each, until
+these hold single groups. A cut leaves a handful of such ranges, so a round
+brings some thousands of ranges to the driver at any size of the table.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 
 from .common import cut, shuffle_width
 
-#: Hex digits that each refinement adds.
-STEP = 3
+#: Hex digits of the first summary, and those that each refinement adds.
+FIRST, STEP = 3, 2
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def find_cuts(sizes: DataFrame, shards: int) -> tuple[int, list[str]]:
         )
         return sorted((Segment(r.p, r.s, r.a, r.a == r.b) for r in rows), key=lambda s: s.prefix)
 
-    segments = summary(sizes, STEP)
+    segments = summary(sizes, FIRST)
     if not segments:
         return 0, []
     total = sum(s.size for s in segments)
@@ -154,7 +155,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     the group of the empty one. Equal texts share a shard, so a group larger
     than an even share makes its shard that large. ``slot`` counts from 0
     within a shard. With fewer groups than shards, later shards stay empty; an
-    empty table gives no rows. Repeated rows each take a slot.
+    empty table gives no rows. Repeated rows each take a slot; rows with a null id
+    too, and those of one text lie in one cell of its group. Other columns,
+    whatever their names, aren't read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -1,15 +1,17 @@
 """URL filters by a sort-merge range join.
 
-A rule (host, path) is a canonical key: its host's labels reversed, then its
-path. All urls below a rule are one interval of that order, and intervals of
-rules either nest or are disjoint. A url also falls under the rules of its
-host's parent domains, so it is looked up once for each parent that has rules.
-
-Rules and urls of one host are sorted by path together. In that order the
-stack of nested rules that is active at a url is the stack of the last rule
-before it, less the rules whose interval has ended (those that aren't a prefix
-of the url's path). Each rule carries its stack, so a running last value is the
-whole sweep.
+A host's canonical key is its labels in reverse, each with an end mark; all
+hosts below a rule's host are one interval of that order, and such intervals
+nest or are disjoint. Urls and rule hosts are sorted together and dealt into
+contiguous ranges. The stack of nested rule hosts that is active at a url is the
+stack of the last rule host before it, less those whose interval has ended
+(those whose key isn't a prefix of the url's). Each rule host carries its stack,
+so a running last value is the whole sweep; a range begins with the stack that
+the ranges before it leave.
+
+The url then meets the path rules of each host on its stack. These are
+intervals again: rules and urls of a rule host are sorted by path, and each rule
+carries the stack of rules whose path is a prefix of its own.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, shuffle_width
+from .common import ascii_lower, cut, shuffle_width
 
 #: Rules of the contract: (action, host, path).
 DEFAULT_RULES = (
@@ -32,7 +34,9 @@ DEFAULT_RULES = (
 )
 #: The verdict where no rule fits: a filter blocks only what it names.
 DEFAULT_VERDICT = "allow"
-#: Rows of distinct rule hosts up to which they are broadcast.
+#: Ends each label of a key; it sorts before all that a host may hold.
+END = "\u0001"
+#: Rows of counts by rule host up to which they are broadcast.
 BROADCAST_HOSTS = 100_000
 
 
@@ -46,12 +50,20 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def reversed_key(host: Column) -> Column:
-    """``www.example.com`` as ``com.example.www``."""
-    return F.array_join(F.reverse(F.split(host, r"\.")), ".")
+    """``www.example.com`` as ``com|example|www|``, with END for the bars (where a host itself holds that character, the next one stands for it)."""
+    return F.concat(F.array_join(F.reverse(F.split(F.translate(host, END, "\u0002"), r"\.")), END), F.lit(END))
+
+
+def _host_of(rkey: Column) -> Column:
+    """The host of a key."""
+    return F.array_join(F.reverse(F.split(F.substring(rkey, F.lit(1), F.length(rkey) - 1), END)), ".")
 
 
 def rule_table(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(list(rules), "action string, host string, path string")
+    """``rules`` (action, host, path) as a table of constants."""
+    rows = [F.struct(F.lit(a).alias("action"), F.lit(h).alias("host"), F.lit(p).alias("path")) for a, h, p in rules]
+    kind = "array<struct<action: string, host: string, path: string>>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind) if rows else F.from_json(F.lit("[]"), kind)))
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
@@ -72,6 +84,37 @@ def _stacks(rules: DataFrame) -> DataFrame:
     )
 
 
+def _host_stacks(hosts: DataFrame) -> DataFrame:
+    """Each rule host (rkey) with the rule hosts that contain it, outermost first, itself last: ``_hosts``.
+
+    The work is the rules' labels: a host's own ancestors meet rule hosts by equality.
+    """
+    labels = F.split(F.substring("rkey", F.lit(1), F.length("rkey") - 1), END)
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, F.lit(1), n), END), F.lit(END)))
+    outer = hosts.select("rkey", F.explode(ancestors).alias("_outer")).join(hosts.select(F.col("rkey").alias("_outer")), "_outer")
+    return outer.groupBy("rkey").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.length("_outer").alias("n"), "_outer"))), lambda r: r["_outer"]).alias("_hosts"))
+
+
+def _active_hosts(urls: DataFrame, hosts: DataFrame, width: int) -> DataFrame:
+    """``urls`` (host, path) with ``rkey``, once for each rule host whose interval holds theirs, and ``_depth``, its place on the stack."""
+    kind = "array<string>"
+    lookups = urls.select(reversed_key(F.col("host")).alias("key"), "path", "host", F.lit(None).cast(kind).alias("_hosts"))
+    rules = _host_stacks(hosts).select(F.col("rkey").alias("key"), F.lit("").alias("path"), F.lit(None).cast("string").alias("host"), "_hosts")
+    # Contiguous ranges of the order, written so that a range is the same in all that follows.
+    ranged = cut(lookups.unionByName(rules).repartitionByRange(width, "key", "path").withColumn("_range", F.spark_partition_id()))
+    # The last rule host of each range, and so the stack with which the next one begins: one row for each range.
+    ends = ranged.where("_hosts IS NOT NULL").groupBy("_range").agg(F.max_by("_hosts", "key").alias("_end"))
+    ranges = ranged.select("_range").distinct().join(ends, "_range", "left")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranges.select("_range", F.last("_end", ignorenulls=True).over(before).alias("_begin"))
+    # A host's rule comes before its urls, all of which have the same key.
+    sweep = Window.partitionBy("_range").orderBy("key", F.col("host").isNotNull(), "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stack = F.coalesce(F.last("_hosts", ignorenulls=True).over(sweep), F.col("_begin"))
+    active = F.filter("_stack", lambda k: F.startswith(F.col("key"), k))
+    swept = ranged.join(F.broadcast(begins), "_range").withColumn("_stack", stack).where("host IS NOT NULL")
+    return swept.select("host", "path", F.posexplode(active).alias("_depth", "rkey"))
+
+
 def filter_urls(
     pages: DataFrame,
     rules: DataFrame,
@@ -96,21 +139,17 @@ def filter_urls(
         F.lower("action").alias("action"),
         reversed_key(ascii_lower(F.col("host"))).alias("rkey"),
         F.coalesce(F.col("path"), F.lit("")).alias("path"),
-    ).where((F.col("rkey") != "") & F.col("action").isin("allow", "block"))
+    ).where((F.col("host") != "") & F.col("action").isin("allow", "block"))
     stacks = _stacks(keyed)
 
     # What is looked up is a distinct (host, path); a hot pair so costs one row.
+    width = 4 * shuffle_width(spark)
     distinct = urls.where(F.col("host") != "").groupBy("host", "path").agg(F.count(F.lit(1)).alias("_c"))
-    labels = F.reverse(F.split("host", r"\."))
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), "."))
-    probes = distinct.select("host", "path", F.posexplode(parents).alias("_depth", "rkey"))
     hosts = keyed.select("rkey").distinct()
     few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    hosts = F.broadcast(hosts) if few else hosts
-    probes = probes.join(hosts, "rkey", "left_semi")
+    probes = _active_hosts(distinct.select("host", "path"), hosts, shuffle_width(spark))
 
     # A host's urls are dealt over as many cells as its share of all lookups asks for; its rules go to each of them.
-    width = 4 * shuffle_width(spark)
     fair = max(64, -(-pages.count() // width))
     ways = probes.groupBy("rkey").agg(F.ceil(F.count(F.lit(1)) / F.lit(fair)).cast("int").alias("_ways"))
     # One row for each rule host at most, as in ``hosts``: where they are few, the lookups stay where they are.
@@ -128,7 +167,7 @@ def filter_urls(
         .withColumn("_last", F.try_element_at(active, F.lit(-1)))
         .where(F.col("host").isNotNull() & F.col("_last").isNotNull())
         .groupBy("host", "path")
-        .agg(F.max(F.struct("_depth", F.array_join(F.reverse(F.split("rkey", r"\.")), ".").alias("h"), F.col("_last.path").alias("p"), F.col("_last.action").alias("a"))).alias("_best"))
+        .agg(F.max(F.struct("_depth", _host_of(F.col("rkey")).alias("h"), F.col("_last.path").alias("p"), F.col("_last.action").alias("a"))).alias("_best"))
     )
     return urls.join(found, ["host", "path"], "left").select(
         F.col("_id").alias(id_col),

@@ -15,16 +15,16 @@ def test_masks_miss_no_window():
 
 
 def brute(docs, items):
-    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    split = lambda t: re.findall(r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W_\u3040-\u30ff\u4e00-\u9fff]+", (t or "").lower())
     out = set()
     for n, (k, t) in enumerate(docs):
         w = split(t)
         for item, b in items:
             b = split(b)
-            if len(b) < d.MIN_WORDS:
+            if not b:
                 continue
             width = min(d.WINDOW, len(b))
-            allowed = width * d.SUBSTITUTIONS // d.WINDOW
+            allowed = width * d.SUBSTITUTIONS // d.WINDOW if len(b) >= d.MIN_WORDS else 0
             for start in range(-len(b), len(w)):
                 same = [0 <= start + j < len(w) and w[start + j] == b[j] for j in range(len(b))]
                 if any(same[s : s + width].count(False) <= allowed for s in range(len(b) - width + 1)):
@@ -63,6 +63,24 @@ def test_matches_brute_force(spark):
     assert 20 < sum(r.contaminated for r in rows) < 140
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Alpha beta"), (2, "gamma"), (3, "東京の春は花がとても美しい"), (4, "?!"), (5, "one two three four five six seven")]
+    docs = [(1, "say alpha, BETA now"), (2, "alpha x beta"), (3, "the gamma ray"), (4, "gammas"), (5, "まず東京の春は花がとても美しいです"), (6, "東京"), (7, "one two three four five six eight"), (8, "one two three four five six seven")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = d.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, i) for r in rows for i in r.item_ids} == {(k, i) for k, _, i in brute(docs, items)} == {(1, 1), (3, 2), (5, 3), (8, 5)}
+
+
+def test_keep_clean_with_clashing_names(spark):
+    items = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen")]
+    docs = [(1, "x " + items[0][1], "a", 1, 2), (2, "other", "b", 3, 4), (None, items[0][1], "c", 5, 6), (None, None, "d", 7, 8)]
+    frame = spark.createDataFrame(docs, "_id long, text string, _hash string, hash int, id int")
+    bench = spark.createDataFrame(items, "item long, iw string")
+    kept = d.keep_clean(frame, bench, "_id", "text", "item", "iw")
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([docs[1], docs[3]], key=str)
+    assert d.keep_clean(frame.limit(0), bench, "_id", "text", "item", "iw").count() == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

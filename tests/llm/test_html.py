@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+import time
 from html import unescape
 
 import pytest
@@ -17,7 +18,7 @@ def test_blocks_of_unseen_layouts(model):
     right = total = 0
     for seed in range(5000, 5100):
         part = html_pages.labelled_page(seed)
-        page, labels = html.parse(html_pages.page_html(part)), [0]
+        page, labels = html.parse(html_pages.page_html(part)), []
         html._labels(part, labels)
         assert len(labels) == len(page.nodes)
         near = model.marginals(page)
@@ -65,3 +66,38 @@ def test_odd_rows(spark, model):
     assert len(rows) == len(odd) and all(r.n_chars == len(r.text) for r in rows)
     assert {r.text for r in rows if r.page_id in (1, 2)} == {""}
     assert html.extract(spark.createDataFrame([], "page_id long, html string"), ["page_id"], model=model).count() == 0
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<article><p>Let x be a number.</p></article>", "Let x be a number."),
+        ("<html><body><article><p>Let <math><mi>x</mi></math> be a number. And so on.</p></article></body></html>", "Let x be a number. And so on."),
+        ("<p>Hello there.</p>", "Hello there."),
+        ("<body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>One two three four.</p><details><summary>More</summary>Hidden text here.</details><p>End of it.</p></article><footer>f</footer></body>", "T\nOne two three four.\nMore\nHidden text here.\nEnd of it."),
+        ('<nav><a href="/x">Home</a></nav>', ""),
+        ('<body><div class="cookie">We use cookies.</div></body>', ""),
+    ],
+)
+def test_small_pages(model, source, want):
+    assert html.main_text(source, model) == want
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<div>" * 100_000 + "</p>" * 100_000,
+        "<b>" * 150_000 + "</i>" * 150_000,
+        "<i>" * 100_000 + "<b>" * 100_000 + "</i>" * 100_000,
+        "<li><ul>" + "<x>" * 80_000 + "<li></li>" * 80_000,
+        "<svg><foreignobject>" + "<g>" * 100_000 + "<p>" * 100_000,
+        "<svg><i><g>" + "<b>" * 100_000 + "</i>" * 100_000,
+        "<head>" * 150_000,
+        "<svg>" + "".join(f"<x{i}>" for i in range(100_000)),
+    ],
+    ids=range(8),
+)
+def test_a_megabyte_of_broken_tags_takes_seconds(model, source):
+    began = time.process_time()
+    html.main_text(source, model)
+    assert time.process_time() - began < 20

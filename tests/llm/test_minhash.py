@@ -81,3 +81,65 @@ def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "u long, v long")
     got = {r.id: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
+
+
+def test_large_group_around_the_threshold(spark, monkeypatch):
+    """One hot group: each text changes words of the same base, so that pairs lie on both sides of the threshold."""
+    monkeypatch.setattr(minhash, "CELL", 4)
+    monkeypatch.setattr(minhash, "SLICE", 16)
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for k in range(160):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 7, 8])):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10_000)}"
+        rows.append((k, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 85)
+    assert 1 < len({c for _, c in want.values()}) < 160
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85, bits=0).collect()} == want
+    # With signature bits, too, no link is lost here.
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85).collect()} == want
+
+
+def test_nothing_is_broadcast_beyond_its_bound(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == want
+
+
+def test_signature_bits_rule_out_no_pair_above_the_threshold():
+    """Of 2000 pairs of sets just above the threshold all pass; the chance of losing one is 3e-7 each."""
+    rng = np.random.default_rng(9)
+    p = (1 - 0.85) / 2
+    most = int(minhash.BITS * p + minhash.DEVIATIONS * (minhash.BITS * p * (1 - p)) ** 0.5)
+    lost = 0
+    for _ in range(20):
+        sets, starts = [], []
+        for _ in range(100):
+            n = int(rng.integers(30, 300))
+            both = int(np.ceil(0.85 / 1.85 * 2 * n))  # of n each: similarity both / (2 n - both)
+            pool = rng.integers(0, 2**63, 2 * n - both).astype(np.uint64)
+            for part in (pool[:n], pool[n - both :]):
+                starts.append(sum(map(len, sets)))
+                sets.append(part)
+        bits = minhash.signatures(np.concatenate(sets), np.array(starts), minhash.BITS) >> np.uint32(7) & np.uint32(1)
+        lost += int(((bits[:, ::2] != bits[:, 1::2]).sum(axis=0) > most).sum())
+    assert lost == 0
+
+
+def test_equal_hashes_of_different_shingles_are_told_apart():
+    word = np.array([0, 1, 2, 3, 0, 1])
+    first = np.arange(5)  # of width 2: 01 12 23 30 01
+    assert minhash.set_size(np.array([9, 8, 7, 6, 9], np.uint64), first, word, 2) == 4
+    assert minhash.set_size(np.array([9, 9, 7, 6, 9], np.uint64), first, word, 2) == 4
+
+
+def test_keep_representatives_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, 1), (2, "a b c d e f", 6, 2), (None, "a b c d e f", 7, 3), (4, None, 8, 4), (5, "z", 9, 5)], "gone long, text string, c0 long, id long")
+    kept = minhash.keep_representatives(docs, id_col="gone")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([r for r in map(tuple, docs.collect()) if r[0] != 2], key=str)
+    assert minhash.keep_representatives(docs.limit(0), id_col="gone").count() == 0

@@ -55,3 +55,23 @@ def test_stages_match_brute_force(spark, sf):
 def test_run_gives_the_last_stage(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 100 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_every_stage_takes_clashing_names_and_empty_tables(spark, sf):
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = "_id _hash _sha _len _keep gone id hash component_id kept lang_pred score accepted item c0 k0 f0 t".split()
+    docs = base.selectExpr("*", *[f"n_chars AS `{n}`" for n in names])
+    frame = spark.createDataFrame(docs.collect(), docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, sf)
+        none = stage(spark, frame.limit(0), sf)
+        assert none.count() == 0
+        if name != "packing":
+            assert out.columns == frame.columns == none.columns
+            assert all(r.n_chars == r[n] for r in out.collect() for n in names)
+        assert out.count() > 20
+
+
+def test_pipeline_without_labels(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    assert corpus_pipeline.identify_language(spark, docs, sf).count() == docs.count()
