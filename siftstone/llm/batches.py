@@ -59,12 +59,20 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), kept[ends]
 
 
+def coded(flat: pa.Array) -> pa.DictionaryArray:
+    out = flat.dictionary_encode()
+    return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
+
+
+def word_numbers(flat: pa.Array) -> np.ndarray:
+    """A number for each word; equal words alone have the same."""
+    return coded(flat).indices.to_numpy(zero_copy_only=False)
+
+
 def numbered(flat: pa.Array) -> tuple[np.ndarray, list[str]]:
     """Each word's number in the list of distinct words, and that list."""
-    coded = flat.dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    c = coded(flat)
+    return c.indices.to_numpy(zero_copy_only=False), c.dictionary.to_pylist()
 
 
 def map_texts(

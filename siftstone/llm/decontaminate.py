@@ -24,13 +24,16 @@ WINDOW, SUBSTITUTIONS = 13, 2
 MIN_WORDS = 8
 #: Rows, and words in them, up to which a side is broadcast.
 BROADCAST_ROWS, BROADCAST_WORDS = 1_000_000, 4_000_000
-#: Scripts without spaces, of which each character is a word: fixed values.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Code points of scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han), of which each letter is a word: fixed values.
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 
 
 def word_list(text: Column) -> Column:
     """Lower-case runs of letters and digits, single characters of scripts without spaces; an empty list for a null or empty text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[{UNSPACED}]|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+"), 0)
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    spaced = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    plain = F.trim(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+", " "))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
 
 
 def whole_mask(length: int) -> tuple[int, ...]:

@@ -26,12 +26,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .batches import as_texts, map_texts, numbered, words
+from .batches import as_texts, map_texts, word_numbers, words
 from .common import cut
 from .components import connected_components
 
@@ -45,8 +44,6 @@ REACH = 2
 BROADCAST_IDS = 1_000_000
 #: Rows of a cell in which a hub meets its candidates, and of a slice of a large bucket.
 CELL, SLICE = 64, 512
-#: Word hashes that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
 
 
 def band_count(percent: int, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -79,26 +76,39 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, coordinates: int) -> np.n
     return out
 
 
+def _scatter(n: int) -> np.ndarray:
+    """``n`` odd 64-bit numbers, one for each place in a word."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
+
+
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each (non-empty) word: its bytes times a number for each place, summed and mixed."""
+    if not len(flat):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    data = np.frombuffer(flat.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    h = np.add.reduceat((data + np.uint64(1)) * _scatter(int(sizes.max()))[place], starts) + sizes.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 class Shingler:
     """64-bit hashes of all word shingles of each text of a slice."""
 
     def __init__(self, width: int):
         self.width = width
-        self.hashes: dict[str, int] = {}
 
-    def __call__(self, flat: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes in a row, where each text's begin and end, the number of each word, and the word at which each shingle begins.
+    def __call__(self, flat: pa.Array, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes in a row, where each text's begin and end, and the word at which each shingle begins.
 
         A text of fewer words has its whole sequence as one shingle.
         """
-        if len(self.hashes) > REMEMBERED:
-            self.hashes.clear()
-        at, distinct = numbered(flat)
-        known = self.hashes
-        for w in distinct:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, distinct), np.uint64, len(distinct))[at]
+        h = word_hashes(flat)
         n = np.diff(ends)
         width = np.minimum(n, self.width)  # of each text's shingles
         total = np.zeros(len(h), np.uint64)
@@ -112,7 +122,7 @@ class Shingler:
             total ^= total >> np.uint64(29)
         count = np.where(n > 0, n - width + 1, 0)
         kept = np.flatnonzero(np.arange(len(h)) - np.repeat(ends[:-1], n) < np.repeat(count, n))
-        return total[kept], np.concatenate([[0], np.cumsum(count)]), at, kept
+        return total[kept], np.concatenate([[0], np.cumsum(count)]), kept
 
 
 def set_size(hashes: np.ndarray, first: np.ndarray, word: np.ndarray, width: int) -> int:
@@ -144,7 +154,8 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text
 
         def run(texts: pa.Array) -> list[pa.Array]:
             flat, of_words = words(texts)
-            hashes, ends, word, first = shingle(flat, of_words)
+            hashes, ends, first = shingle(flat, of_words)
+            word = word_numbers(flat)
             sizes = np.zeros(len(texts), np.int64)
             for i in range(len(texts)):
                 a, b = ends[i], ends[i + 1]
@@ -175,7 +186,7 @@ def bit_sketch(texts: DataFrame, width: int, bits: int) -> DataFrame:
 
         def run(part: pa.Array) -> list[pa.Array]:
             flat, of_words = words(part)
-            hashes, ends, _word, _first = shingle(flat, of_words)
+            hashes, ends, _first = shingle(flat, of_words)
             full = np.diff(ends) > 0
             packed = np.zeros((0, bits // 64), np.int64)
             if full.any():
@@ -299,13 +310,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return labelled(labelled(pairs.select("a", "b"), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
 
     def neighbours() -> DataFrame:
-        # A bucket's order is cut into slices of about SLICE rows, equal values together; the last step has what lies across.
+        # A large bucket is dealt at random into slices of about SLICE rows, each with its own order; the last step has what lies across.
         rows_, out = inside(), []
-        slices = F.ceil(F.col("c") / F.lit(SLICE))
-        top = F.shiftrightunsigned(F.col("bits")[0], 40) if bits else F.abs(F.xxhash64("node"))
-        for order, part in ((F.col("bands")[(F.col("band") + 1) % bands], F.pmod(F.col("bands")[(F.col("band") + 1) % bands], slices)), (F.col("bits") if bits else F.col("bands"), F.floor(top * slices / F.lit(float(1 << 24))) if bits else F.pmod(top, slices))):
+        for number, order in enumerate((F.col("bands")[(F.col("band") + 1) % bands], F.col("bits") if bits else F.col("bands"))):
             row = Window.partitionBy("band", "key", "_part").orderBy(order, "node")
-            sliced = rows_.withColumn("_part", part)
+            sliced = rows_.withColumn("_part", F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("c") / F.lit(SLICE))))
             for k in range(1, REACH + 1):
                 kept = ["node", "n", "comp", *(["bits"] if bits else [])]
                 near_o = sliced.withColumn("o", F.lag(F.struct(*kept), k).over(row)).where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n") & (near("bits", "o.bits") if bits else F.lit(True)))
