@@ -1,20 +1,27 @@
 """Consensus of several labelings, from a long table (run, row_id, label).
 
 Co-association is sparse: only pairs that share a cluster in some run have a
-row. Steps that need the dense matrix take at most ``DENSE`` rows.
+row. Rows with the same labels in all runs are one profile, and what is counted
+over pairs of rows is counted over pairs of profiles. Steps that need a dense
+matrix take at most ``DENSE`` rows or, beyond that, profiles.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import agreement, clustering, distances
+from . import agreement, clustering, distances, metrics
+from .graph import cut
 
 DENSE = 2_000
+#: Profiles that meta-clustering takes.
+META = 20_000
 #: Rows of weights up to which they are broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -51,40 +58,83 @@ def cosampled_consensus(runs: DataFrame, id_col: str = "row_id") -> DataFrame:
     return a.join(b, "run").where("i < j").groupBy("i", "j").agg((F.sum(same.cast("int")) / F.count(F.lit(1))).alias("c"))
 
 
-def pac(pairs: DataFrame, n_pairs: int, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """Share of all pairs whose consensus is ambiguous. Pairs without a row have consensus 0."""
-    return pairs.agg((F.count_if((F.col("c") > low) & (F.col("c") < high)) / F.lit(n_pairs)).alias("pac"))
+def profiles(runs: DataFrame, id_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """Rows by what labels they have in all runs: (id, pid) and (pid, n, labels), labels being the (run, label) that aren't noise."""
+    known = F.when(F.col("label") != -1, F.struct("run", "label"))
+    rows = runs.groupBy(id_col).agg(F.sort_array(F.collect_list(known)).alias("labels"))
+    counted = cut(rows.groupBy("labels").agg(F.count(F.lit(1)).alias("n")).withColumn("pid", F.monotonically_increasing_id()))
+    return rows.join(counted.select("labels", "pid"), "labels").select(id_col, "pid"), counted
+
+
+def profile_pairs(counted: DataFrame, n_runs: int) -> DataFrame:
+    """(p, q, np, nq, c) for each two profiles (and each with itself, p = q) that share a cluster; c is their consensus."""
+    rows = counted.select("pid", "n", F.explode("labels").alias("l"))
+    a = rows.select(F.col("pid").alias("p"), F.col("n").alias("np"), "l")
+    b = rows.select(F.col("pid").alias("q"), F.col("n").alias("nq"), "l")
+    return a.join(b, "l").where("p <= q").groupBy("p", "q").agg(F.first("np").alias("np"), F.first("nq").alias("nq"), (F.count(F.lit(1)) / F.lit(float(n_runs))).alias("c"))
+
+
+def pair_histogram(runs: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """(c, n): how many pairs of rows have each consensus above 0; at most one row for each number of runs."""
+    counted = profiles(runs, id_col)[1]
+    pairs = profile_pairs(counted, runs.select("run").distinct().count())
+    n = F.when(F.col("p") == F.col("q"), F.col("np") * (F.col("np") - 1) / 2).otherwise(F.col("np") * F.col("nq"))
+    return pairs.groupBy("c").agg(F.sum(n.cast("long")).alias("n")).where("n > 0")
+
 
+def pac(histogram: DataFrame, n_pairs: int, low: float = 0.1, high: float = 0.9) -> DataFrame:
+    """Share of all pairs whose consensus is ambiguous, from (c, n). Pairs that aren't counted have consensus 0."""
+    return histogram.agg((F.coalesce(F.sum(F.when((F.col("c") > low) & (F.col("c") < high), F.col("n"))), F.lit(0)) / F.lit(n_pairs)).alias("pac"))
 
-def consensus_cdf(pairs: DataFrame, n_pairs: int, bins: int = 10) -> DataFrame:
-    """Cumulative share of pairs by consensus bin."""
-    binned = pairs.groupBy(F.least(F.floor(F.col("c") * bins + 1e-9), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+def consensus_cdf(histogram: DataFrame, n_pairs: int, bins: int = 10) -> DataFrame:
+    """Cumulative share of pairs by consensus bin, from (c, n)."""
+    binned = histogram.groupBy(F.least(F.floor(F.col("c") * bins + 1e-9), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
     missing = F.lit(n_pairs) - F.sum("n").over(Window.partitionBy(F.lit(0)))
     upto = F.sum("n").over(Window.orderBy("bin"))
     return binned.select("bin", ((upto + missing) / F.lit(n_pairs)).alias("cdf"))
 
 
-def item_consensus(pairs: DataFrame, labels: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Mean consensus of each row with the others of its cluster: row_id, label, consensus."""
+def item_consensus(runs: DataFrame, labels: DataFrame, id_col: str = "row_id") -> DataFrame:
+    """Mean consensus of each row with the others of its cluster: row_id, label, consensus.
+
+    A row shares a run's cluster with as many rows of its own cluster as the
+    contingency of the two labelings says, so no pair is built.
+    """
+    n_runs = runs.select("run").distinct().count()
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.select("i", "j", "c").union(pairs.select("j", "i", "c"))
-    a = labels.select(F.col(id_col).alias("i"), F.col("label").alias("la"))
-    b = labels.select(F.col(id_col).alias("j"), F.col("label").alias("lb"))
-    inside = both.join(a, "i").join(b, "j").where("la = lb").groupBy("i").agg(F.sum("c").alias("s"))
+    met = labels.select(id_col, F.col("label").alias("own")).join(runs.where("label <> -1").select(id_col, "run", "label"), id_col)
+    cells = met.groupBy("own", "run", "label").agg(F.count(F.lit(1)).alias("m"))
+    shared = met.join(cells, ["own", "run", "label"]).groupBy(F.col(id_col).alias("i")).agg((F.sum(F.col("m") - 1) / F.lit(float(n_runs))).alias("s"))
     return (
-        labels.join(inside, F.col(id_col) == F.col("i"), "left")
+        labels.join(shared, F.col(id_col) == F.col("i"), "left")
         .join(sizes, "label")
         .select(id_col, "label", F.when(F.col("n") > 1, F.coalesce("s", F.lit(0.0)) / F.when(F.col("n") > 1, F.col("n") - 1).otherwise(F.lit(1))).otherwise(F.lit(1.0)).alias("consensus"))
     )
 
 
-def uncertainty(pairs: DataFrame, n_rows: int, id_col: str = "row_id", threshold: float = 0.85) -> DataFrame:
-    """Entropy of each row's co-associations over log2(n): row_id, uncertainty, uncertain."""
-    both = pairs.select("i", "c").union(pairs.select(F.col("j"), "c")).where("c > 0")
-    s = both.groupBy("i").agg((F.sum("c") + 1.0).alias("s"), F.sum(F.col("c") * F.log2("c")).alias("cl"))
+def ambiguous_items(items: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows whose consensus with their own cluster is below ``threshold``."""
+    return items.where(F.col("consensus") < threshold)
+
+
+def cluster_cohesion(items: DataFrame) -> DataFrame:
+    """Mean consensus of the pairs in each cluster: label, cohesion."""
+    return items.where("label <> -1").groupBy("label").agg(F.avg("consensus").alias("cohesion"))
+
+
+def uncertainty(runs: DataFrame, n_rows: int, id_col: str = "row_id", threshold: float = 0.85) -> DataFrame:
+    """Entropy of each row's co-associations over log2(n): row_id, uncertainty, uncertain. Rows that share a cluster with no other have none."""
+    rows, counted = profiles(runs, id_col)
+    pairs = profile_pairs(counted, runs.select("run").distinct().count())
+    own = pairs.where("p = q").select("p", (F.col("np") - 1).alias("m"), "c")
+    other = pairs.where("p < q")
+    each = own.unionByName(other.select("p", F.col("nq").alias("m"), "c")).unionByName(other.select(F.col("q").alias("p"), F.col("np").alias("m"), "c")).where("m > 0")
+    s = each.groupBy("p").agg((F.sum(F.col("c") * F.col("m")) + 1.0).alias("s"), F.sum(F.col("m") * F.col("c") * F.log2("c")).alias("cl"))
     # The diagonal's 1 belongs to the row's distribution.
     h = F.log2("s") - F.col("cl") / F.col("s")
-    return s.select(F.col("i").alias(id_col), (h / F.log2(F.lit(float(n_rows)))).alias("uncertainty")).withColumn("uncertain", F.col("uncertainty") > threshold)
+    per = s.select(F.col("p").alias("pid"), (h / F.log2(F.lit(float(n_rows)))).alias("uncertainty"))
+    return rows.join(per, "pid").select(id_col, "uncertainty").withColumn("uncertain", F.col("uncertainty") > threshold)
 
 
 def majority(runs: DataFrame, least: float = 0.7, other: int = -2, id_col: str = "row_id") -> DataFrame:
@@ -132,56 +182,92 @@ def evidence_majority(runs: DataFrame, weights: DataFrame | None = None, least:
     return top.select(id_col, F.when(F.col("t.w") / F.col("s") < least, F.lit(-1)).otherwise(-F.col("t.l")).cast("int").alias("label"), (F.col("t.w") / F.col("s")).alias("confidence"))
 
 
-def dense_matrix(pairs: DataFrame, ids: list) -> np.ndarray:
-    """The co-association of at most DENSE rows, diagonal 1."""
-    if len(ids) > DENSE:
-        raise ValueError(f"more than {DENSE} rows; sample them first")
-    at = {v: i for i, v in enumerate(ids)}
-    c = np.eye(len(ids))
-    for r in pairs.toPandas().itertuples():
-        if r.i in at and r.j in at:
-            c[at[r.i], at[r.j]] = c[at[r.j], at[r.i]] = r.c
-    return c
-
+def _dense(runs: DataFrame, weights: DataFrame | None, id_col: str) -> tuple[DataFrame, list, np.ndarray, np.ndarray]:
+    """(id, pid) of the rows, the nodes' pids, their rows, and the nodes' consensus matrix with diagonal 1.
 
-def _labels(spark, ids: list, label: np.ndarray, id_col: str) -> DataFrame:
-    return spark.createDataFrame([(i, int(v)) for i, v in zip(ids, label, strict=True)], f"{id_col} long, label int")
+    Each row is a node where there are at most DENSE; beyond that rows with the
+    same labels in all runs are one, and more than DENSE of these are an error.
+    """
+    ids = runs.select(id_col).distinct()
+    if ids.limit(DENSE + 1).count() <= DENSE:
+        place = ids.select(id_col, F.col(id_col).alias("pid"))
+        nodes = sorted((r[0], 1.0) for r in ids.collect())
+        pairs = coassociation(runs, weights, id_col).toPandas()
+    else:
+        place, counted = profiles(runs, id_col)
+        nodes = sorted((r.pid, float(r.n)) for r in counted.select("pid", "n").limit(DENSE + 1).collect())
+        if len(nodes) > DENSE:
+            raise ValueError(f"more than {DENSE} different rows of labels; take fewer runs")
+        long = counted.select("pid", F.explode("labels").alias("l")).select("pid", "l.run", "l.label")
+        pairs = coassociation(long, weights, "pid").toPandas()
+    at = {v: i for i, (v, _n) in enumerate(nodes)}
+    c = np.eye(len(nodes))
+    i, j = pairs.i.map(at).to_numpy(int), pairs.j.map(at).to_numpy(int)
+    c[i, j] = c[j, i] = pairs.c
+    return place, [v for v, _n in nodes], np.array([n for _v, n in nodes]), c
 
 
-def _bounded_ids(runs: DataFrame, id_col: str) -> list:
-    return sorted(r[0] for r in runs.select(id_col).distinct().limit(DENSE + 1).collect())
+def _labels(place: DataFrame, nodes: list, label: np.ndarray, id_col: str) -> DataFrame:
+    table = place.sparkSession.createDataFrame([(int(v), int(k)) for v, k in zip(nodes, label, strict=True)], "pid long, label int")
+    return place.join(F.broadcast(table), "pid").select(id_col, "label")  # at most DENSE nodes
 
 
 def evidence_accumulation(runs: DataFrame, k: int, method: str = "average", weights: DataFrame | None = None, id_col: str = "row_id") -> DataFrame:
     """Linkage of 1 - co-association, cut at k clusters."""
-    ids = _bounded_ids(runs, id_col)
-    c = dense_matrix(coassociation(runs, weights, id_col), ids)
-    return _labels(runs.sparkSession, ids, clustering.cut_tree(clustering.linkage(1 - c, method), len(ids), k), id_col)
+    place, nodes, size, c = _dense(runs, weights, id_col)
+    return _labels(place, nodes, clustering.cut_tree(clustering.linkage(1 - c, method, size), len(nodes), k), id_col)
 
 
 def spectral_consensus(runs: DataFrame, k: int, weights: DataFrame | None = None, id_col: str = "row_id", seed: int = 42) -> DataFrame:
     """Spectral clustering with the co-association as affinity (CSPA)."""
-    ids = _bounded_ids(runs, id_col)
-    c = dense_matrix(coassociation(runs, weights, id_col), ids)
-    return _labels(runs.sparkSession, ids, clustering.lloyd_local(clustering._embed_affinity(c, k), k, seed, 5)[1], id_col)
+    place, nodes, _size, c = _dense(runs, weights, id_col)
+    return _labels(place, nodes, clustering.lloyd_local(clustering._embed_affinity(c, k), k, seed, 5)[1], id_col)
+
+
+def cophenetic_correlation(runs: DataFrame, id_col: str = "row_id", weights: DataFrame | None = None) -> float:
+    """Correlation of 1 - co-association with the heights at which average linkage joins the pairs."""
+    _place, nodes, size, c = _dense(runs, weights, id_col)
+    return cophenetic(1 - c, size)
+
+
+def cophenetic(d: np.ndarray, size: np.ndarray | None = None) -> float:
+    n = len(d)
+    inside, height = {i: [i] for i in range(n)}, np.zeros((n, n))
+    for step, (a, b, h, _s) in enumerate(clustering.linkage(d, "average", size)):
+        one, two = inside.pop(a), inside.pop(b)
+        height[np.ix_(one, two)] = h
+        height[np.ix_(two, one)] = h
+        inside[n + step] = one + two
+    up = np.triu_indices(n, 1)
+    x, y = d[up], height[up]
+    w = np.ones(len(x)) if size is None else (size[:, None] * size[None, :])[up]
+    mx, my = np.average(x, weights=w) if len(x) else 0.0, np.average(y, weights=w) if len(x) else 0.0
+    top, low = (w * (x - mx) * (y - my)).sum(), math.sqrt((w * (x - mx) ** 2).sum() * (w * (y - my) ** 2).sum())
+    return float(top / low) if low > 0 else 0.0
 
 
 def meta_clustering(runs: DataFrame, k: int, id_col: str = "row_id", seed: int = 42) -> DataFrame:
-    """k-means over one-hot labels of all runs."""
-    names = F.concat_ws("_", "run", F.col("label").cast("string"))
-    hot = runs.withColumn("_n", names).groupBy(id_col).pivot("_n").agg(F.lit(1.0)).na.fill(0.0)
-    found = clustering.kmeans(hot, id_col, [c for c in hot.columns if c != id_col], k, seed)
-    return found.select(F.col("id").alias(id_col), "label")
+    """k-means over one-hot labels of all runs: those of the profiles, weighted by their rows, as rows with the same labels are one point."""
+    place, counted = profiles(runs, id_col)
+    got = counted.select("pid", "n", F.transform("labels", lambda l: F.concat_ws("_", l["run"].cast("string"), l["label"].cast("string"))).alias("l")).limit(META + 1).toPandas().sort_values("pid")
+    if len(got) > META:
+        raise ValueError(f"more than {META} different rows of labels; take fewer runs")
+    names = {v: i for i, v in enumerate(sorted({v for row in got.l for v in row}))}
+    hot = np.zeros((len(got), max(len(names), 1)))
+    for i, row in enumerate(got.l):
+        hot[i, [names[v] for v in row]] = 1.0
+    label = clustering.lloyd_weighted(hot, got.n.to_numpy(float), k, seed)
+    table = runs.sparkSession.createDataFrame([(int(p), int(v)) for p, v in zip(got.pid, label, strict=True)], "pid long, label int")
+    return place.join(F.broadcast(table), "pid").select(id_col, "label")  # at most META profiles
 
 
 def hybrid_consensus(runs: DataFrame, k: int, id_col: str = "row_id", seed: int = 42) -> DataFrame:
     """The better of average-link evidence and k-means in the co-association's leading components, by silhouette on 1 - C."""
-    ids = _bounded_ids(runs, id_col)
-    c = dense_matrix(coassociation(runs, None, id_col), ids)
-    one = clustering.cut_tree(clustering.linkage(1 - c, "average"), len(ids), k)
-    values, vectors = np.linalg.eigh(c - c.mean(axis=0))
-    two = clustering.lloyd_local(vectors[:, -min(10, len(ids)) :] * np.abs(values[-min(10, len(ids)) :]), k, seed, 5)[1]
-    return _labels(runs.sparkSession, ids, max((one, two), key=lambda label: precomputed_silhouette(1 - c, label)), id_col)
+    place, nodes, size, c = _dense(runs, None, id_col)
+    one = clustering.cut_tree(clustering.linkage(1 - c, "average", size), len(nodes), k)
+    values, vectors = np.linalg.eigh((m := c - c.mean(axis=0)) @ m.T)
+    two = clustering.lloyd_local(vectors[:, -min(10, len(nodes)) :] * np.sqrt(np.maximum(values[-min(10, len(nodes)) :], 0)), k, seed, 5)[1]
+    return _labels(place, nodes, max((one, two), key=lambda label: precomputed_silhouette(1 - c, label)), id_col)
 
 
 def precomputed_silhouette(d: np.ndarray, label: np.ndarray) -> float:
@@ -219,6 +305,61 @@ def softmax_weights(scores: DataFrame, score: str = "composite", temperature: fl
     return w.select("run", (F.col("_w") / F.sum("_w").over(every)).alias("weight"))
 
 
+def uniform_weights(runs: DataFrame) -> DataFrame:
+    """run, weight: the same for all runs, summing to 1."""
+    names = runs.select("run").distinct()
+    return names.select("run", (1.0 / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).alias("weight"))
+
+
+def diversity_boosted(runs: DataFrame, weights: DataFrame, bonus: float = 0.2, floor: float = 0.001, id_col: str = "row_id") -> DataFrame:
+    """run, weight: each weight plus ``bonus`` times the run's mean of 1 - max(ARI, 0) to the others, scaled to sum 1. Fewer than three runs keep theirs."""
+    if runs.select("run").distinct().limit(3).count() < 3:
+        return weights
+    ari = agreement.scores(agreement.all_contingencies(runs, "run", id_col), ["ra", "rb"]).select("ra", "rb", (1 - F.greatest("ari", F.lit(0.0))).alias("d"))
+    away = ari.select(F.col("ra").alias("run"), "d").unionByName(ari.select(F.col("rb").alias("run"), "d")).groupBy("run").agg(F.avg("d").alias("d"))
+    raised = weights.join(away, "run", "left").select("run", F.greatest(F.col("weight") + bonus * F.coalesce("d", F.lit(0.0)), F.lit(floor)).alias("_w"))
+    return raised.select("run", (F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(0)))).alias("weight"))
+
+
+def estimate_k(runs: DataFrame, ks: range = range(2, 15), id_col: str = "row_id") -> DataFrame:
+    """k, silhouette (on 1 - co-association) and whether it is the best, of average-link cuts."""
+    _place, nodes, size, c = _dense(runs, None, id_col)
+    merges = clustering.linkage(1 - c, "average", size)
+    got = [(k, precomputed_silhouette(1 - c, clustering.cut_tree(merges, len(nodes), k))) for k in ks if k < len(nodes)]
+    best = max(got, key=lambda r: (r[1], -r[0]), default=(None, None))[0]
+    return runs.sparkSession.createDataFrame([(k, v, k == best) for k, v in got], "k int, silhouette double, best boolean")
+
+
+def multi_resolution(df: DataFrame, runs: DataFrame, features: list[str], ks: tuple[int, ...] = (2, 3, 4, 5, 6, 8, 10, 12), id_col: str = "row_id") -> DataFrame:
+    """k, silhouette (in the feature space) and whether it is the best, of the consensus at several k."""
+    got = []
+    for k in ks:
+        labelled = df.drop("label").join(evidence_accumulation(runs, k, "average", None, id_col), id_col)
+        got.append((k, float(metrics.silhouette(labelled, id_col, "label", features).first()[0] or 0.0)))
+    best = max(got, key=lambda r: (r[1], -r[0]))[0]
+    return df.sparkSession.createDataFrame([(k, v, k == best) for k, v in got], "k int, silhouette double, best boolean")
+
+
+def multi_resolution_pac(runs_of_k: dict[int, DataFrame], id_col: str = "row_id") -> DataFrame:
+    """k, pac, cophenetic and whether the PAC is the least, of several runs at each k."""
+    got = []
+    for k, runs in sorted(runs_of_k.items()):
+        n = runs.select(id_col).distinct().count()
+        got.append((k, float(pac(pair_histogram(runs, id_col), max(n * (n - 1) // 2, 1)).first()[0]), cophenetic_correlation(runs, id_col)))
+    best = min(got, key=lambda r: (r[1], r[0]))[0]
+    spark = next(iter(runs_of_k.values())).sparkSession
+    return spark.createDataFrame([(k, p, c, k == best) for k, p, c in got], "k int, pac double, cophenetic double, best boolean")
+
+
+def quality(silhouette: DataFrame, agreement_of_runs: DataFrame, diversity_score: DataFrame) -> DataFrame:
+    """Parts of a consensus' quality: structure (silhouette on 0 to 1), mean agreement with the runs (ARI, at least 0), diversity, its bonus, and .4, .35, .25 of the first three as a score of 100."""
+    one = silhouette.select(((F.coalesce("silhouette", F.lit(0.0)) + 1) / 2).alias("structure"), F.lit(1).alias("_j"))
+    two = agreement_of_runs.agg(F.coalesce(F.avg(F.greatest("ari", F.lit(0.0))), F.lit(0.0)).alias("agreement")).withColumn("_j", F.lit(1))
+    row = one.join(two, "_j").join(diversity_score.select("diversity", F.lit(1).alias("_j")), "_j").drop("_j")  # one row each
+    score = (0.4 * F.col("structure") + 0.35 * F.col("agreement") + 0.25 * F.col("diversity")) * 100
+    return row.withColumns({"diversity_bonus": F.col("diversity") * (1 - F.col("agreement")), "quality": F.least(score, F.lit(100.0))})
+
+
 def cluster_confidence(consensus: DataFrame, runs: DataFrame, weights: DataFrame | None = None, id_col: str = "row_id") -> DataFrame:
     """label, confidence: mean over runs of the best Jaccard of each consensus cluster; grade at .7 and .4."""
     a = consensus.where("label <> -1").select(id_col, F.col("label").alias("la"))

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which all executors share; a temporary one only where all runs in one process."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siftstone-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc._jsc.sc().isLocal():
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftstone-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -21,13 +31,13 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Every round takes the smallest component among the neighbours and then the
     component's own component, which halves long paths.
     """
-    both = _cut(edges.select("id", "neighbour").union(edges.select("neighbour", "id")).where("id <> neighbour").distinct())
-    comp = _cut(nodes.select("id", F.col("id").alias("comp")))
+    both = cut(edges.select("id", "neighbour").union(edges.select("neighbour", "id")).where("id <> neighbour").distinct())
+    comp = cut(nodes.select("id", F.col("id").alias("comp")))
     while True:
         near = both.join(comp.select(F.col("id").alias("neighbour"), F.col("comp").alias("c")), "neighbour").groupBy("id").agg(F.min("c").alias("c"))
         stepped = comp.join(near, "id", "left").select("id", F.least("comp", F.coalesce("c", "comp")).alias("comp"), F.col("comp").alias("old"))
         jump = stepped.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = _cut(stepped.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"))
+        new = cut(stepped.join(jump, "comp", "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"))
         if new.where("comp <> old").isEmpty():
             return new.select("id", "comp")
         comp = new.select("id", "comp")

@@ -1,22 +1,24 @@
 """Internal validity metrics. Noise (-1) never takes part.
 
 Metrics of centroids are two aggregates. Metrics of point pairs (silhouette,
-Dunn, connectivity) run in blocks against a reference of bounded size; larger
-tables are sampled first, as ``sampling`` offers.
+Dunn, connectivity) run in blocks of distances whose partial results combine.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.expressions import squared_distance, vector
 from . import distances
 
 #: Weight of each metric in the composite score; what isn't listed weighs 1. Fixed values.
-WEIGHTS = {"silhouette": 3.0, "davies_bouldin": 2.0, "calinski_harabasz": 2.0, "dunn": 2.0, "xie_beni": 1.5, "noise_ratio": 1.0, "cluster_balance": 1.0}
+WEIGHTS = {"silhouette": 3.0, "davies_bouldin": 2.0, "calinski_harabasz": 2.0, "dunn": 2.0, "xie_beni": 1.5, "noise_ratio": 1.5, "cluster_balance": 1.0, "avg_intra_dist": 1.0, "avg_inter_dist": 1.0}
 
 
 def clean(df: DataFrame, label: str) -> DataFrame:
@@ -47,6 +49,19 @@ def silhouette_samples(df: DataFrame, id_col: str, label: str, features: list[st
     return per.select("id", "label", "a", "b", F.when((F.col("_n") > 1) & (F.col("b") < float("inf")), s).otherwise(F.lit(0.0)).alias("silhouette"))
 
 
+def avg_intra_distance(df: DataFrame, id_col: str, label: str, features: list[str]) -> DataFrame:
+    """One row, avg_intra_dist: the mean over clusters of two rows and more of the mean distance of all their ordered pairs, a row with itself included."""
+    rows = clean(df, label)
+
+    def fn(d: np.ndarray, q: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+        own = q[label].to_numpy()
+        same = own[:, None] == ref[label].to_numpy()[None, :]
+        return pd.DataFrame({"label": own, "s": np.where(same, d, 0).sum(axis=1), "n": same.sum(axis=1)}).groupby("label", as_index=False).sum()
+
+    per = distances.per_point(rows, rows, id_col, features, fn, "label int, s double, n long", [label]).groupBy("label").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return per.where("n > 1").agg(F.avg(F.col("s") / F.col("n")).alias("avg_intra_dist"))
+
+
 def silhouette(df: DataFrame, id_col: str, label: str, features: list[str]) -> DataFrame:
     return silhouette_samples(df, id_col, label, features).agg(F.avg("silhouette").alias("silhouette"))
 
@@ -75,8 +90,9 @@ def centroid_metrics(df: DataFrame, label: str, features: list[str]) -> dict[str
     k, n = len(per), int(per.n.sum()) if len(per) else 0
     wcss = float(per.wcss.sum()) if k else None
     if k < 2:
-        return {"davies_bouldin": None, "calinski_harabasz": None, "xie_beni": None, "inertia": wcss}
+        return {"davies_bouldin": None, "calinski_harabasz": None, "xie_beni": None, "inertia": wcss, "inertia_ratio": None, "avg_inter_dist": None}
     gap = distances.pairwise(c, c)
+    apart = gap[gap > 0]
     r = per.radius.to_numpy()
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = (r[:, None] + r[None, :]) / gap
@@ -88,6 +104,8 @@ def centroid_metrics(df: DataFrame, label: str, features: list[str]) -> dict[str
         "calinski_harabasz": (between / (k - 1)) / (wcss / (n - k)) if wcss and n > k else None,
         "xie_beni": wcss / (n * float(gap.min()) ** 2) if gap.min() > 0 else None,
         "inertia": wcss,
+        "inertia_ratio": wcss / (wcss + between) if wcss + between > 0 else None,
+        "avg_inter_dist": float(apart.mean()) if len(apart) else None,
     }
 
 
@@ -200,16 +218,17 @@ def dbcv(df: DataFrame, id_col: str, label: str, features: list[str], k: int = 5
 
 
 def hopkins(df: DataFrame, id_col: str, features: list[str], m: int | None = None, seed: int = 42) -> float:
-    """Hopkins statistic from m sampled rows and m uniform points, each with its nearest other row."""
+    """Hopkins statistic from m sampled rows and m uniform points, each with its nearest other row. Sample and points are hashed from the ids."""
     from .sampling import uniform_sample
 
     n = df.count()
     m = m or min(150, max(n // 5, 5), 200, n)
     rows = distances.bounded_rows(uniform_sample(df.select(id_col, *features), id_col, m, seed))
     box = df.agg(*[F.min(f) for f in features], *[F.max(f) for f in features]).first()
-    rng = np.random.default_rng(seed)
     d = len(features)
-    u = rng.uniform(box[:d], box[d:], (len(rows), d))
+    low, high = np.array(box[:d], float), np.array(box[d:], float)
+    draw = np.array([[int(md5(f"{i}-hopkins{seed}-{j}".encode()).hexdigest()[:8], 16) / 4294967296 for j in range(d)] for i in rows[id_col]]).reshape(-1, d)
+    u = low + (high - low) * draw
     w = rows[features].to_numpy(float)
     shared = df.sparkSession.sparkContext.broadcast((u, w, rows[id_col].to_numpy()))
 
@@ -243,14 +262,21 @@ def normalised(metric: str, x: Column) -> Column:
         "noise_ratio": 1 - x,
         "cluster_balance": x,
         "size_entropy": F.least(one, x / 3),
+        "avg_intra_dist": F.greatest(zero, 1 - F.least(one, x / 5)),
+        "avg_inter_dist": F.least(one, x / 5),
+        "inertia_ratio": F.greatest(zero, 1 - x),  # inertia over the rows' total squares
     }
     return rule.get(metric, x)
 
 
+#: Metrics that count in the composite score.
+SCORED = ("silhouette", "davies_bouldin", "calinski_harabasz", "dunn", "xie_beni", "noise_ratio", "cluster_balance", "size_entropy", "avg_intra_dist", "avg_inter_dist", "inertia_ratio")
+
+
 def composite(metrics: DataFrame) -> DataFrame:
     """algorithm_id, composite (0 to 100) of (algorithm_id, metric, value): the weighted mean of normalised values that are known."""
     norm, weight = F.lit(None).cast("double"), F.lit(1.0)
-    for m in ("silhouette", "davies_bouldin", "calinski_harabasz", "dunn", "xie_beni", "noise_ratio", "cluster_balance", "size_entropy"):
+    for m in SCORED:
         norm = F.when(F.col("metric") == m, normalised(m, F.col("value"))).otherwise(norm)
         weight = F.when(F.col("metric") == m, F.lit(WEIGHTS.get(m, 1.0))).otherwise(weight)
     rows = metrics.withColumns({"_n": norm, "_w": weight}).where("_n IS NOT NULL")
@@ -299,3 +325,81 @@ def cluster_profiler(df: DataFrame, label: str, features: list[str]) -> DataFram
     from .profile import long_form
 
     return long_form(clean(df, label), features, [label]).groupBy(label, "column_name").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", F.lit(0.5)).alias("median"))
+
+
+def dispersion(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """log_wk: the log of the summed squares of each cluster of two rows and more over twice its size."""
+    rows, _centres = with_centroid(df, label, features)
+    per = rows.groupBy(label).agg(F.sum("_d2").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return per.agg(F.log(F.greatest(F.coalesce(F.sum(F.col("s") / (2 * F.col("n"))), F.lit(0.0)), F.lit(1e-15))).alias("log_wk"))
+
+
+def gap_curve(logs: DataFrame) -> DataFrame:
+    """(k, gap, sk, log_wk, log_wk_ref) from (k, reference, log_wk): reference 0 is the data, others are uniform tables."""
+    ref = F.when(F.col("reference") > 0, F.col("log_wk"))
+    per = logs.groupBy("k").agg(F.max(F.when(F.col("reference") == 0, F.col("log_wk"))).alias("log_wk"), F.avg(ref).alias("log_wk_ref"), (F.stddev_pop(ref) * F.sqrt(1 + 1 / F.count(ref))).alias("sk"))
+    return per.select("k", (F.col("log_wk_ref") - F.col("log_wk")).alias("gap"), "sk", "log_wk", "log_wk_ref")
+
+
+def gap_best_k(curve: DataFrame) -> DataFrame:
+    """The smallest k whose gap is no less than the next one's less its sk; where there is none, the k of the largest gap."""
+    after = curve.orderBy("k").select("k", "gap", F.lead("gap").over(Window.orderBy("k")).alias("g"), F.lead("sk").over(Window.orderBy("k")).alias("s"))  # one row for each k
+    return after.agg(F.coalesce(F.min(F.when(F.col("gap") >= F.col("g") - F.col("s"), F.col("k"))), F.max_by("k", F.struct("gap", -F.col("k")))).alias("best_k"))
+
+
+def gap_statistic(df: DataFrame, id_col: str, features: list[str], ks: range = range(1, 11), references: int = 10, seed: int = 42) -> DataFrame:
+    """The gap curve of k-means against uniform tables over the data's box, drawn by hashing the ids."""
+    from ..functions.expressions import hash_uniform
+    from . import clustering
+
+    box = df.agg(*[F.min(f).alias(f"a{i}") for i, f in enumerate(features)], *[F.max(f).alias(f"b{i}") for i, f in enumerate(features)]).first()
+    rows = []
+    for r in range(references + 1):
+        table = df.select(id_col, *features) if r == 0 else df.select(id_col, *[(F.lit(box[f"a{i}"]) + F.lit((box[f"b{i}"] - box[f"a{i}"]) or 1.0) * hash_uniform(F.col(id_col), f"gap{seed}-{r}-{i}")).alias(f) for i, f in enumerate(features)])
+        table = table.persist()
+        for k in ks:
+            centres, _cost = clustering.kmeans_fit(table, id_col, features, k, seed, 3 if r == 0 else 1)
+            near = distances.nearest_centroid(table, [(i, c.tolist()) for i, c in enumerate(centres)], features, "label", "_d")
+            rows.append((k, r, dispersion(near, "label", features).first()[0]))
+        table.unpersist()
+    return gap_curve(df.sparkSession.createDataFrame(rows, "k int, reference int, log_wk double"))
+
+
+def silhouette_interval(samples: DataFrame, id_col: str = "id", draws: int = 50, confidence: float = 0.95, seed: int = 42) -> DataFrame:
+    """mean, low, high and deviation of the mean silhouette over ``draws`` bootstrap draws: weights of Poisson(1) hashed from the ids, one aggregate for all draws."""
+    from .sampling import poisson_weight
+
+    weights = [poisson_weight(F.col(id_col), f"{seed}-{b}") for b in range(draws)]
+    one = samples.agg(*[(F.sum(F.col("silhouette") * w) / F.sum(w)).alias(f"m{b}") for b, w in enumerate(weights)])
+    means = one.select(F.explode(F.array(*[f"m{b}" for b in range(draws)])).alias("m"))
+    a = (1 - confidence) / 2
+    return means.agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"), F.stddev_pop("m").alias("std"))
+
+
+def clusterability(df: DataFrame, id_col: str, features: list[str], seed: int = 42) -> DataFrame:
+    """One row: rows, features, Hopkins statistic, principal components for 90 % of the variance, features of variance below .001, and whether the rows cluster (Hopkins above .5)."""
+    from .profile import covariance
+
+    _mean, cov, n = covariance(df, features)
+    values = np.maximum(np.linalg.eigvalsh(np.array(cov))[::-1], 0)
+    dims = int(np.searchsorted(np.cumsum(values / max(values.sum(), 1e-300)), 0.90)) + 1
+    h = hopkins(df, id_col, features, seed=seed)
+    flat = int((np.diag(np.array(cov)) < 0.001).sum())
+    return df.sparkSession.createDataFrame([(n, len(features), h, min(dims, len(features)), flat, h > 0.5)], "n_rows long, n_features int, hopkins double, dims_90 int, low_variance int, is_clusterable boolean")
+
+
+def interpretation() -> Column:
+    """A sentence or more on a result, from the columns algorithm_id, k, composite, silhouette, davies_bouldin, noise_ratio and cluster_balance."""
+    c, s, d, n = F.col("composite"), F.col("silhouette"), F.col("davies_bouldin"), F.col("noise_ratio")
+    quality = F.when(c >= 80, "excellent").when(c >= 65, "good").when(c >= 45, "moderate").otherwise("poor")
+    shape = F.when(s > 0.7, "dense, well separated clusters").when(s > 0.5, "fairly compact clusters").when(s > 0.25, "some structure with overlap").otherwise("weak structure")
+    apart = F.when(d < 0.5, "excellent separation").when(d < 1.0, "acceptable separation").otherwise("possible overlap")
+    noise = F.when(n > 0.15, F.format_string("High noise: %.1f %%.", n * 100)).when(n > 0, F.format_string("Noise: %.1f %%.", n * 100))
+    return F.concat_ws(
+        " ",
+        F.format_string("%s found %d clusters, composite %.1f of 100 (%s).", F.col("algorithm_id"), F.col("k").cast("int"), c, quality),
+        F.when(s.isNotNull(), F.format_string("Silhouette %.3f: %s.", s, shape)),
+        F.when(d.isNotNull(), F.format_string("Davies-Bouldin %.3f: %s.", d, apart)),
+        noise,
+        F.when(F.col("cluster_balance") < 0.1, F.lit("One cluster dominates.")),
+    )

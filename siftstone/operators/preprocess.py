@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import clip
 from . import distances, profile
+from .order import quantiles
 
 
 def _stats(df: DataFrame, columns: list[str], **fns) -> dict[str, dict[str, float]]:
@@ -24,8 +25,9 @@ def _stats(df: DataFrame, columns: list[str], **fns) -> dict[str, dict[str, floa
     return {c: {k: row[f"{k}_{i}"] for k in fns} for i, c in enumerate(columns)}
 
 
-def _q(p: float):
-    return lambda c: F.percentile(c, F.lit(p))
+def _quantiles(df: DataFrame, columns: list[str], **at: float) -> dict[str, dict[str, float]]:
+    found = quantiles(df, columns, list(at.values()))
+    return {c: dict(zip(at, found[c], strict=True)) for c in columns}
 
 
 # Imputation
@@ -36,13 +38,17 @@ def impute(df: DataFrame, columns: list[str], strategy: str = "mean", value: flo
     if strategy == "constant":
         fill = {c: value for c in columns}
     elif strategy == "mode":
-        fill = {}
-        for c in columns:
-            top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-            fill[c] = top[c] if top else None
+        # Counts of all columns' values in one aggregate; structs compare the value as its own type.
+        values = F.array(*[F.struct(F.lit(i).alias("i"), *[(F.col(o) if o == c else F.lit(None).cast(df.schema[o].dataType)).alias(f"v{j}") for j, o in enumerate(columns)]) for i, c in enumerate(columns)])
+        counts = df.select(F.explode(values).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+        known = F.coalesce(*[F.col(f"r.v{j}").cast("string") for j in range(len(columns))]).isNotNull()
+        best = counts.where(known).groupBy("r.i").agg(F.max("n").alias("n"))
+        top = counts.where(known).join(F.broadcast(best), (F.col("r.i") == F.col("i")) & (counts["n"] == best["n"])).groupBy("i").agg(F.min("r").alias("r")).collect()
+        fill = dict.fromkeys(columns) | {columns[t.i]: t.r[f"v{t.i}"] for t in top}
+    elif strategy == "mean":
+        fill = {c: s["v"] for c, s in _stats(df, columns, v=F.avg).items()}
     else:
-        fn = F.avg if strategy == "mean" else _q(0.5)
-        fill = {c: s["v"] for c, s in _stats(df, columns, v=fn).items()}
+        fill = {c: s["v"] for c, s in _quantiles(df, columns, v=0.5).items()}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(fill[c])) for c in columns if fill[c] is not None})
 
 
@@ -128,10 +134,12 @@ def zscore_mask(df: DataFrame, columns: list[str], threshold: float = 3.0) -> Co
 
 
 def iqr_mask(df: DataFrame, columns: list[str], factor: float = 1.5) -> Column:
-    s = _stats(df, columns, a=_q(0.25), b=_q(0.75))
+    s = _quantiles(df, columns, a=0.25, b=0.75)
     mask = F.lit(False)
     for c in columns:
         a, b = s[c]["a"], s[c]["b"]
+        if a is None:
+            continue
         mask = mask | (F.col(c) < a - factor * (b - a)) | (F.col(c) > b + factor * (b - a))
     return F.coalesce(mask, F.lit(False))
 
@@ -195,10 +203,16 @@ def isolation_forest(df: DataFrame, id_col: str, features: list[str], trees: int
     return df.select(id_col, *features).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, score double")
 
 
-def mahalanobis(df: DataFrame, features: list[str], out: str = "mahalanobis") -> DataFrame:
-    """Distance from the mean under the table's covariance (elliptic envelope): two aggregates, then a projection."""
-    mean, cov, _ = profile.covariance(df, features)
+def _mahalanobis(df: DataFrame, features: list[str], mean: list[float], cov: list[list[float]], out: str) -> DataFrame:
     inverse = np.linalg.pinv(np.array(cov))
+    if len(features) > 12:
+
+        @F.pandas_udf("double")
+        def away(*columns: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(float) for c in columns]) - mean
+            return pd.Series(np.sqrt(np.maximum(np.einsum("ni,ij,nj->n", x, inverse, x), 0)))
+
+        return df.withColumn(out, away(*[F.col(f).cast("double") for f in features]))
     centred = [F.col(f) - F.lit(m) for f, m in zip(features, mean, strict=True)]
     total = F.lit(0.0)
     for i, a in enumerate(centred):
@@ -207,10 +221,38 @@ def mahalanobis(df: DataFrame, features: list[str], out: str = "mahalanobis") ->
     return df.withColumn(out, F.sqrt(F.greatest(total, F.lit(0.0))))
 
 
+def mahalanobis(df: DataFrame, features: list[str], out: str = "mahalanobis") -> DataFrame:
+    """Distance from the mean under the table's covariance: two aggregates, then a projection."""
+    mean, cov, _ = profile.covariance(df, features)
+    return _mahalanobis(df, features, mean, cov, out)
+
+
+def robust_mahalanobis(df: DataFrame, features: list[str], support: float | None = None, rounds: int = 10, out: str = "mahalanobis") -> DataFrame:
+    """Distance under the covariance of the ``support`` share of rows that lie nearest under it (minimum covariance determinant by concentration steps).
+
+    It starts from all rows; each step is one quantile and one covariance, until
+    the determinant stops falling. Without ``support`` it is (n + d + 1) / 2n.
+    """
+    mean, cov, n = profile.covariance(df, features)
+    support = support or min(1.0, (n + len(features) + 1) / (2 * max(n, 1)))
+    last = math.inf
+    for _ in range(rounds):
+        away = _mahalanobis(df, features, mean, cov, "_d")
+        edge = quantiles(away, ["_d"], [support])["_d"][0]
+        if edge is None:
+            break
+        mean, cov, _n = profile.covariance(away.where(F.col("_d") <= F.lit(edge)), features)
+        size = np.linalg.slogdet(np.array(cov) + 1e-12 * np.eye(len(features)))[1]
+        if size > last - 1e-9:
+            break
+        last = size
+    return _mahalanobis(df, features, mean, cov, out)
+
+
 def clip_all(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """All rows to the columns' percentiles."""
-    s = _stats(df, columns, a=_q(low), b=_q(high))
-    return df.withColumns({c: clip(F.col(c), s[c]["a"], s[c]["b"]) for c in columns})
+    s = _quantiles(df, columns, a=low, b=high)
+    return df.withColumns({c: clip(F.col(c), s[c]["a"], s[c]["b"]) for c in columns if s[c]["a"] is not None})
 
 
 def apply_outliers(df: DataFrame, mask: Column, columns: list[str], action: str = "flag") -> DataFrame:
@@ -241,12 +283,14 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFr
         s = _stats(df, columns, a=lambda c: F.max(F.abs(c)))
         return df.withColumns({c: by(c, 0.0, s[c]["a"]) for c in columns})
     if method == "robust":
-        s = _stats(df, columns, m=_q(0.5), a=_q(0.1), b=_q(0.9))
-        return df.withColumns({c: by(c, s[c]["m"], s[c]["b"] - s[c]["a"]) for c in columns})
+        s = _quantiles(df, columns, m=0.5, a=0.1, b=0.9)
+        return df.withColumns({c: by(c, s[c]["m"], s[c]["b"] - s[c]["a"]) for c in columns if s[c]["m"] is not None})
     if method in ("quantile_uniform", "quantile_normal"):
         return quantile_scale(df, columns, normal=method.endswith("normal"))
-    if method == "power":
-        return yeo_johnson(df, columns)
+    if method in ("power", "yeo_johnson"):
+        return power_scale(df, columns)
+    if method == "box_cox":
+        return power_scale(df, columns, box_cox=True)
     raise ValueError(f"unknown scaler {method}")
 
 
@@ -256,8 +300,7 @@ def quantile_scale(df: DataFrame, columns: list[str], quantiles: int = 1000, nor
 
     n = min(quantiles, max(df.count(), 2))
     grid = [i / (n - 1) for i in range(n)]
-    row = df.agg(*[F.percentile(c, F.array(*map(F.lit, grid))).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    table = {c: np.array(row[f"q{i}"], float) for i, c in enumerate(columns)}
+    table = {c: np.array(q, float) for c, q in quantiles(df, columns, grid).items()}
     inverse = np.array([NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in np.linspace(0, 1, 10_001)])
 
     def run(batches):
@@ -278,19 +321,31 @@ def _yj(x: Column, lam: float) -> Column:
     return F.when(x >= 0, up).otherwise(down)
 
 
-def yeo_johnson(df: DataFrame, columns: list[str], low: float = -3.0, high: float = 3.0, rounds: int = 12) -> DataFrame:
-    """Power transform with the likeliest exponent of each column, then standardised. Each search round is one aggregate for all columns."""
-    bracket = {c: (low, high) for c in columns}
-    for _ in range(rounds):
+def _bc(x: Column, lam: float) -> Column:
+    return F.log(x) if abs(lam) < 1e-9 else (F.pow(x, F.lit(lam)) - 1) / lam
+
+
+def power_scale(df: DataFrame, columns: list[str], box_cox: bool = False, low: float = -3.0, high: float = 3.0, rounds: int = 12) -> DataFrame:
+    """Power transform with the likeliest exponent of each column, then standardised. Each search round is one aggregate for all columns.
+
+    Yeo-Johnson takes any number; Box-Cox takes columns of positive numbers, and
+    those that hold others are only standardised.
+    """
+    use = list(columns)
+    if box_cox:
+        least = _stats(df, columns, a=F.min)
+        use = [c for c in columns if (least[c]["a"] or 0) > 0]
+    power, log = (_bc, F.log) if box_cox else (_yj, lambda c: F.signum(c) * F.log1p(F.abs(c)))
+    bracket = {c: (low, high) for c in use}
+    for _ in range(rounds if use else 0):
         tries = {c: [a + (b - a) * i / 4 for i in range(1, 4)] for c, (a, b) in bracket.items()}
-        sign = {c: F.avg(F.signum(c) * F.log1p(F.abs(c))) for c in columns}
-        row = df.agg(*[F.var_pop(_yj(F.col(c), t)).alias(f"v{i}_{j}") for i, c in enumerate(columns) for j, t in enumerate(tries[c])], *[sign[c].alias(f"s{i}") for i, c in enumerate(columns)]).first()
-        for i, c in enumerate(columns):
+        row = df.agg(*[F.var_pop(power(F.col(c).cast("double"), t)).alias(f"v{i}_{j}") for i, c in enumerate(use) for j, t in enumerate(tries[c])], *[F.avg(log(F.col(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(use)]).first()
+        for i, c in enumerate(use):
             a, b = bracket[c]
-            score = [-0.5 * math.log(max(row[f"v{i}_{j}"] or 1e-300, 1e-300)) + (t - 1) * row[f"s{i}"] for j, t in enumerate(tries[c])]
+            score = [-0.5 * math.log(max(row[f"v{i}_{j}"] or 1e-300, 1e-300)) + (t - 1) * (row[f"s{i}"] or 0) for j, t in enumerate(tries[c])]
             best, width = tries[c][int(np.argmax(score))], (b - a) / 4
             bracket[c] = (max(a, best - width), min(b, best + width))
-    out = df.withColumns({c: _yj(F.col(c).cast("double"), sum(bracket[c]) / 2) for c in columns})
+    out = df.withColumns({c: power(F.col(c).cast("double"), sum(bracket[c]) / 2) for c in use})
     return scale(out, columns, "standard")
 
 
@@ -343,6 +398,53 @@ def pca(df: DataFrame, columns: list[str], keep: float | int = 0.95) -> tuple[Da
     return df.withColumns(out).drop(*columns), share[:m].tolist()
 
 
+def ica(x: np.ndarray, m: int, seed: int = 42, rounds: int = 200) -> np.ndarray:
+    """Independent components of a matrix's rows by the fixed-point iteration with tanh."""
+    z = x - x.mean(axis=0)
+    u, s, _v = np.linalg.svd(z, full_matrices=False)
+    m = min(m, int((s > 1e-10 * s[0]).sum()) if len(s) else 0)
+    white = u[:, :m] * math.sqrt(len(z))
+    w = np.linalg.qr(np.random.default_rng(seed).normal(size=(m, m)))[0]
+    for _ in range(rounds):
+        g = np.tanh(white @ w.T)
+        new = g.T @ white / len(white) - np.diag((1 - g * g).mean(axis=0)) @ w
+        a, _s, b = np.linalg.svd(new)
+        new = a @ b
+        moved = np.abs(np.abs((new * w).sum(axis=1)) - 1).max()
+        w = new
+        if moved < 1e-6:
+            break
+    return white @ w.T
+
+
+def trustworthiness(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    """How few of each row's ``k`` neighbours in ``y`` are far from it in ``x``: 1 where none is."""
+    n = len(x)
+    k = min(k, max(1, n // 2 - 1))
+    one, two = distances.pairwise(x, x), distances.pairwise(y, y)
+    np.fill_diagonal(one, -1)
+    np.fill_diagonal(two, np.inf)
+    rank = one.argsort(axis=1).argsort(axis=1)
+    near = two.argsort(axis=1)[:, :k]
+    beyond = np.maximum(np.take_along_axis(rank, near, 1) - k, 0).sum()
+    return float(1 - 2 / (n * k * (2 * n - 3 * k - 1)) * beyond)
+
+
+def reduction_benchmark(df: DataFrame, id_col: str, features: list[str], dims: int = 2, neighbours: int = 12, sample: int = 2_000, seed: int = 42) -> DataFrame:
+    """method, trustworthiness, reconstruction_error and n (rows of the sample) of PCA, truncated SVD, ICA and Isomap on a hashed sample."""
+    from . import clustering
+
+    x = clustering._sample(df, id_col, features, sample, seed)
+    z = x - x.mean(axis=0)
+
+    def project(m: np.ndarray) -> tuple[np.ndarray, float]:
+        v = np.linalg.svd(m, full_matrices=False)[2][:dims]
+        return m @ v.T, float((((m @ v.T) @ v - m) ** 2).mean())
+
+    found = {"pca": project(z), "truncated_svd": project(x), "ica": (ica(x, dims, seed), None), "isomap": (clustering.isomap(x, neighbours, dims), None)}
+    return df.sparkSession.createDataFrame([(k, trustworthiness(x, y, neighbours), e, len(x)) for k, (y, e) in found.items()], "method string, trustworthiness double, reconstruction_error double, n long")
+
+
 def whiten(df: DataFrame, columns: list[str], method: str = "zca", eps: float = 1e-5) -> DataFrame:
     mean, cov, n = profile.covariance(df, columns)
     values, vectors = np.linalg.eigh(np.array(cov) * n / max(n - 1, 1) + eps * np.eye(len(columns)))
@@ -392,7 +494,7 @@ def sample_weights(df: DataFrame, id_col: str, features: list[str], method: str
 
 def compare_scalers(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """One feature under five scalers, side by side."""
-    s = _stats(df, [column], m=F.avg, d=F.stddev_pop, a=F.min, b=F.max, x=lambda c: F.max(F.abs(c)), q=_q(0.5), lo=_q(0.1), hi=_q(0.9))[column]
+    s = _stats(df, [column], m=F.avg, d=F.stddev_pop, a=F.min, b=F.max, x=lambda c: F.max(F.abs(c)))[column] | _quantiles(df, [column], q=0.5, lo=0.1, hi=0.9)[column]
     c = F.col(column)
     safe = lambda v: F.lit(v if v else 1.0)
     return df.select(
@@ -415,6 +517,7 @@ class Preprocessor:
     scaler: str = "standard"
     select: str = "none"
     keep_variance: float = 0.95
+    most_correlation: float = 0.95
     log: list[str] = field(default_factory=list)
 
     @classmethod
@@ -422,7 +525,7 @@ class Preprocessor:
         """Settings from the profile: skewed columns ask for robust or quantile scaling, gaps for knn, many outliers for flags."""
         rows = profile.column_profile(df, columns).collect()
         skew = np.mean([abs(r["skew"] or 0) for r in rows]) if rows else 0
-        missing = max((r.missing_pct for r in rows), default=0)
+        missing = 100 * sum(r.n_missing for r in rows) / max(sum(r.n for r in rows), 1)  # of all cells
         wild = sum(r.n_outliers > 0.05 * max(r.n, 1) for r in rows)
         pairs = profile.correlation_pairs(df, columns, 0.90).count() if len(columns) > 1 else 0
         return cls(
@@ -431,6 +534,7 @@ class Preprocessor:
             action="flag" if wild >= 2 else "none",
             scaler="robust" if skew > 2 else "quantile_normal" if skew > 0.8 else "standard",
             select="pca" if len(columns) > 50 else "correlation" if pairs > 5 else "none",
+            most_correlation=0.90,
         )
 
     def run(self, df: DataFrame, id_col: str) -> tuple[DataFrame, list[str]]:
@@ -454,13 +558,13 @@ class Preprocessor:
             out = apply_outliers(out, mask, features, self.action)
         elif self.outliers in ("isolation_forest", "lof", "elliptic"):
             if self.outliers == "elliptic":
-                score = mahalanobis(out, features, "score").select(F.col(id_col).alias("_id"), "score")
+                score = robust_mahalanobis(out, features, out="score").select(F.col(id_col).alias("_id"), "score")
             elif self.outliers == "lof":
                 score = lof(out, id_col, features).select(F.col("id").alias("_id"), F.col("lof").alias("score"))
             else:
                 score = isolation_forest(out, id_col, features).select(F.col(id_col).alias("_id"), "score")
             score = score.persist()
-            cut_at = score.agg(F.percentile("score", F.lit(0.95))).first()[0]
+            cut_at = quantiles(score, ["score"], [0.95])["score"][0]
             joined = out.join(score, F.col(id_col) == F.col("_id")).drop("_id")
             out = apply_outliers(joined, F.col("score") > F.lit(cut_at), features, self.action).drop("score")
         if self.scaler != "none":
@@ -468,7 +572,7 @@ class Preprocessor:
         if self.select == "variance":
             features = select_variance(out, features)
         elif self.select == "correlation":
-            features = select_uncorrelated(out, features)
+            features = select_uncorrelated(out, features, self.most_correlation)
         elif self.select == "pca":
             out, _ = pca(out, features, self.keep_variance)
             features = [c for c in out.columns if c.startswith("PC")]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .order import numbered, quantiles, running_sum
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -41,38 +45,32 @@ def kurtosis(m: str = "value") -> Column:
 def column_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per numeric column: counts, moments, quartiles, outliers by 1.5 IQR, and flags.
 
-    One pass with one wide aggregate, and a second for the outliers; both
-    combine before the shuffle.
+    Moments are one wide aggregate, distinct values one combining aggregate by
+    (column, value), quartiles a few histograms (``order.quantiles``), outliers one
+    more aggregate; only one row for each column comes to the driver.
     """
     columns = columns or numeric_columns(df)
-    rows = long_form(df, columns)
-    stats = rows.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("value").alias("n_present"),
-        F.count_distinct("value").alias("n_unique"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.percentile("value", F.lit(0.25)).alias("q25"),
-        F.percentile("value", F.lit(0.5)).alias("median"),
-        F.percentile("value", F.lit(0.75)).alias("q75"),
-        skewness().alias("skew"),
-        kurtosis().alias("kurtosis"),
-    )
-    iqr = F.col("q75") - F.col("q25")
-    # One row for each column of the table.
-    beyond = rows.join(F.broadcast(stats.select("column_name", (F.col("q25") - 1.5 * iqr).alias("lo"), (F.col("q75") + 1.5 * iqr).alias("hi"))), "column_name")
-    outliers = beyond.groupBy("column_name").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("n_outliers"))
-    return stats.join(F.broadcast(outliers), "column_name").withColumns(
-        {
-            "n_missing": F.col("n") - F.col("n_present"),
-            "missing_pct": (F.col("n") - F.col("n_present")) / F.col("n") * 100,
-            "is_constant": F.col("n_unique") <= 1,
-            "is_binary": F.col("n_unique") == 2,
-            "is_categorical": F.col("n_unique") <= 20,
-        }
-    )
+    spark = df.sparkSession
+    fns = {
+        "n_present": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "skew": skewness, "kurtosis": kurtosis,
+    }
+    cast = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    one = cast.agg(F.count(F.lit(1)).alias("n"), *[f(F.col(c)).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in fns.items()]).first()
+    unique = {r.column_name: r.n for r in long_form(cast, columns).where("value IS NOT NULL").distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+    quarters = quantiles(cast, columns, [0.25, 0.5, 0.75])
+    fences = {c: (q[0] - 1.5 * (q[2] - q[0]), q[2] + 1.5 * (q[2] - q[0])) for c, q in quarters.items() if q[0] is not None}
+    beyond = cast.agg(*[F.count_if((F.col(c) < F.lit(a)) | (F.col(c) > F.lit(b))).alias(f"o{columns.index(c)}") for c, (a, b) in fences.items()]).first() if fences else {}
+    rows = []
+    for i, c in enumerate(columns):
+        k = unique.get(c, 0)
+        got = {f: one[f"{f}_{i}"] for f in fns}
+        missing = one.n - got["n_present"]
+        rows.append(
+            (c, one.n, got["n_present"], k, got["mean"], got["std"], got["min"], got["max"], *quarters[c], got["skew"], got["kurtosis"], beyond[f"o{i}"] if c in fences else 0,
+             missing, missing / one.n * 100 if one.n else None, k <= 1, k == 2, k <= 20)
+        )
+    kinds = "column_name string, n long, n_present long, n_unique long, mean double, std double, min double, max double, q25 double, median double, q75 double, skew double, kurtosis double, n_outliers long, n_missing long, missing_pct double, is_constant boolean, is_binary boolean, is_categorical boolean"
+    return spark.createDataFrame(rows, kinds)
 
 
 def top_values(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
@@ -113,14 +111,28 @@ def correlation_pairs(df: DataFrame, columns: list[str], least: float = 0.0) ->
 
 
 def covariance(df: DataFrame, columns: list[str]) -> tuple[list[float], list[list[float]], int]:
-    """Means, population covariances and rows, from one aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).first()
+    """Means, population covariances and rows: one aggregate, and beyond a few columns a second of products around the means."""
     d = len(columns)
-    cov = [[0.0] * d for _ in range(d)]
-    for (i, j), v in zip(pairs, row[1 + d :], strict=True):
-        cov[i][j] = cov[j][i] = float(v)
-    return [float(v) for v in row[1 : 1 + d]], cov, int(row[0])
+    if d <= 8:
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.covar_pop(columns[i], columns[j]) for i, j in pairs]).first()
+        cov = [[0.0] * d for _ in range(d)]
+        for (i, j), v in zip(pairs, row[1 + d :], strict=True):
+            cov[i][j] = cov[j][i] = float(v)
+        return [float(v) for v in row[1 : 1 + d]], cov, int(row[0])
+    row = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()
+    mean, n = np.array(row[1:], float), int(row[0])
+
+    def run(batches):
+        total = np.zeros((d, d))
+        for pdf in batches:
+            x = pdf.to_numpy(float) - mean
+            total += x.T @ x
+        yield pd.DataFrame({"i": range(d), "v": list(total)})
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(run, "i int, v array<double>")
+    rows = parts.groupBy("i").agg(*[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(d)]).orderBy("i").collect()
+    return mean.tolist(), [[v / n for v in list(r)[1:]] for r in rows], n
 
 
 def variance_importance(df: DataFrame, label: str, features: list[str]) -> DataFrame:
@@ -148,13 +160,12 @@ def anova_f(df: DataFrame, label: str, features: list[str]) -> DataFrame:
 def kruskal_h(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     """Kruskal-Wallis H of each feature with tie correction.
 
-    Ranks come from counts of distinct values, so that equal values cost one
-    row in the ordered window.
+    Ranks come from running counts of distinct values, so that equal values cost
+    one row and no column is ordered in one task.
     """
     rows = long_form(df.where(F.col(label) != -1), features, [label])
     counts = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("t"))
-    below = Window.partitionBy("column_name").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("rank", F.coalesce(F.sum("t").over(below), F.lit(0)) + (F.col("t") + 1) / 2)
+    ranks = running_sum(counts, ["column_name"], ["value"], F.col("t"), "_upto").select("column_name", "value", "t", (F.col("_upto") - F.col("t") + (F.col("t") + 1) / 2).alias("rank"))
     ties = counts.groupBy("column_name").agg(F.sum("t").alias("n"), F.sum(F.col("t") ** 3 - F.col("t")).alias("ties"))
     sums = rows.join(ranks, ["column_name", "value"]).groupBy("column_name", label).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("m"))
     n = F.col("n")
@@ -169,12 +180,11 @@ def kruskal_h(df: DataFrame, label: str, features: list[str]) -> DataFrame:
 def smart_types(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
     """What kind of column each is: id-like, constant, skewed, flat-topped, monotonic, autocorrelated."""
     out = []
-    w = Window.orderBy(order_col)
     n = df.count()
-    # A running order needs one sequence; range partitions carry only their last value to the next one.
-    lagged = df.select(order_col, *columns)
-    for c in columns:
-        lagged = lagged.withColumn(f"_l_{c}", F.lag(c).over(w))
+    # Each row meets the one before it by row number.
+    rows = numbered(df.select(F.col(order_col).alias("_order"), *columns), ["_order"], "_at")
+    before = rows.select((F.col("_at") + 1).alias("_at"), *[F.col(c).alias(f"_l_{c}") for c in columns])
+    lagged = rows.join(before, "_at", "left")
     aggs = []
     for c in columns:
         step = F.col(c) - F.col(f"_l_{c}")
@@ -201,3 +211,19 @@ def smart_types(df: DataFrame, columns: list[str], order_col: str) -> DataFrame:
             )
         )
     return one.select(F.explode(F.array(*out)).alias("r")).select("r.*")
+
+
+def centroid_heatmap(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """(label, column_name, z): each cluster's mean of each feature, standardised over the clusters."""
+    means = long_form(df.where(F.col(label) != -1), features, [label]).groupBy(label, "column_name").agg(F.avg("value").alias("m"))
+    over = Window.partitionBy("column_name")  # one row for each cluster
+    return means.select(label, "column_name", ((F.col("m") - F.avg("m").over(over)) / F.stddev_pop("m").over(over)).alias("z"))
+
+
+def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
+    """(bin, low, high, n) of equal widths from the least to the largest value; empty bins have no row."""
+    ends = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) / bins or 1.0
+    at = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit((width * bins) or 1.0) * bins), F.lit(bins - 1)).cast("int")
+    counts = df.where(F.col(column).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("bin", (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"), (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("high"), "n")

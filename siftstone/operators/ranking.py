@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
 
 def rank_by(df: DataFrame, score: str, id_col: str, descending: bool = True) -> DataFrame:
     """rank 1..n by a score; nulls last, ties by id."""
     order = F.col(score).desc_nulls_last() if descending else F.col(score).asc_nulls_last()
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(order, id_col)))
+    return numbered(df, [order, F.col(id_col)]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def leaderboard(df: DataFrame, id_col: str, score: str, n: int = 10) -> DataFrame:
@@ -51,10 +52,9 @@ def kneedle(df: DataFrame, k: str, score: str) -> DataFrame:
 
 
 def eps_by_second_difference(curve: DataFrame, rank: str, distance: str, floor: float = 0.05) -> DataFrame:
-    """eps where the second difference of the descending k-distance curve is largest, at least ``floor``."""
-    w = Window.orderBy(rank)
-    second = F.col(distance) - 2 * F.lead(distance, 1).over(w) + F.lead(distance, 2).over(w)
-    rows = curve.withColumn("_d", second).withColumn("_e", F.lead(distance, 1).over(w)).where("_d IS NOT NULL")
+    """eps where the second difference of the descending k-distance curve is largest, at least ``floor``. Ranks meet by number."""
+    one, two = (curve.select((F.col(rank) - k).alias(rank), F.col(distance).alias(f"_e{k}")) for k in (1, 2))
+    rows = curve.join(one, rank).join(two, rank).withColumn("_d", F.col(distance) - 2 * F.col("_e1") + F.col("_e2")).withColumn("_e", F.col("_e1"))
     return rows.agg(F.greatest(F.max_by("_e", F.struct("_d", -F.col(rank))), F.lit(floor)).alias("eps"))
 
 

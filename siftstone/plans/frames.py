@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEATURES = ["f1", "f2", "f3", "f4"]
+DIMS = 64
+FEATURES = [f"f{i + 1}" for i in range(DIMS)]
 
-POINTS = "p AS (SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS f1, CAST(embedding[2] AS DOUBLE) AS f2, CAST(embedding[3] AS DOUBLE) AS f3, CAST(embedding[4] AS DOUBLE) AS f4, label FROM embeddings)"
-CLEAN = POINTS + ", q AS (SELECT row_id, f1, f2, f3, f4, CASE WHEN f3 > 0.15 THEN -1 ELSE label END AS label FROM p)"
-CENTRES = CLEAN + ", c AS (SELECT label, count(*) AS n, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3, avg(f4) AS f4 FROM q WHERE label <> -1 GROUP BY label)"
-DIST = "sqrt((a.f1 - b.f1) * (a.f1 - b.f1) + (a.f2 - b.f2) * (a.f2 - b.f2) + (a.f3 - b.f3) * (a.f3 - b.f3) + (a.f4 - b.f4) * (a.f4 - b.f4))"
+
+def every(template: str, separator: str = ", ") -> str:
+    """``template`` for each feature ``{f}``."""
+    return separator.join(template.format(f=f) for f in FEATURES)
+
+
+_COLUMNS = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {f}" for i, f in enumerate(FEATURES))
+POINTS = f"p AS (SELECT vec_id AS row_id, {_COLUMNS}, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
+CLEAN = POINTS + ", q AS (SELECT * REPLACE (CASE WHEN f3 > 0.15 THEN -1 ELSE label END AS label) FROM p)"
+CENTRES = CLEAN + f", c AS (SELECT label, count(*) AS n, {every('avg({f}) AS {f}')}, [{every('avg({f})')}] AS e FROM q WHERE label <> -1 GROUP BY label)"
+DIST = "list_distance(a.e, b.e)"
 RUNS = POINTS + """, runs AS (
   SELECT 'r0' AS run, row_id, label FROM p
   UNION ALL SELECT 'r1', row_id, (label + CASE WHEN f1 > 0 THEN 1 ELSE 0 END) % 10 FROM p
@@ -27,7 +35,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f"f{i + 1}") for i in range(4)], "label")
+    return e.select(F.col("vec_id").alias("row_id"), *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)], "label")
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import hash_uniform
 from ..operators import agreement, consensus, distances, metrics, preprocess, profile, ranking, sampling, stability
-from .frames import CENTRES, CLEAN, DIST, FEATURES, LINE, LONG_LINE, POINTS, RUNS, noisy, points, read, rounded, runs
+from .frames import CENTRES, CLEAN, DIMS, DIST, FEATURES, LINE, LONG_LINE, POINTS, RUNS, every, noisy, points, read, rounded, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,13 +100,7 @@ def sample_density(spark, d):
 @query(f"WITH {CENTRES} SELECT DISTINCT first_value(a.row_id) OVER (PARTITION BY b.label ORDER BY {DIST}, a.row_id) AS row_id FROM q a CROSS JOIN c b QUALIFY true")
 def sample_coreset(spark, d):
     rows = noisy(spark, d)
-    centres = distances.centroid_array(rows, "label", FEATURES)
-    # The nearest row of each centre among all rows, not only those that the centre attracts.
-    best = [rows.agg(F.min_by("row_id", F.struct(F.sqrt(distances.squared_distance(distances.vector(FEATURES), F.array(*[F.lit(float(v)) for v in c]))), "row_id")).alias("row_id")) for _, c in centres]
-    out = best[0]
-    for b in best[1:]:
-        out = out.unionByName(b)
-    return out.distinct()
+    return sampling.coreset_sample(rows, "row_id", FEATURES, distances.centroid_array(rows, "label", FEATURES)).select("row_id")
 
 
 @query(f"WITH {POINTS}, m AS (SELECT *, f1 - avg(f1) OVER () AS x, f2 - avg(f2) OVER () AS y FROM p), s AS (SELECT *, greatest(max(abs(x)) OVER (), max(abs(y)) OVER ()) AS e FROM m) SELECT row_id, {_r('x / e * 7.65')} AS x, {_r('y / e * 7.65')} AS y FROM s")
@@ -147,9 +141,9 @@ def join_knn(spark, d):
     return rounded(distances.knn(points(spark, d), "row_id", FEATURES, 5))
 
 
-@query(f"WITH {POINTS} SELECT a.row_id AS id, b.row_id AS neighbour, {_r(DIST)} AS distance FROM p a JOIN p b ON a.row_id <> b.row_id WHERE {DIST} <= 0.08")
+@query(f"WITH {POINTS} SELECT a.row_id AS id, b.row_id AS neighbour, {_r(DIST)} AS distance FROM p a JOIN p b ON a.row_id <> b.row_id WHERE {DIST} <= 1.1")
 def join_radius(spark, d):
-    return rounded(distances.radius_pairs(points(spark, d), "row_id", FEATURES, 0.08))
+    return rounded(distances.radius_pairs(points(spark, d), "row_id", FEATURES, 1.1))
 
 
 @query(f"WITH {CENTRES} SELECT a.label AS a, b.label AS b, {_r(DIST)} AS distance FROM c a JOIN c b ON a.label < b.label")
@@ -216,7 +210,7 @@ def cluster_sizes(spark, d):
 
 
 @query(
-    f"""WITH {CENTRES}, m AS (SELECT a.label, sqrt((a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2 + (a.f4 - b.f4) ** 2) AS d FROM q a JOIN c b USING (label)),
+    f"""WITH {CENTRES}, m AS (SELECT a.label, {DIST} AS d FROM q a JOIN c b USING (label)),
     t AS (SELECT a.label, b.label AS nearest, {DIST} AS d, row_number() OVER (PARTITION BY a.label ORDER BY {DIST}, b.label) AS r FROM c a JOIN c b ON a.label <> b.label),
     s AS (SELECT label, count(*) AS n, avg(d) AS mean_dist, max(d) AS max_dist, stddev_pop(d) AS std_dist FROM m GROUP BY label)
     SELECT label, n, {_r('n / (SELECT count(*) FROM q WHERE label <> -1)')} AS share, {_r('mean_dist')} AS mean_dist, {_r('max_dist')} AS max_dist, {_r('std_dist')} AS std_dist, nearest, {_r('t.d')} AS nearest_distance FROM s JOIN t USING (label) WHERE r = 1"""
@@ -408,13 +402,13 @@ for _name, _price, _size in (
 
 
 @query(
-    f"""WITH {CLEAN}, g AS (SELECT row_id, CASE WHEN row_id % 9 <> 0 THEN f1 END AS f1, f2, f3 FROM p),
-    k AS (SELECT a.row_id, b.f1, sqrt(((a.f2 - b.f2) * (a.f2 - b.f2) + (a.f3 - b.f3) * (a.f3 - b.f3)) * 3 / 2) AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY sqrt(((a.f2 - b.f2) * (a.f2 - b.f2) + (a.f3 - b.f3) * (a.f3 - b.f3)) * 3 / 2), b.row_id) AS r FROM g a JOIN g b ON b.f1 IS NOT NULL WHERE a.f1 IS NULL)
+    f"""WITH {POINTS}, g AS (SELECT row_id, CASE WHEN row_id % 9 <> 0 THEN f1 END AS f1, e[2:{DIMS}] AS e FROM p),
+    d AS (SELECT a.row_id, b.row_id AS other, b.f1, {DIST} * sqrt({DIMS} / {DIMS - 1}.0) AS d FROM g a JOIN g b ON b.f1 IS NOT NULL WHERE a.f1 IS NULL), k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, other) AS r FROM d)
     SELECT g.row_id, {_r('coalesce(g.f1, v)')} AS f1 FROM g LEFT JOIN (SELECT row_id, sum(f1 / d) / sum(1 / d) AS v FROM k WHERE r <= 5 GROUP BY 1) USING (row_id)"""
 )
 def impute_knn(spark, d):
-    g = points(spark, d).select("row_id", F.when(F.col("row_id") % 9 != 0, F.col("f1")).alias("f1"), "f2", "f3")
-    return rounded(preprocess.impute_knn(g, "row_id", ["f1", "f2", "f3"]).select("row_id", "f1"))
+    g = points(spark, d).withColumn("f1", F.when(F.col("row_id") % 9 != 0, F.col("f1")))
+    return rounded(preprocess.impute_knn(g, "row_id", FEATURES).select("row_id", "f1"))
 
 
 @query(f"WITH {_GAPS} SELECT p_partkey, price, size FROM g WHERE price IS NOT NULL AND size IS NOT NULL")
@@ -428,10 +422,14 @@ def outliers_zscore(spark, d):
     return rows.where(preprocess.zscore_mask(rows, ["l_extendedprice", "l_quantity"], 1.7)).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query(f"WITH {POINTS}, s AS (SELECT quantile_cont(f1, .25) AS a, quantile_cont(f1, .75) AS b, quantile_cont(f2, .25) AS a2, quantile_cont(f2, .75) AS b2 FROM p) SELECT row_id, f1 < a - 0.8 * (b - a) OR f1 > b + 0.8 * (b - a) OR f2 < a2 - 0.8 * (b2 - a2) OR f2 > b2 + 0.8 * (b2 - a2) AS __outlier__ FROM p, s")
+_FENCES = every("quantile_cont({f}, .25) AS a{f}, quantile_cont({f}, .75) AS b{f}")
+_BEYOND = every("{f} < a{f} - 1.5 * (b{f} - a{f}) OR {f} > b{f} + 1.5 * (b{f} - a{f})", " OR ")
+
+
+@query(f"WITH {POINTS}, s AS (SELECT {_FENCES} FROM p) SELECT row_id, {_BEYOND} AS __outlier__ FROM p, s")
 def outliers_iqr_flag(spark, d):
     p = points(spark, d)
-    return preprocess.apply_outliers(p, preprocess.iqr_mask(p, ["f1", "f2"], 0.8), ["f1", "f2"], "flag").select("row_id", "__outlier__")
+    return preprocess.apply_outliers(p, preprocess.iqr_mask(p, FEATURES), FEATURES, "flag").select("row_id", "__outlier__")
 
 
 @query(
@@ -443,9 +441,13 @@ def outliers_lof(spark, d):
     return rounded(preprocess.lof(points(spark, d), "row_id", FEATURES, 20), 5)
 
 
-@query(f"WITH {POINTS}, s AS (SELECT quantile_cont(f1, .01) AS a, quantile_cont(f1, .99) AS b FROM p) SELECT row_id, {_r('least(greatest(f1, a), b)')} AS f1 FROM p, s")
+_ENDS = every("quantile_cont({f}, .01) AS a{f}, quantile_cont({f}, .99) AS b{f}")
+_CLIPPED = every("round(least(greatest({f}, a{f}), b{f}), 6) + 0.0 AS {f}")
+
+
+@query(f"WITH {POINTS}, s AS (SELECT {_ENDS} FROM p) SELECT row_id, {_CLIPPED} FROM p, s")
 def outliers_clip(spark, d):
-    return rounded(preprocess.clip_all(points(spark, d).select("row_id", "f1"), ["f1"]))
+    return rounded(preprocess.clip_all(points(spark, d).drop("label"), FEATURES))
 
 
 @query(
@@ -501,9 +503,13 @@ def select_correlation(spark, d):
     return spark.createDataFrame([(n, n in kept) for n in names], "column_name string, kept boolean")
 
 
-@query(f"WITH {POINTS} SELECT row_id, {_r('f1 * f2')} AS f1_x_f2, {_r('f1 * f3')} AS f1_x_f3, {_r('f2 * f3')} AS f2_x_f3 FROM p")
+#: The operator multiplies each two of the first ten columns.
+_PRODUCTS = ", ".join(f"round({a} * {b}, 6) + 0.0 AS {a}_x_{b}" for i, a in enumerate(FEATURES[:10]) for b in FEATURES[i + 1 : 10])
+
+
+@query(f"WITH {POINTS} SELECT row_id, {_PRODUCTS} FROM p")
 def interactions(spark, d):
-    return rounded(preprocess.interactions(points(spark, d).select("row_id", "f1", "f2", "f3"), ["f1", "f2", "f3"]).drop("f1", "f2", "f3"))
+    return rounded(preprocess.interactions(points(spark, d).drop("label"), FEATURES).drop(*FEATURES))
 
 
 @query("SELECT 'l_quantity' AS column_name, round(1 / (1 - corr(l_quantity, l_extendedprice) ** 2), 4) AS vif FROM lineitem UNION ALL SELECT 'l_extendedprice', round(1 / (1 - corr(l_quantity, l_extendedprice) ** 2), 4) FROM lineitem")
@@ -537,9 +543,9 @@ def metric_silhouette(spark, d):
 
 
 @query(
-    f"""WITH {CENTRES}, e AS (SELECT a.label, (a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2 + (a.f4 - b.f4) ** 2 AS d2 FROM q a JOIN c b USING (label)), s AS (SELECT label, count(*) AS n, avg(sqrt(d2)) AS r, sum(d2) AS w FROM e GROUP BY 1),
+    f"""WITH {CENTRES}, e AS (SELECT a.label, ({DIST}) ** 2 AS d2 FROM q a JOIN c b USING (label)), s AS (SELECT label, count(*) AS n, avg(sqrt(d2)) AS r, sum(d2) AS w FROM e GROUP BY 1),
     g AS (SELECT a.label AS a, b.label AS b, {DIST} AS d FROM c a JOIN c b ON a.label <> b.label), db AS (SELECT a, max((x.r + y.r) / d) AS v FROM g JOIN s x ON x.label = a JOIN s y ON y.label = b GROUP BY 1),
-    t AS (SELECT avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3, avg(f4) AS f4 FROM q WHERE label <> -1), bt AS (SELECT sum(c.n * ((c.f1 - t.f1) ** 2 + (c.f2 - t.f2) ** 2 + (c.f3 - t.f3) ** 2 + (c.f4 - t.f4) ** 2)) AS ssb FROM c, t), z AS (SELECT sum(w) AS w, sum(n) AS n, count(*) AS k FROM s)
+    t AS (SELECT [{every('avg({f})')}] AS e FROM q WHERE label <> -1), bt AS (SELECT sum(c.n * list_distance(c.e, t.e) ** 2) AS ssb FROM c, t), z AS (SELECT sum(w) AS w, sum(n) AS n, count(*) AS k FROM s)
     SELECT {_r('(SELECT avg(v) FROM db)')} AS davies_bouldin, {_r('ssb / (k - 1) / (w / (n - k))', 4)} AS calinski_harabasz, {_r('w / (n * (SELECT min(d) FROM g) ** 2)', 4)} AS xie_beni, {_r('w', 4)} AS inertia FROM z, bt"""
 )
 def metric_centroids(spark, d):
@@ -562,7 +568,7 @@ def metric_connectivity(spark, d):
 
 
 @query(
-    f"""WITH {CENTRES}, e AS (SELECT a.label, sqrt((a.f1 - b.f1) ** 2 + (a.f2 - b.f2) ** 2 + (a.f3 - b.f3) ** 2 + (a.f4 - b.f4) ** 2) AS d FROM q a JOIN c b USING (label)), r AS (SELECT label, quantile_cont(d, .95) AS r FROM e GROUP BY 1)
+    f"""WITH {CENTRES}, e AS (SELECT a.label, {DIST} AS d FROM q a JOIN c b USING (label)), r AS (SELECT label, quantile_cont(d, .95) AS r FROM e GROUP BY 1)
     SELECT a.label AS a, b.label AS b, {_r(f'greatest(0, 1 - {DIST} / (x.r + y.r))')} AS overlap FROM c a JOIN c b ON a.label < b.label JOIN r x ON x.label = a.label JOIN r y ON y.label = b.label"""
 )
 def metric_overlap(spark, d):
@@ -642,7 +648,7 @@ def coassociation(spark, d):
 def consensus_pac(spark, d):
     r = runs(spark, d)
     n = r.select("row_id").distinct().count()
-    return rounded(consensus.pac(consensus.coassociation(r), n * (n - 1) // 2))
+    return rounded(consensus.pac(consensus.pair_histogram(r), n * (n - 1) // 2))
 
 
 @query(
@@ -652,7 +658,7 @@ def consensus_pac(spark, d):
 def consensus_cdf(spark, d):
     r = runs(spark, d)
     n = r.select("row_id").distinct().count()
-    return rounded(consensus.consensus_cdf(consensus.coassociation(r), n * (n - 1) // 2))
+    return rounded(consensus.consensus_cdf(consensus.pair_histogram(r), n * (n - 1) // 2))
 
 
 @query(
@@ -660,7 +666,7 @@ def consensus_cdf(spark, d):
     SELECT p.row_id, p.label, {_r('CASE WHEN n > 1 THEN coalesce(s, 0) / (n - 1) ELSE 1 END')} AS consensus FROM p JOIN z USING (label) LEFT JOIN s ON s.row_id = p.row_id"""
 )
 def item_consensus(spark, d):
-    return rounded(consensus.item_consensus(consensus.coassociation(runs(spark, d)), points(spark, d).select("row_id", "label")))
+    return rounded(consensus.item_consensus(runs(spark, d), points(spark, d).select("row_id", "label")))
 
 
 @query(
@@ -669,7 +675,7 @@ def item_consensus(spark, d):
 )
 def consensus_uncertainty(spark, d):
     r = runs(spark, d)
-    return rounded(consensus.uncertainty(consensus.coassociation(r), r.select("row_id").distinct().count()))
+    return rounded(consensus.uncertainty(r, r.select("row_id").distinct().count()))
 
 
 _VOTES = RUNS + ", v AS (SELECT row_id, label, count(*) AS n FROM runs GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY row_id) AS m, row_number() OVER (PARTITION BY row_id ORDER BY n DESC, label) AS r FROM v)"
@@ -756,9 +762,14 @@ def perturb_subset(spark, d):
     return stability.perturb(points(spark, d), "row_id", FEATURES, "subset", 0.8, 3).select("row_id")
 
 
-@query(f"WITH {POINTS}, s AS (SELECT stddev_pop(f1) AS d FROM p) SELECT row_id, {_r(f'''f1 + 0.1 * d * (sqrt(-2 * ln(greatest({_u('row_id', 'gaussian1f1a')}, 1e-12))) * cos(2 * 3.141592653589793 * {_u('row_id', 'gaussian1f1b')}))''')} AS f1 FROM p, s")
+def _noise(f: str) -> str:
+    u, v = _u("row_id", f"gaussian1{f}a"), _u("row_id", f"gaussian1{f}b")
+    return _r(f"{f} + 0.1 * d{f} * (sqrt(-2 * ln(greatest({u}, 1e-12))) * cos(2 * 3.141592653589793 * {v}))") + f" AS {f}"
+
+
+@query(f"WITH {POINTS}, s AS (SELECT {every('stddev_pop({f}) AS d{f}')} FROM p) SELECT row_id, {', '.join(map(_noise, FEATURES))} FROM p, s")
 def perturb_gaussian(spark, d):
-    return rounded(stability.perturb(points(spark, d).select("row_id", "f1"), "row_id", ["f1"], "gaussian", 0.1, 1))
+    return rounded(stability.perturb(points(spark, d).drop("label"), "row_id", FEATURES, "gaussian", 0.1, 1))
 
 
 @query(f"SELECT c_custkey, {_r(_u('c_custkey', '7'))} AS u FROM customer")
@@ -787,15 +798,15 @@ for _name in (
 ).split():
     _fit(_name, k=5)
 for _name, _params in {
-    "kmeans_auto": {"k_max": 8}, "xmeans": {"k_max": 8}, "gmeans": {"k_max": 8}, "dip_means": {"k_max": 6}, "birch": {"threshold": 0.1, "k": 5}, "optics": {}, "hdbscan": {}, "mean_shift": {}, "denclue": {"h": 0.1},
-    "bgmm": {"k": 6}, "affinity_propagation": {"preference": -0.5}, "som_clustering": {"rounds": 5}, "umap_hdbscan": {}, "robust_cc": {}, "clique_subspace": {"share": 0.02}, "sting_grid": {"cells": 6, "share": 0.01},
+    "kmeans_auto": {"k_max": 8}, "xmeans": {"k_max": 8}, "gmeans": {"k_max": 8}, "dip_means": {"k_max": 6}, "birch": {"threshold": 0.5, "k": 5}, "optics": {}, "hdbscan": {}, "mean_shift": {}, "denclue": {"h": 0.78},
+    "bgmm": {"k": 6}, "affinity_propagation": {"preference": -4.0}, "som_clustering": {"rounds": 5}, "umap_hdbscan": {}, "robust_cc": {}, "clique_subspace": {"share": 0.02}, "sting_grid": {"cells": 6, "share": 0.01},
 }.items():
     _fit(_name, **_params)
 
 
 # Density clustering has one right answer.
 
-_EPS = POINTS + f""", e AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p b ON {DIST} <= 0.12), core AS (SELECT i FROM e GROUP BY 1 HAVING count(*) >= 5),
+_EPS = POINTS + f""", e AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p b ON {DIST} <= 1.17), core AS (SELECT i FROM e GROUP BY 1 HAVING count(*) >= 5),
   ce AS (SELECT i, j FROM e WHERE i IN (SELECT i FROM core) AND j IN (SELECT i FROM core)),
   reach(i, c) AS (SELECT i, i FROM core UNION SELECT ce.j, reach.c FROM reach JOIN ce ON ce.i = reach.i), comp AS (SELECT i, min(c) AS c FROM reach GROUP BY 1),
   lab AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM comp)),
@@ -806,29 +817,29 @@ _EPS = POINTS + f""", e AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p
 def fit_dbscan(spark, d):
     from ..operators import clustering
 
-    return clustering.dbscan(points(spark, d), "row_id", FEATURES, 0.12, 5).select(F.col("id").alias("row_id"), "label")
+    return clustering.dbscan(points(spark, d), "row_id", FEATURES, 1.17, 5).select(F.col("id").alias("row_id"), "label")
 
 
 @query(
-    f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p b ON {DIST} <= 0.07), reach(i, c) AS (SELECT row_id, row_id FROM p UNION SELECT e.j, reach.c FROM reach JOIN e ON e.i = reach.i),
+    f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.row_id AS i, b.row_id AS j FROM p a JOIN p b ON {DIST} <= 1.08), reach(i, c) AS (SELECT row_id, row_id FROM p UNION SELECT e.j, reach.c FROM reach JOIN e ON e.i = reach.i),
     comp AS (SELECT i, min(c) AS c FROM reach GROUP BY 1), lab AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS label FROM (SELECT DISTINCT c FROM comp)) SELECT i AS row_id, CAST(label AS INTEGER) AS label FROM comp JOIN lab USING (c)"""
 )
 def fit_threshold_clustering(spark, d):
     from ..operators import clustering
 
-    return clustering.threshold_clustering(points(spark, d), "row_id", FEATURES, 0.07).select(F.col("id").alias("row_id"), "label")
+    return clustering.threshold_clustering(points(spark, d), "row_id", FEATURES, 1.08).select(F.col("id").alias("row_id"), "label")
 
 
-@query(f"WITH {POINTS} SELECT a.row_id AS id, {_r(f'avg(exp(-1 * ({DIST}) ** 2 / 0.02))')} AS density FROM p a CROSS JOIN p b GROUP BY 1")
+@query(f"WITH {POINTS} SELECT a.row_id AS id, {_r(f'avg(exp(-1 * ({DIST}) ** 2 / 0.5))')} AS density FROM p a CROSS JOIN p b GROUP BY 1")
 def kernel_density(spark, d):
     from ..operators import clustering
 
-    return rounded(clustering.kernel_density(points(spark, d), "row_id", FEATURES, 0.1))
+    return rounded(clustering.kernel_density(points(spark, d), "row_id", FEATURES, 0.5))
 
 
 @query(
-    f"""WITH {CENTRES}, d AS (SELECT a.row_id, a.f1, a.f2, a.f3, a.f4, b.label, row_number() OVER (PARTITION BY a.row_id ORDER BY {DIST}, b.label) AS r FROM p a CROSS JOIN c b)
-    SELECT label, count(*) AS n, {_r('avg(f1)')} AS f1, {_r('avg(f2)')} AS f2, {_r('avg(f3)')} AS f3, {_r('avg(f4)')} AS f4 FROM d WHERE r = 1 GROUP BY label"""
+    f"""WITH {CENTRES}, d AS (SELECT a.* EXCLUDE (label), b.label, row_number() OVER (PARTITION BY a.row_id ORDER BY {DIST}, b.label) AS r FROM p a CROSS JOIN c b)
+    SELECT label, count(*) AS n, {every('round(avg({f}), 6) + 0.0 AS {f}')} FROM d WHERE r = 1 GROUP BY label"""
 )
 def kmeans_step(spark, d):
     centres = distances.centroid_array(noisy(spark, d), "label", FEATURES)
@@ -836,9 +847,13 @@ def kmeans_step(spark, d):
     return rounded(near.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f) for f in FEATURES]))
 
 
+def _centre_frame(spark, labels, centres):
+    return spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(labels, centres, strict=True)], "label int, " + every("{f} double"))
+
+
 @query(
-    f"""WITH {CENTRES}, m AS (SELECT a.row_id, b.label, 1 / ({DIST}) ** 2 AS u, a.f1, a.f2 FROM p a CROSS JOIN c b), w AS (SELECT *, (u / sum(u) OVER (PARTITION BY row_id)) ** 2 AS w FROM m)
-    SELECT label, {_r('sum(w * f1) / sum(w)')} AS f1, {_r('sum(w * f2) / sum(w)')} AS f2 FROM w GROUP BY label"""
+    f"""WITH {CENTRES}, m AS (SELECT a.row_id, b.label, 1 / ({DIST}) ** 2 AS u, a.* EXCLUDE (label, row_id) FROM p a CROSS JOIN c b), w AS (SELECT *, (u / sum(u) OVER (PARTITION BY row_id)) ** 2 AS w FROM m)
+    SELECT label, {every('round(sum(w * {f}) / sum(w), 6) + 0.0 AS {f}')} FROM w GROUP BY label"""
 )
 def fuzzy_step(spark, d):
     import numpy as np
@@ -847,12 +862,12 @@ def fuzzy_step(spark, d):
 
     centres = distances.centroid_array(noisy(spark, d), "label", FEATURES)
     new = clustering.fuzzy_step(points(spark, d), FEATURES, np.array([c for _, c in centres]))
-    return rounded(spark.createDataFrame([(k, float(v[0]), float(v[1])) for (k, _), v in zip(centres, new, strict=True)], "label int, f1 double, f2 double"))
+    return rounded(_centre_frame(spark, [k for k, _ in centres], new))
 
 
 @query(
-    f"""WITH {CENTRES}, d AS (SELECT a.row_id % 3 AS client, a.f1, a.f2, b.label, row_number() OVER (PARTITION BY a.row_id ORDER BY {DIST}, b.label) AS r FROM p a CROSS JOIN c b)
-    SELECT label, {_r('avg(f1)')} AS f1, {_r('avg(f2)')} AS f2 FROM d WHERE r = 1 GROUP BY label"""
+    f"""WITH {CENTRES}, d AS (SELECT a.* EXCLUDE (label), b.label, row_number() OVER (PARTITION BY a.row_id ORDER BY {DIST}, b.label) AS r FROM p a CROSS JOIN c b)
+    SELECT label, {every('round(avg({f}), 6) + 0.0 AS {f}')} FROM d WHERE r = 1 GROUP BY label"""
 )
 def federated_step(spark, d):
     import numpy as np
@@ -862,4 +877,8 @@ def federated_step(spark, d):
     centres = distances.centroid_array(noisy(spark, d), "label", FEATURES)
     rows = points(spark, d).withColumn("client", F.col("row_id") % 3)
     new = clustering.federated_kmeans(rows, "client", FEATURES, np.array([c for _, c in centres]), rounds=1)
-    return rounded(spark.createDataFrame([(k, float(v[0]), float(v[1])) for (k, _), v in zip(centres, new, strict=True)], "label int, f1 double, f2 double"))
+    return rounded(_centre_frame(spark, [k for k, _ in centres], new))
+
+
+# The other modules of queries register themselves here.
+from . import fit_queries, quality_queries  # noqa: E402, F401

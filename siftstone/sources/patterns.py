@@ -53,7 +53,8 @@ def raw_pattern(spark: SparkSession, name: str, n: int = 300, k: int = 5, seed:
     elif name == "circles":
         (x, y), label = _ring(t, F.when(two == 0, 1.0).otherwise(0.5)), two
     elif name == "nested_circles":
-        (x, y), label = _ring(t, 1.0 + (i % 3)), i % 3
+        r = 1.0 + 3.5 * c / max(k - 1, 1)
+        (x, y), label = _ring(t, r + (0.8 * noise * r * g("r") if noise else 0.0)), c
     elif name == "donuts":
         (x, y), label = _ring(t, 1.0 + 0.3 * u("r")), two
         x = x + 3 * two
@@ -99,7 +100,7 @@ def raw_pattern(spark: SparkSession, name: str, n: int = 300, k: int = 5, seed:
         label = c
     else:
         raise ValueError(f"unknown pattern {name}")
-    if noise and name in ("moons", "crescents", "halfmoons_rotated", "circles", "nested_circles", "swiss_roll", "s_curve", "galaxy_spiral", "figure_eight", "star_clusters", "donuts", "blob_in_circle"):
+    if noise and name in ("moons", "crescents", "halfmoons_rotated", "circles", "swiss_roll", "s_curve", "galaxy_spiral", "figure_eight", "star_clusters", "donuts", "blob_in_circle"):
         x, y = x + noise * g("nx"), y + noise * g("ny")
     return spark.range(n).withColumnRenamed("id", "row_id").select("row_id", x.cast("double").alias("x"), y.cast("double").alias("y"), label.cast("int").alias("label"))
 
@@ -125,3 +126,63 @@ def blobs(spark: SparkSession, n: int, d: int, k: int, seed: int = 42, spread: f
     c = (F.col("row_id") % k).cast("int")
     columns = [(F.array(*[F.lit(float(v)) for v in centres[:, j]])[c] + spread * hash_normal(F.col("row_id"), f"b{j}{seed}")).alias(f"f{j + 1}") for j in range(d)]
     return spark.range(n).withColumnRenamed("id", "row_id").select("row_id", *columns, c.alias("label"))
+
+
+#: Named sample tables: rows, features, classes, spread. Fixed values.
+DATASETS = {
+    "blobs_3": (1000, 5, 3, 1.0),
+    "blobs_7": (2000, 8, 7, 1.0),
+    "moons": (1000, 2, 2, 0.08),
+    "circles": (1000, 2, 2, 0.05),
+    "anisotropic": (1000, 2, 3, 1.0),
+    "iris_like": (150, 4, 3, 1.0),
+    "wine_like": (178, 13, 3, 1.0),
+    "cancer_like": (569, 30, 2, 1.0),
+    "high_dimensional": (1500, 20, 5, 1.0),
+    "noisy_blobs": (1200, 6, 4, 2.5),
+}
+#: Means and deviations of the three iris species (sepal length and width, petal length and width): fixed values.
+IRIS = (
+    ((5.006, 3.428, 1.462, 0.246), (0.352, 0.379, 0.174, 0.105)),
+    ((5.936, 2.770, 4.260, 1.326), (0.516, 0.314, 0.470, 0.198)),
+    ((6.588, 2.974, 5.552, 2.026), (0.636, 0.322, 0.552, 0.275)),
+)
+
+
+def dataset(spark: SparkSession, name: str, seed: int = 42) -> DataFrame:
+    """row_id, feature_0, ..., true_label of a sample table.
+
+    The measured sets (iris, wine, cancer) are not copied: normal classes of the
+    same size and shape stand for them, for iris with its species' means and
+    deviations.
+    """
+    n, d, k, spread = DATASETS[name]
+    if name in ("moons", "circles"):
+        t = raw_pattern(spark, name, n, k, seed, spread)
+        return t.select("row_id", F.col("x").alias("feature_0"), F.col("y").alias("feature_1"), F.col("label").alias("true_label"))
+    if name == "high_dimensional":
+        return classification(spark, n, d, 10, k, seed, noise=0.0).withColumnRenamed("target", "true_label")
+    if name == "iris_like":
+        c = (F.col("row_id") % k).cast("int")
+        pick = lambda j, part: F.array(*[F.lit(species[part][j]) for species in IRIS])[c]
+        return spark.range(n).withColumnRenamed("id", "row_id").select("row_id", *[(pick(j, 0) + pick(j, 1) * hash_normal(F.col("row_id"), f"i{j}{seed}")).alias(f"feature_{j}") for j in range(d)], c.alias("true_label"))
+    t = blobs(spark, n, d, k, seed, spread)
+    columns = [F.col(f"f{j + 1}") for j in range(d)]
+    if name == "anisotropic":
+        columns = [0.6 * columns[0] - 0.6 * columns[1], -0.4 * columns[0] + 0.8 * columns[1]]
+    return t.select("row_id", *[c.alias(f"feature_{j}") for j, c in enumerate(columns)], F.col("label").alias("true_label"))
+
+
+def classification(spark: SparkSession, n: int = 10_000, d: int = 20, informative: int = 15, k: int = 5, seed: int = 42, noise: float = 0.5) -> DataFrame:
+    """row_id, feature_0, ..., target: classes around corners of a cube in the informative features, the others being mixtures of these; normal noise on all."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    corners = rng.integers(0, 2, (k, informative)) * 2.0 - 1.0
+    mix = rng.uniform(-1, 1, (d - informative, informative))
+    i, c = F.col("row_id"), (F.col("row_id") % k).cast("int")
+    base = [F.array(*[F.lit(float(v)) for v in corners[:, j]])[c] + hash_normal(i, f"c{j}{seed}") for j in range(informative)]
+    rows = spark.range(n).withColumnRenamed("id", "row_id").select("row_id", c.alias("target"), *[b.alias(f"b{j}") for j, b in enumerate(base)])
+    columns = [F.col(f"b{j}") for j in range(informative)]
+    columns += [sum((F.lit(float(w)) * F.col(f"b{j}") for j, w in enumerate(m)), F.lit(0.0)) for m in mix]
+    return rows.select("row_id", *[(x + noise * hash_normal(i, f"e{j}{seed}") if noise else x).alias(f"feature_{j}") for j, x in enumerate(columns)], "target")
