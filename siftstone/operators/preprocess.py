@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.expressions import clip
 from . import distances, profile
+from .graph import cut
 from .order import quantiles
 
 
@@ -59,7 +60,8 @@ def drop_null_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 def impute_knn(df: DataFrame, id_col: str, columns: list[str], k: int = 5) -> DataFrame:
     """Nulls from the k nearest rows that have the value, weighted by 1/distance; distances skip nulls and are scaled up for them."""
     cast = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    rows = cast.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{j}") for j, c in enumerate(columns)])
+    # Written once: below a projection of many columns, the filter's inferred constraints would double with each of them.
+    rows = cut(cast.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{j}") for j, c in enumerate(columns)]))
     names = [f"_c{j}" for j in range(len(columns))]
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -294,11 +296,11 @@ def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFr
     raise ValueError(f"unknown scaler {method}")
 
 
-def quantile_scale(df: DataFrame, columns: list[str], quantiles: int = 1000, normal: bool = False) -> DataFrame:
-    """Piecewise-linear rank transform over ``quantiles`` exact percentiles, in the batch as a vectorised map."""
+def quantile_scale(df: DataFrame, columns: list[str], most: int = 1000, normal: bool = False) -> DataFrame:
+    """Piecewise-linear rank transform over ``most`` exact percentiles, in the batch as a vectorised map."""
     from statistics import NormalDist
 
-    n = min(quantiles, max(df.count(), 2))
+    n = min(most, max(df.count(), 2))
     grid = [i / (n - 1) for i in range(n)]
     table = {c: np.array(q, float) for c, q in quantiles(df, columns, grid).items()}
     inverse = np.array([NormalDist().inv_cdf(min(max(p, 1e-7), 1 - 1e-7)) for p in np.linspace(0, 1, 10_001)])

@@ -57,7 +57,7 @@ def stability_test(df: DataFrame, id_col: str, features: list[str], fit: Fit, sc
             got = fit(perturb(df, id_col, features, kind, level, number))
             cells = agreement.contingency(base, got, "id", "label").persist()
             row = agreement.scores(cells).first()
-            out.append({"run": number, "kind": kind, "level": level, "ari": float(row.ari) if row else 0.0, "nmi": float(row.nmi) if row else 0.0, "ami": agreement.adjusted_mutual_information(cells), "jaccard": agreement.greedy_jaccard(cells)})
+            out.append({"run": number, "kind": kind, "level": level, "ari": float(row.ari) if row else 0.0, "nmi": float(row.nmi) if row else 0.0, "ami": float(agreement.adjusted_mutual_information(cells)), "jaccard": agreement.greedy_jaccard(cells)})
             cells.unpersist()
     return out
 

@@ -88,7 +88,7 @@ def som_step(spark, d):
     return rounded(_centre_frame(spark, range(5), clustering.som_step(points(spark, d), FEATURES, _seeds(spark, d), grid, 1.0)))
 
 
-_SQUARES = "list_sum(list_transform(list_zip(a.e, b.e, b.v), x -> (x[1] - x[2]) ** 2 / x[3] + ln(x[3])))"
+_SQUARES = "list_sum(list_transform(list_zip(a.e, b.e, b.v), lambda x: (x[1] - x[2]) ** 2 / x[3] + ln(x[3])))"
 
 
 @query(
@@ -158,4 +158,4 @@ def streaming_profile(spark, d):
     name = f"profile_{uuid.uuid4().hex}"
     stream = windowed_profile(spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet"), "ts", "value", "event_type")
     stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
-    return rounded(spark.table(name).select(F.col("window.start").alias("start"), "event_type", "n", "mean", "std"))
+    return rounded(spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean", "std"))

@@ -12,7 +12,7 @@ from .queries import _AGREE, _CO, _GAPS, _SIL, _gaps, _r, _u, query
 # Metrics
 
 
-@query(f"WITH {_SIL.replace('AS (SELECT row_id, la, lb, sum(d)', 'AS (SELECT row_id, la, lb, sum(d)')}, z AS (SELECT la, sum(s) AS s, sum(n) AS n FROM m WHERE la = lb GROUP BY la) SELECT {_r('avg(s / n)')} AS avg_intra_dist FROM z WHERE n > 1")
+@query(f"WITH {_SIL}, z AS (SELECT la, sum(s) AS s, sum(n) AS n FROM m WHERE la = lb GROUP BY la) SELECT {_r('avg(s / n)')} AS avg_intra_dist FROM z WHERE n > 1")
 def metric_avg_intra(spark, d):
     return rounded(metrics.avg_intra_distance(noisy(spark, d), "row_id", "label", FEATURES))
 
@@ -22,14 +22,14 @@ def metric_dispersion(spark, d):
     return rounded(metrics.dispersion(noisy(spark, d), "label", FEATURES))
 
 
-_LOGS = "logs AS (SELECT p_size AS k, CAST(p_partkey % 5 AS INTEGER) AS reference, ln(avg(p_retailprice) / p_size) AS log_wk FROM part GROUP BY ALL)"
+_LOGS = "logs AS (SELECT p_size AS k, CAST(p_partkey % 5 AS INTEGER) AS reference, ln(avg(p_retailprice) / p_size) AS lw FROM part GROUP BY p_size, p_partkey % 5)"
 
 
 def _logs(spark, d):
     return read(spark, d, "part").groupBy(F.col("p_size").alias("k"), (F.col("p_partkey") % 5).cast("int").alias("reference")).agg(F.log(F.avg("p_retailprice") / F.first("p_size")).alias("log_wk"))
 
 
-_GAP = _LOGS + ", curve AS (SELECT k, avg(log_wk) FILTER (reference > 0) - max(log_wk) FILTER (reference = 0) AS gap, stddev_pop(log_wk) FILTER (reference > 0) * sqrt(1 + 1 / count(log_wk) FILTER (reference > 0)) AS sk, max(log_wk) FILTER (reference = 0) AS log_wk, avg(log_wk) FILTER (reference > 0) AS log_wk_ref FROM logs GROUP BY k)"
+_GAP = _LOGS + ", curve AS (SELECT k, avg(lw) FILTER (reference > 0) - max(lw) FILTER (reference = 0) AS gap, (stddev_pop(lw) FILTER (reference > 0)) * sqrt(1 + 1 / (count(lw) FILTER (reference > 0))) AS sk, max(lw) FILTER (reference = 0) AS log_wk, avg(lw) FILTER (reference > 0) AS log_wk_ref FROM logs GROUP BY k)"
 
 
 @query(f"WITH {_GAP} SELECT k, {_r('gap')} AS gap, {_r('sk')} AS sk, {_r('log_wk')} AS log_wk, {_r('log_wk_ref')} AS log_wk_ref FROM curve")
@@ -57,8 +57,8 @@ for _k in range(8):
 
 @query(
     f"""WITH {_SIL}, s AS (SELECT row_id, (b - a) / greatest(a, b) AS s FROM ab), u AS (SELECT row_id, s, r, CAST('0x' || substr(md5(row_id || '-42-' || r), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM s, range(20) t(r)),
-    w AS (SELECT r, s, {' + '.join(f'(u >= {t})::INT' for t in _POISSON)} AS w FROM u), m AS (SELECT sum(s * w) / sum(w) AS m FROM w GROUP BY r)
-    SELECT {_r('avg(m)')} AS mean, {_r('quantile_cont(m, 0.025)')} AS low, {_r('quantile_cont(m, 0.975)')} AS high, {_r('stddev_pop(m)')} AS std FROM m"""
+    w AS (SELECT r, s, {' + '.join(f'(u >= {t})::INT' for t in _POISSON)} AS w FROM u), draws AS (SELECT sum(s * w) / sum(w) AS m FROM w GROUP BY r)
+    SELECT {_r('avg(m)')} AS mean, {_r('quantile_cont(m, 0.025)')} AS low, {_r('quantile_cont(m, 0.975)')} AS high, {_r('stddev_pop(m)')} AS std FROM draws"""
 )
 def silhouette_interval(spark, d):
     samples = metrics.silhouette_samples(noisy(spark, d), "row_id", "label", FEATURES)
@@ -86,13 +86,13 @@ def metric_separability(spark, d):
     return rounded(metrics.separability(metrics.clean(noisy(spark, d), "label"), "label", ["f1", "f2"]))
 
 
-_NORM = "sqrt(list_sum(list_transform({v}, x -> x * x)))"
+_NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
 
 
 @query(
     f"""WITH {CENTRES}, r AS (SELECT * FROM q WHERE label <> -1), t AS (SELECT [{every('var_pop({f})')}] AS v FROM r), g AS (SELECT label, [{every('var_pop({f})')}] AS v FROM r GROUP BY label),
     z AS (SELECT avg({_NORM.format(v='g.v')}) / any_value({_NORM.format(v='t.v')}) AS scat, sqrt(sum({_NORM.format(v='g.v')})) / count(*) AS sigma FROM g, t),
-    mid AS (SELECT a.label AS i, b.label AS j, list_transform(list_zip(a.e, b.e), x -> (x[1] + x[2]) / 2) AS e FROM c a JOIN c b ON a.label <= b.label),
+    mid AS (SELECT a.label AS i, b.label AS j, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM c a JOIN c b ON a.label <= b.label),
     n AS (SELECT b.i, b.j, count(*) FILTER ({DIST} <= sigma) AS n FROM r a JOIN mid b ON a.label IN (b.i, b.j), z GROUP BY b.i, b.j),
     d AS (SELECT coalesce(x.n / nullif(greatest(y.n, w.n), 0), 0) AS d FROM n x JOIN n y ON y.i = x.i AND y.j = x.i JOIN n w ON w.i = x.j AND w.j = x.j WHERE x.i < x.j) SELECT {_r('any_value(scat) + avg(d)')} AS s_dbw FROM d, z"""
 )
@@ -231,7 +231,7 @@ def run_consistency(spark, d):
     return rounded(stability.consistency(runs(spark, d)))
 
 
-@query(f"WITH {_ARI}, k AS (SELECT run, count(DISTINCT label) AS k FROM runs WHERE label <> -1 GROUP BY run) SELECT {_r('ari')} AS ari, {_r('2 * mi / (ha + hb)')} AS nmi, a.k AS k_a, b.k AS k_b, a.k = b.k AS k_agreement, ari >= 0.5 AS is_stable FROM y JOIN j USING (ra, rb) JOIN k a ON a.run = ra JOIN k b ON b.run = rb WHERE ra = 'r0' AND rb = 'r1'")
+@query(f"WITH {_ARI}, ks AS (SELECT run, count(DISTINCT label) AS k FROM runs WHERE label <> -1 GROUP BY run) SELECT {_r('ari')} AS ari, {_r('2 * mi / (ha + hb)')} AS nmi, a.k AS k_a, b.k AS k_b, a.k = b.k AS k_agreement, ari >= 0.5 AS is_stable FROM y JOIN j USING (ra, rb) JOIN ks a ON a.run = ra JOIN ks b ON b.run = rb WHERE ra = 'r0' AND rb = 'r1'")
 def cross_dataset(spark, d):
     r = runs(spark, d)
     return rounded(stability.cross_dataset(r.where("run = 'r0'"), r.where("run = 'r1'")))

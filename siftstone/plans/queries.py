@@ -103,7 +103,7 @@ def sample_coreset(spark, d):
     return sampling.coreset_sample(rows, "row_id", FEATURES, distances.centroid_array(rows, "label", FEATURES)).select("row_id")
 
 
-@query(f"WITH {POINTS}, m AS (SELECT *, f1 - avg(f1) OVER () AS x, f2 - avg(f2) OVER () AS y FROM p), s AS (SELECT *, greatest(max(abs(x)) OVER (), max(abs(y)) OVER ()) AS e FROM m) SELECT row_id, {_r('x / e * 7.65')} AS x, {_r('y / e * 7.65')} AS y FROM s")
+@query(f"WITH {POINTS}, m AS (SELECT *, f1 - avg(f1) OVER () AS x, f2 - avg(f2) OVER () AS y FROM p), s AS (SELECT *, greatest(max(abs(x)) OVER (), max(abs(y)) OVER ()) AS widest FROM m) SELECT row_id, {_r('x / widest * 7.65')} AS x, {_r('y / widest * 7.65')} AS y FROM s")
 def pattern_normalise(spark, d):
     from ..sources.patterns import normalise
 
@@ -615,17 +615,6 @@ def _metrics(spark, d):
     return e
 
 
-@query(
-    f"""WITH {_METRICS}, s AS (SELECT algorithm_id, CASE metric WHEN 'silhouette' THEN 3.0 ELSE 2.0 END AS w, CASE metric WHEN 'silhouette' THEN (value + 1) / 2 WHEN 'davies_bouldin' THEN greatest(0, 1 - value / 5) ELSE least(1, ln(1 + value) / ln(10001)) END AS v FROM m),
-    c AS (SELECT algorithm_id, sum(w * v) / sum(w) * 100 AS composite FROM s GROUP BY 1)
-    SELECT algorithm_id, {_r('composite', 4)} AS composite, CASE WHEN composite >= 85 THEN 'Excellent' WHEN composite >= 70 THEN 'Good' WHEN composite >= 50 THEN 'Fair' WHEN composite >= 30 THEN 'Poor' ELSE 'Very Poor' END AS grade FROM c"""
-)
-def composite_score(spark, d):
-    long = _metrics(spark, d).unpivot("algorithm_id", ["silhouette", "davies_bouldin", "calinski_harabasz"], "metric", "value")
-    out = metrics.composite(long).withColumn("grade", metrics.grade(F.col("composite") / 100))
-    return rounded(out, 4)
-
-
 @query(
     f"""WITH {_METRICS}, w AS (SELECT algorithm_id, max(CASE metric WHEN 'silhouette' THEN value END) AS a, max(CASE metric WHEN 'davies_bouldin' THEN value END) AS b FROM m GROUP BY 1)
     SELECT algorithm_id FROM w p WHERE NOT EXISTS (SELECT 1 FROM w q WHERE q.a >= p.a AND q.b <= p.b AND (q.a > p.a OR q.b < p.b))"""
@@ -799,7 +788,7 @@ for _name in (
     _fit(_name, k=5)
 for _name, _params in {
     "kmeans_auto": {"k_max": 8}, "xmeans": {"k_max": 8}, "gmeans": {"k_max": 8}, "dip_means": {"k_max": 6}, "birch": {"threshold": 0.5, "k": 5}, "optics": {}, "hdbscan": {}, "mean_shift": {}, "denclue": {"h": 0.78},
-    "bgmm": {"k": 6}, "affinity_propagation": {"preference": -4.0}, "som_clustering": {"rounds": 5}, "umap_hdbscan": {}, "robust_cc": {}, "clique_subspace": {"share": 0.02}, "sting_grid": {"cells": 6, "share": 0.01},
+    "bgmm": {"k": 6}, "affinity_propagation": {"preference": -4.0}, "som_clustering": {"rounds": 5}, "umap_hdbscan": {}, "robust_cc": {}, "clique_subspace": {"share": 0.1}, "sting_grid": {"cells": 6, "share": 0.01},
 }.items():
     _fit(_name, **_params)
 

@@ -75,4 +75,5 @@ class StreamingKMeans:
 
 def windowed_profile(stream: DataFrame, time: str, value: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count, mean and deviation of a value by key and event-time window; rows later than ``late`` are dropped."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need a time zone
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
