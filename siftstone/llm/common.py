@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``, once nothing is computed from it any more."""
+    rdd = df._jdf.queryExecution().analyzed().rdd()
+    if rdd.getCheckpointFile().isDefined():
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _pairs(df: DataFrame, u: str, v: str) -> DataFrame:
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. Each round is written to the checkpoint folder.
     """
     stars = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen, written = None, stars
     while True:
         # Large star: larger neighbours of each node move to its smallest neighbour.
         both = stars.unionByName(_pairs(stars, "v", "u"))
@@ -29,7 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: smaller neighbours of each node, and the node, move to the smallest of them.
         least = stars.groupBy("u").agg(F.min("v").alias("m"))
         moved = stars.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(moved.unionByName(_pairs(least, "u", "m")).distinct())
+        old, stars = written, cut(moved.unionByName(_pairs(least, "u", "m")).distinct())
+        discard(old)
+        written = stars
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))

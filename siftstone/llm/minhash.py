@@ -7,14 +7,13 @@ signature propose candidates; every link is confirmed on the full sets.
 
 Within a bucket not all pairs are proposed. Documents with the same word
 sequence, and so the same set, are one node from the start. First each node
-meets the smallest node of one of its buckets, then those of its other buckets
-that are in other components still. Where a bucket then holds several
-components, each node meets its neighbours in two sorted orders of the bucket,
-which joins most of what belongs together. At last, nodes outside a bucket's
-largest component meet the bucket's nodes in other components, once for each
-pair, and only those whose signature bits leave the threshold possible. What is
-never compared is already connected or too far apart, so components are those
-of all candidate pairs.
+meets the smallest node of one of its buckets. Where a bucket then holds several
+components, each node meets the nearest by signature bits of its smallest nodes
+and of its neighbours in two sorted orders, which joins most of what belongs
+together. At last, nodes outside a bucket's largest component meet the bucket's
+nodes in other components, once for each pair, and only those whose signature
+bits leave the threshold possible. What is never compared is already connected
+or too far apart, so components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -31,15 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .batches import as_texts, map_texts, word_numbers, words
-from .common import cut
+from .common import cut, discard
 from .components import connected_components
 
 #: Rows of a band, and the chance that a pair at the threshold meets in no band.
 BAND_ROWS, MISS = 4, 1e-5
 #: Signature bits for the last comparison, and the deviations beyond what the threshold gives that rule a pair out (chance 3e-7).
 BITS, DEVIATIONS = 1536, 5
-#: Neighbours on each side in a bucket's sorted orders.
-REACH = 2
+#: Neighbours on each side in a bucket's sorted orders, and how many of a node's are tried.
+REACH, BEST = 2, 4
 #: Ids up to which a set of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Rows of a cell in which a hub meets its candidates, and of a slice of a large bucket.
@@ -236,7 +235,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
         return pa.table({"a": of, "b": b}).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return met.groupBy("a", "cell").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    out = cut(met.groupBy("a", "cell").applyInArrow(run, f"a {kind}, b {kind}").distinct())
+    discard(roles)
+    return out
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = BAND_ROWS, bits: int = BITS) -> DataFrame:
@@ -270,73 +271,70 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     p = (1 - percent / 100) / 2  # that a bit of the signatures differs at the threshold
     most = math.floor(bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)))
 
-    def near(x: str, y: str) -> Column:
-        if not bits:
-            return F.lit(True)
-        return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)), F.lit(0)) <= most
-
     def components(links: DataFrame) -> DataFrame:
         return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     def labelled(df: DataFrame, found: DataFrame, node: str, comp: str) -> DataFrame:
         return df.join(found.select(F.col("id").alias(node), F.col("component").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
 
-    # Each node meets the hub with which it shares most buckets, then those of its hubs that are still in other components.
-    pairs = cut(shared.where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n")).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c")))
-    tried = cut(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"))
-    links = cut(confirm(tried, docs, width, percent, id_col, text_col))
+    # Each node meets the hub with which it shares most buckets.
+    hub_pairs = shared.where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n")).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    tried = cut(hub_pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"))
+    links = confirm(tried, docs, width, percent, id_col, text_col)
     found = components(links)
-
-    known: dict[int, tuple[DataFrame, DataFrame]] = {}
+    kept = ["node", "n", "comp", *(["bits"] if bits else [])]
+    sketches: list[DataFrame] = []
 
     def inside() -> DataFrame:
         """Entries of buckets that hold several components, with their node's component, its bits and the bucket's largest component."""
-        if id(found) not in known:
-            known.clear()
-            known[id(found)] = found, mixed_entries()
-        return known[id(found)][1]
-
-    def mixed_entries() -> DataFrame:
-        rows_ = labelled(shared.select("band", "key", "c", "digest", "node"), found, "node", "comp")
+        rows_ = labelled(shared.select("band", "key", "c", "digest", "node", F.col("hub.node").alias("hub")), found, "node", "comp")
         sizes = rows_.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"))
         mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"))
-        out = cut(rows_.join(mixed, ["band", "key"]).join(nodes.select("digest", "n", "bands"), "digest"))
-        if bits:
+        out = rows_.join(mixed, ["band", "key"]).join(nodes.select("digest", "n", "bands"), "digest")
+        if not bits:
+            return cut(out)
+        if not sketches:  # later rounds have no buckets that the first has not
             ids = cut(out.select(F.col("node").alias("id")).distinct())
-            out = cut(out.join(bit_sketch(_of_ids(docs, ids, id_col, text_col), width, bits), "digest"))
-        return out
+            sketches.append(cut(bit_sketch(_of_ids(docs, ids, id_col, text_col), width, bits)))
+        return cut(out.join(sketches[0], "digest"))
 
-    def other_hubs() -> DataFrame:
-        return labelled(labelled(pairs.select("a", "b"), found, "a", "ca"), found, "b", "cb").where("ca <> cb").select("a", "b")
+    def apart(x: str, y: str) -> Column:
+        """Bits in which two nodes differ."""
+        if not bits:
+            return F.lit(0)
+        return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)), F.lit(0))
 
-    def neighbours() -> DataFrame:
-        # A large bucket is dealt at random into slices of about SLICE rows, each with its own order; the last step has what lies across.
-        rows_, out = inside(), []
+    def neighbours(rows_: DataFrame) -> DataFrame:
+        # A large bucket is dealt at random into slices of about SLICE rows, each with its own order. Of a node's
+        # neighbours and hubs in other components, the BEST that differ least in their bits are tried; the last step has the others.
+        met = []
         for number, order in enumerate((F.col("bands")[(F.col("band") + 1) % bands], F.col("bits") if bits else F.col("bands"))):
             row = Window.partitionBy("band", "key", "_part").orderBy(order, "node")
             sliced = rows_.withColumn("_part", F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("c") / F.lit(SLICE))))
-            for k in range(1, REACH + 1):
-                kept = ["node", "n", "comp", *(["bits"] if bits else [])]
-                near_o = sliced.withColumn("o", F.lag(F.struct(*kept), k).over(row)).where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n") & (near("bits", "o.bits") if bits else F.lit(True)))
-                out.append(near_o.select(F.col("node").alias("a"), F.col("o.node").alias("b")))
-        return reduce(DataFrame.unionByName, out)
-
-    def crossing() -> DataFrame:
+            met += [sliced.withColumn("o", F.lag(F.struct(*kept), k).over(row)) for k in range(1, REACH + 1)]
+        hubs_ = rows_.where("node = hub").select("band", "key", F.struct(*kept).alias("o"))
+        met.append(rows_.join(hubs_, ["band", "key"]))
+        near_ = [m.where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n") & (apart("bits", "o.bits") <= most)).select(F.col("node").alias("a"), F.col("o.node").alias("b"), apart("bits", "o.bits").alias("h")) for m in met]
+        every_ = reduce(DataFrame.unionByName, near_).distinct().join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
+        return every_.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "b"))), 1, BEST).alias("l")).select("a", F.explode("l").alias("l")).select("a", "l.b")
+
+    def crossing(rows_: DataFrame) -> DataFrame:
         # Of a bucket's nodes, those outside its largest component meet the others. Large buckets are dealt over cells.
-        rows_ = inside().withColumn("_ways", F.ceil(F.col("c") / F.lit(SLICE)).cast("int"))
-        names = ["node", "n", "comp", "bands", *(["bits"] if bits else [])]
-        minor = rows_.where("comp <> top").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_cell"), *[F.col(c).alias(f"x_{c}") for c in names])
+        rows_ = rows_.withColumn("_ways", F.ceil(F.col("c") / F.lit(SLICE)).cast("int"))
+        minor = rows_.where("comp <> top").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_cell"), *[F.col(c).alias(f"x_{c}") for c in (*kept, "bands")])
         whole = rows_.withColumn("_cell", F.pmod(F.xxhash64("node"), "_ways").cast("int"))
         once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("x_node"))  # of two minor nodes one order is enough
         at_first = F.array_position(F.zip_with("bands", "x_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-        cross = minor.join(whole, ["band", "key", "_cell"]).where((F.col("comp") != F.col("x_comp")) & once & alike("n", "x_n") & near("bits", "x_bits") & at_first)
+        cross = minor.join(whole, ["band", "key", "_cell"]).where((F.col("comp") != F.col("x_comp")) & once & alike("n", "x_n") & (apart("bits", "x_bits") <= most) & at_first)
         return cross.select(F.col("node").alias("a"), F.col("x_node").alias("b"))
 
-    for step in (other_hubs, neighbours, crossing):
-        fresh = step().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for step in (neighbours, neighbours, crossing):
+        rows_ = inside()
+        fresh = step(rows_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
+        discard(rows_)
         if not fresh.isEmpty():
-            links = cut(links.unionByName(confirm(fresh, docs, width, percent, id_col, text_col)))
+            links = links.unionByName(confirm(fresh, docs, width, percent, id_col, text_col))
             tried = tried.unionByName(fresh)
             found = components(links)
     label = labelled(nodes.select("digest", "node"), found, "node", "component_id").select("digest", "component_id")

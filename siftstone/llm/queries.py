@@ -114,5 +114,46 @@ FROM ruled
 """
 
 
+#: Equal word sequences are one set; sets that share a shingle are compared by counting those they share.
+_OP1_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+nodes AS (SELECT list_sort(s) AS s, min(doc_id) AS node, any_value(len(s)) AS n FROM sets GROUP BY list_sort(s)),
+shingles AS (SELECT node, n, unnest(s) AS x FROM nodes),
+links AS (
+  SELECT a.node AS u, b.node AS v FROM shingles a JOIN shingles b ON a.x = b.x AND a.node < b.node
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(u, c) AS (SELECT node, node FROM nodes WHERE n > 0 UNION SELECT e.v, r.c FROM reach r JOIN both_ways e ON e.u = r.u),
+component AS (SELECT u, min(c) AS c FROM reach GROUP BY u)
+SELECT d.doc_id, len(d.s) AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE c.c END AS component_id,
+       CASE WHEN len(d.s) = 0 THEN true ELSE d.doc_id = c.c END AS kept
+FROM sets d JOIN nodes m ON list_sort(d.s) = m.s LEFT JOIN component c ON c.u = m.node
+"""
+
+
+_LEVELS = ", ".join(f"d{k} AS (SELECT a.i, min(greatest(b.c, a.upto - b.upto)) AS c, any_value(a.upto) AS upto FROM sums a JOIN d{k - 1} b ON b.i <= a.i GROUP BY a.i)" for k in range(2, 9))
+
+#: The capacity by dynamic programming over all cuts, then the greedy cuts; CRC-32 from its own table, byte by byte.
+_OP4_SQL = f"""
+WITH RECURSIVE bits(n, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM bits WHERE k = 8),
+rows_ AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, sha256(coalesce(text, '')) AS h, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+sums AS (SELECT row_number() OVER (ORDER BY h) AS i, h, sum(s) OVER (ORDER BY h) AS upto FROM (SELECT h, sum(size) AS s FROM rows_ GROUP BY h) UNION ALL SELECT 0, '', 0),
+d1 AS (SELECT i, upto AS c, upto FROM sums), {_LEVELS},
+best AS (SELECT arg_max(c, i) AS c FROM d8),
+cuts(k, i, upto) AS (SELECT 0, 0::BIGINT, 0::HUGEINT UNION ALL SELECT k + 1, (SELECT max(s.i) FROM sums s, best WHERE s.upto - cuts.upto <= best.c), (SELECT max(s.upto) FROM sums s, best WHERE s.upto - cuts.upto <= best.c) FROM cuts WHERE k < 8),
+shards AS (SELECT s.h, (SELECT count(*) FROM cuts c WHERE c.k > 0 AND c.i < s.i) AS shard FROM sums s WHERE s.i > 0)
+SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT)), lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256])), 4294967295) AS text_crc32,
+       'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, h AS text_sha256
+FROM rows_ JOIN shards USING (h), crc_table
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2_SQL, "op10_url_filters": _OP10_SQL}
+    return {"op1_minhash": _OP1_SQL, "op4_sharding": _OP4_SQL, "op2_exact_dedup": _OP2_SQL, "op10_url_filters": _OP10_SQL}

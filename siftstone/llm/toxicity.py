@@ -314,7 +314,9 @@ def score(docs: DataFrame, model: ToxicityModel | None, carry: list[str], text_c
     """The columns ``carry``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) for every row, from its whole text alone.
 
     A null or empty text gets the score of a text without letters. Without a
-    model all scores are 0. Repeated rows get the same score.
+    model all scores are 0. Repeated rows get the same score; an empty table
+    gives no rows; a carried column that bears the name of a result is replaced
+    by it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 4 MB
 

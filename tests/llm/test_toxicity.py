@@ -71,3 +71,52 @@ def test_held_out_english(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     out = queries.op6_toxicity(spark, sf).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang = 'en'").toPandas()
     assert (out.predicted == out.toxic).mean() > 0.95
+
+
+def brute_stream(text):
+    """Letters as the docstrings say: one gap for what isn't a letter, lookalikes beside letters, spelled-out words joined."""
+    code, alike = toxicity._tables()
+    x = [int(code[ord(c)]) for c in text]
+    raw = [int(alike[ord(c)]) for c in text]
+    near = [any(x[j] for j in (i - 1, i + 1) if 0 <= j < len(x)) for i in range(len(x))]
+    x = [r if r and n else v for v, r, n in zip(x, raw, near)]
+    x = [v for i, v in enumerate(x) if v or i == 0 or x[i - 1]]
+    alone = [v > 0 and all(x[j] == 0 for j in (i - 1, i + 1) if 0 <= j < len(x)) for i, v in enumerate(x)]
+    x = [v for i, v in enumerate(x) if v or not (0 < i < len(x) - 1 and alone[i - 1] and alone[i + 1])]
+    return [toxicity.GAP, *[v or toxicity.GAP for v in x], toxicity.GAP]
+
+
+def brute_margin(text, model):
+    x = brute_stream(text)
+    start = []
+    for i in range(len(x)):
+        total = 0.0
+        for rest in itertools.combinations(range(i + 1, min(i + toxicity.SPAN, len(x))), 3):
+            number = 0
+            for j in (i, *rest):
+                number = number << 5 | x[j]
+            total += toxicity.DECAY ** (rest[-1] - i - 3) * float(model.table[number])
+        start.append(total)
+    return max(sum(start[i : i + toxicity.WINDOW]) for i in range(len(x))) + model.bias
+
+
+def test_query_scores_match_brute_force(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op6_toxicity(spark, sf).collect()}
+    short = docs.where("length(text) < 700").orderBy("doc_id").limit(25).collect()
+    assert len(short) > 10 and len(got) == docs.count()
+    for r in short:
+        want = 1 / (1 + np.exp(-(model.slope * brute_margin(r.text, model) + model.offset)))
+        assert got[r.doc_id] == pytest.approx(want, abs=2e-3)
+
+
+def test_support_vector_machine_is_optimal():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 6))
+    y = np.where(x[:, 0] + 0.4 * rng.normal(size=200) > 0, 1.0, -1.0)
+    w = toxicity._svm(x, y)
+    z = np.concatenate([x, np.ones((200, 1))], axis=1)
+    c = 1000 * np.where(y > 0, 1 / (y > 0).sum(), 1 / (y < 0).sum())
+    value = lambda v: 0.5 * (v[:-1] ** 2).sum() + 0.5e-6 * v[-1] ** 2 + (c * np.maximum(0, 1 - y * (z @ v)) ** 2).sum()
+    assert all(value(w) <= value(w + step) for step in rng.normal(scale=1e-3, size=(300, 7)))
