@@ -71,9 +71,20 @@ def scores(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+#: Cells that may come to the driver.
+MAX_CELLS = 1_000_000
+
+
+def _collected(cells: DataFrame) -> list:
+    rows = cells.limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} pairs of clusters")
+    return rows
+
+
 def adjusted_mutual_information(cells: DataFrame) -> float:
     """AMI with the arithmetic mean; the expected information runs over the k x k margins on the driver."""
-    rows = cells.collect()
+    rows = _collected(cells)
     if not rows:
         return 0.0
     la, lb = sorted({r.la for r in rows}), sorted({r.lb for r in rows})
@@ -115,7 +126,7 @@ def cluster_jaccard(cells: DataFrame) -> DataFrame:
 
 def greedy_jaccard(cells: DataFrame) -> float:
     """Mean Jaccard of a greedy one-to-one matching, first run's labels in order (k x k cells on the driver)."""
-    rows = cells.collect()
+    rows = _collected(cells)
     ra, rb, n = {}, {}, {}
     for r in rows:
         ra[r.la], rb[r.lb], n[r.la, r.lb] = ra.get(r.la, 0) + r.n, rb.get(r.lb, 0) + r.n, r.n

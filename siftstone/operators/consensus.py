@@ -151,7 +151,7 @@ def align(runs: DataFrame, reference: str, id_col: str = "row_id") -> DataFrame:
     """Labels renamed to those of ``reference`` by greedy overlap, largest first; k x k cells per run go to the driver."""
     base = runs.where(F.col("run") == reference)
     cells = runs.where(F.col("run") != reference).alias("a").join(base.alias("b"), id_col).where("a.label <> -1 AND b.label <> -1").groupBy(F.col("a.run").alias("run"), F.col("a.label").alias("la"), F.col("b.label").alias("lb")).agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.orderBy("run", F.desc("n"), "la", "lb").collect()
+    rows = sorted(agreement._collected(cells), key=lambda r: (r.run, -r.n, r.la, r.lb))
     mapped: dict[str, dict[int, int]] = {}
     taken: dict[str, set[int]] = {}
     for r in rows:
@@ -240,8 +240,13 @@ def cophenetic(d: np.ndarray, size: np.ndarray | None = None) -> float:
         inside[n + step] = one + two
     up = np.triu_indices(n, 1)
     x, y = d[up], height[up]
-    w = np.ones(len(x)) if size is None else (size[:, None] * size[None, :])[up]
-    mx, my = np.average(x, weights=w) if len(x) else 0.0, np.average(y, weights=w) if len(x) else 0.0
+    w = np.ones(len(x))
+    if size is not None:  # the rows of a node are at distance 0 and joined there
+        x, y = np.append(x, 0.0), np.append(y, 0.0)
+        w = np.append((size[:, None] * size[None, :])[up], (size * (size - 1) / 2).sum())
+    if not w.sum():
+        return 0.0
+    mx, my = np.average(x, weights=w), np.average(y, weights=w)
     top, low = (w * (x - mx) * (y - my)).sum(), math.sqrt((w * (x - mx) ** 2).sum() * (w * (y - my) ** 2).sum())
     return float(top / low) if low > 0 else 0.0
 

@@ -203,8 +203,9 @@ def meet_cells(cells: Cells, id_col: str, columns: list[str], allowed: np.ndarra
     few = len(a) * int(max(cells.ways.max(initial=1), 1)) ** 2 < 1_000_000
     pairs = F.broadcast(pairs) if few else pairs
     rows = cells.rows
-    left = rows.join(pairs, (F.col("_cell") == F.col("a")) & (F.col("_sub") == F.col("sa"))).select(*[F.col(c).alias(c) for c in columns], "a", "sa", "b", "sb")
-    right = rows.join(pairs, (F.col("_cell") == F.col("b")) & (F.col("_sub") == F.col("sb"))).select(*[F.col(c).alias(c) for c in columns], "a", "sa", "b", "sb")
+    fresh = [F.col(c).alias(c) for c in (*columns, "a", "sa", "b", "sb")]  # new column ids: both sides are one table
+    left = rows.join(pairs, (F.col("_cell") == F.col("a")) & (F.col("_sub") == F.col("sa"))).select(*fresh)
+    right = rows.join(pairs, (F.col("_cell") == F.col("b")) & (F.col("_sub") == F.col("sb"))).select(*fresh)
     names = [c.split(":")[0].split()[0] for c in schema.split(", ")]
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

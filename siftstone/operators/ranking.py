@@ -58,6 +58,20 @@ def eps_by_second_difference(curve: DataFrame, rank: str, distance: str, floor:
     return rows.agg(F.greatest(F.max_by("_e", F.struct("_d", -F.col(rank))), F.lit(floor)).alias("eps"))
 
 
+def k_distance_curve(df: DataFrame, id_col: str, features: list[str], k: int = 5) -> DataFrame:
+    """(id, distance, rank): the distance of each row to its ``k``-th neighbour, largest first."""
+    from . import distances
+
+    near = distances.knn(df, id_col, features, k).where(F.col("rank") == k).select("id", "distance")
+    return rank_by(near, "distance", "id")
+
+
+def eps_by_knee(curve: DataFrame, rank: str, distance: str, floor: float = 0.05) -> DataFrame:
+    """eps at the knee of the descending k-distance curve, at least ``floor``."""
+    knee = kneedle(curve, rank, distance).withColumnRenamed("best_k", rank)  # one row
+    return curve.join(F.broadcast(knee), rank).select(F.greatest(F.col(distance), F.lit(floor)).alias("eps"))
+
+
 def relabel_by_size(df: DataFrame, label: str) -> DataFrame:
     """Largest cluster 0, next 1, ...; ties by old label; noise stays -1. The map has one row for each cluster."""
     sizes = df.where(F.col(label) != -1).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

@@ -477,6 +477,23 @@ def curve_trend(spark, d):
     return rounded(ranking.trend(curve, "k", "value").select("spearman"))
 
 
+@query(
+    f"""WITH {POINTS}, n AS (SELECT a.row_id, {DIST} AS d, row_number() OVER (PARTITION BY a.row_id ORDER BY {DIST}, b.row_id) AS r FROM p a JOIN p b ON a.row_id <> b.row_id), k AS (SELECT d, row_number() OVER (ORDER BY d DESC, row_id) AS rank FROM n WHERE r = 5),
+    b AS (SELECT min(d) AS a, max(d) AS z, count(*) AS n FROM k) SELECT {_r('greatest(arg_max(d, 1 - (rank - 1) / (n - 1) - (d - a) / (z - a)), 0.05)')} AS eps FROM k, b"""
+)
+def k_distance_knee(spark, d):
+    curve = ranking.k_distance_curve(points(spark, d), "row_id", FEATURES, 5)
+    return rounded(ranking.eps_by_knee(curve, "rank", "distance"))
+
+
+@query("SELECT n AS number, '{\"k\": ' || k || ', \"seed\": ' || s || '}' AS params FROM (VALUES (0, 2, 1), (1, 2, 7), (2, 3, 1), (3, 3, 7), (4, 4, 1), (5, 4, 7)) t(n, k, s)")
+def parameter_grid(spark, d):
+    from ..functions.sql_functions import register
+
+    register(spark)
+    return spark.sql("""SELECT * FROM parameter_grid('{"k": [2, 3, 4], "seed": [1, 7]}')""")
+
+
 @query(f"WITH {CENTRES} SELECT label, 'f' || i AS column_name, {_r('(e[i] - avg(e[i]) OVER (PARTITION BY i)) / stddev_pop(e[i]) OVER (PARTITION BY i)')} AS z FROM c, range(1, 65) t(i)")
 def chart_centroid_heatmap(spark, d):
     return rounded(profile.centroid_heatmap(noisy(spark, d), "label", FEATURES))

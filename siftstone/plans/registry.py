@@ -81,6 +81,13 @@ def _catalogue() -> list[Algorithm]:
 REGISTRY: dict[str, Algorithm] = {a.id: a for a in _catalogue()}
 
 
+def register(algorithm: Algorithm) -> None:
+    """Add an algorithm of one's own: any ``fit(df, id column, features, **params)`` that returns (id, label)."""
+    if algorithm.id in REGISTRY:
+        raise ValueError(f"{algorithm.id} is registered already")
+    REGISTRY[algorithm.id] = algorithm
+
+
 def get(id_: str) -> Algorithm:
     return REGISTRY[id_]
 
@@ -295,11 +302,11 @@ class Runner:
         """round, inertia, drift and changed labels of k-means, round by round."""
         return self.df.sparkSession.createDataFrame(c.lloyd_trace(self.df, self.id_col, self.features, k, rounds, seed), "round int, inertia double, drift double, changes long")
 
-    def consensus(self, ids: list[str], k: int, method: str = "eac_average", **params) -> DataFrame:
+    def consensus(self, ids: list[str], clusters: int, method: str = "eac_average", **params) -> DataFrame:
         """One clustering from those of several algorithms (``consensus.METHODS``)."""
         from ..operators import consensus
 
-        return consensus.METHODS[method](self.long_labels(self.batch(ids, **params)), k, None)
+        return consensus.METHODS[method](self.long_labels(self.batch(ids, **params)), clusters, None)
 
     def _long(self, rows: list[tuple]) -> DataFrame:
         return self.df.sparkSession.createDataFrame(rows, "algorithm_id string, metric string, value double")

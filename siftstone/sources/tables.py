@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 #: Texts that mean a missing value: fixed values.
 NULL_TOKENS = ("NA", "N/A", "na", "n/a", "NaN", "nan", "NULL", "null", "None", "none", "")
-MAX_ROWS, MAX_COLUMNS = 500_000, 2_000
+#: The most columns that are read; more are left out with a warning.
+MAX_COLUMNS = 2_000
+
+log = logging.getLogger(__name__)
 
 
 def sanitise_names(names: list[str]) -> list[str]:
@@ -26,8 +30,14 @@ def sanitise_names(names: list[str]) -> list[str]:
     return out
 
 
+def _first_columns(df: DataFrame, max_columns: int) -> DataFrame:
+    if len(df.columns) > max_columns:
+        log.warning("%d of %d columns are left out: %s ...", len(df.columns) - max_columns, len(df.columns), df.columns[max_columns : max_columns + 5])
+    return df.select(*[f"`{c}`" for c in df.columns[:max_columns]])
+
+
 def _tidy(df: DataFrame, max_columns: int) -> DataFrame:
-    return df.toDF(*sanitise_names(df.columns)).select(*sanitise_names(df.columns)[:max_columns])
+    return _first_columns(df.toDF(*sanitise_names(df.columns)), max_columns)
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -35,29 +45,33 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.monotonically_increasing_id())
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", max_rows: int | None = MAX_ROWS, max_columns: int = MAX_COLUMNS, seed: int = 42) -> DataFrame:
-    """Delimited text with a header; all null tokens become null before the types are inferred from the whole file."""
+def read_csv(spark: SparkSession, path: str, sep: str = ",", max_rows: int | None = None, max_columns: int = MAX_COLUMNS, seed: int = 42) -> DataFrame:
+    """Delimited text with a header; all null tokens become null before the types are inferred from the whole file.
+
+    All rows are read; with ``max_rows`` a larger table is sampled by a hash of its rows.
+    """
     text = spark.read.csv(path, sep=sep, header=True, inferSchema=False)
-    names = sanitise_names(text.columns)
-    text = text.toDF(*names).select(*names[:max_columns])
+    text = _first_columns(text.toDF(*sanitise_names(text.columns)), max_columns)
     tokens = list(NULL_TOKENS)
     text = text.select(*[F.when(~F.trim(c).isin(tokens), F.col(c)).alias(c) for c in text.columns])
     # A column is a number if no value fails the cast: one aggregate for all columns.
     whole = text.agg(*[F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS bigint)").isNull()).alias(f"i{k}") for k, c in enumerate(text.columns)], *[F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` AS double)").isNull()).alias(f"d{k}") for k, c in enumerate(text.columns)]).first()
     kinds = ["bigint" if not whole[f"i{k}"] else "double" if not whole[f"d{k}"] else "string" for k in range(len(text.columns))]
     df = text.select(*[F.col(c).cast(t).alias(c) for c, t in zip(text.columns, kinds, strict=True)])
-    if max_rows is not None and df.count() > max_rows:
+    if max_rows is not None and (n := df.count()) > max_rows:
+        log.warning("%d of %d rows are sampled", max_rows, n)
         df = df.orderBy(F.xxhash64(F.lit(seed), *df.columns)).limit(max_rows)
     return df
 
 
 def read_json(spark: SparkSession, path: str, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Records of one JSON document, or one record on each line."""
-    df = spark.read.json(path, multiLine=True)
-    if df.columns == ["_corrupt_record"] or df.count() <= 1:
-        lines = spark.read.json(path)
-        df = lines if "_corrupt_record" not in lines.columns and lines.count() > 1 else df
-    return _tidy(df, max_columns)
+    """Records of one JSON document, or one record on each line, as the first line tells."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    try:
+        by_line = first is not None and isinstance(json.loads(first.value), dict)
+    except ValueError:
+        by_line = False
+    return _tidy(spark.read.json(path, multiLine=not by_line), max_columns)
 
 
 def read_parquet(spark: SparkSession, path: str, max_columns: int = MAX_COLUMNS) -> DataFrame:

@@ -7,10 +7,6 @@ import pytest
 from siftstone.plans import queries as q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Queries that take long on a small machine are left to the driver's comparison.
-SLOW = {"fit_dbscan", "fit_threshold_clustering"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
@@ -26,7 +22,7 @@ def tidy(df: pd.DataFrame) -> list:
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(q.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(q.SQL))
 def test_query_matches_sql(spark, sf, duck, name):
     got, want = q.QUERIES[name](spark, sf).toPandas(), duck.sql(q.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
