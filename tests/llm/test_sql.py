@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 from siftstone.llm import queries
@@ -14,6 +15,6 @@ def test_query_matches_sql(spark, sf, name):
     assert sorted(got.columns) == names
 
     def rows(df):
-        return sorted((tuple(None if v is None or v != v else str(v) for v in r) for r in df[names].astype(object).itertuples(index=False)), key=str)
+        return sorted((tuple(None if pd.isna(v) else str(v) for v in r) for r in df[names].astype(object).itertuples(index=False)), key=str)
 
     assert rows(got) == rows(want)
