@@ -42,13 +42,15 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     middle = b.mean(axis=0)
     x, y = a - middle, b - middle
     xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    out = xx[:, None] + yy[None, :] - 2 * (x @ y.T)
-    near = np.flatnonzero(out < 1e-5 * (xx[:, None] + yy[None, :]))
+    out = (-2 * x) @ y.T
+    out += xx[:, None]
+    out += yy[None, :]
+    near = np.flatnonzero(out < 1e-5 * (xx.max() + yy.max()))
     if 8 * len(near) > out.size:
         return np.sqrt(_by_differences(a, b))
     i, j = np.divmod(near, len(b))
     out[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
-    return np.sqrt(out)
+    return np.sqrt(out, out=out)
 
 
 def bounded_rows(df: DataFrame, limit: int = MAX_REFERENCE) -> pd.DataFrame:
@@ -226,12 +228,15 @@ def _in_parts(features: list[str], fn: Callable[[np.ndarray, pd.DataFrame, pd.Da
     return against
 
 
-def within(df: DataFrame, id_col: str, features: list[str], eps: float, fn: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, extra: list[str] | None = None) -> DataFrame:
-    """Partial rows ``fn(distances, query rows, reference rows)`` that cover all pairs of rows within ``eps`` (and others)."""
-    if df.limit(MAX_REFERENCE + 1).count() <= MAX_REFERENCE:
-        return per_point(df, df, id_col, features, fn, schema, extra)
+def within(df: DataFrame, id_col: str, features: list[str], eps: float, fn: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, extra: list[str] | None = None, cells: Cells | None = None) -> DataFrame:
+    """Partial rows ``fn(distances, query rows, reference rows)`` that cover all pairs of rows within ``eps`` (and others).
+
+    ``cells``: the rows as ``deal_cells`` has dealt them, where that was done before.
+    """
     keep = list(dict.fromkeys([id_col, *(extra or []), *features]))
-    cells = deal_cells(df, id_col, features, keep)
+    if cells is None and df.limit(MAX_REFERENCE + 1).count() <= MAX_REFERENCE:
+        return per_point(df, df, id_col, features, fn, schema, extra)
+    cells = cells or deal_cells(df, id_col, features, keep)
     return meet_cells(cells, id_col, keep, cells.gaps() <= eps, _in_parts(features, fn), schema)
 
 

@@ -337,7 +337,7 @@ def dispersion(df: DataFrame, label: str, features: list[str]) -> DataFrame:
 def gap_curve(logs: DataFrame) -> DataFrame:
     """(k, gap, sk, log_wk, log_wk_ref) from (k, reference, log_wk): reference 0 is the data, others are uniform tables."""
     ref = F.when(F.col("reference") > 0, F.col("log_wk"))
-    per = logs.groupBy("k").agg(F.max(F.when(F.col("reference") == 0, F.col("log_wk"))).alias("log_wk"), F.avg(ref).alias("log_wk_ref"), (F.stddev_pop(ref) * F.sqrt(1 + 1 / F.count(ref))).alias("sk"))
+    per = logs.groupBy("k").agg(F.max(F.when(F.col("reference") == 0, F.col("log_wk"))).alias("log_wk"), F.avg(ref).alias("log_wk_ref"), (F.stddev_pop(ref) * F.sqrt(1 + F.try_divide(F.lit(1.0), F.count(ref)))).alias("sk"))
     return per.select("k", (F.col("log_wk_ref") - F.col("log_wk")).alias("gap"), "sk", "log_wk", "log_wk_ref")
 
 

@@ -6,6 +6,8 @@ import pytest
 
 from siftstone.plans import queries as q
 
+#: Queries that take seconds are left to the driver's comparison.
+SLOW = set("pattern_catalogue sample_datasets silhouette_interval metric_s_dbw gmm_step kmeans_inertia perturb_gaussian perturb_laplace outliers_clip impute_knn stability_radar".split())
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -22,7 +24,7 @@ def tidy(df: pd.DataFrame) -> list:
     return sorted(rows, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(q.SQL))
+@pytest.mark.parametrize("name", sorted(set(q.SQL) - SLOW))
 def test_query_matches_sql(spark, sf, duck, name):
     got, want = q.QUERIES[name](spark, sf).toPandas(), duck.sql(q.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
