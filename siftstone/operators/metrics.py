@@ -287,23 +287,41 @@ def grade(x: Column) -> Column:
     return F.when(x >= 0.85, "Excellent").when(x >= 0.70, "Good").when(x >= 0.50, "Fair").when(x >= 0.30, "Poor").otherwise("Very Poor")
 
 
+def _front(x: np.ndarray) -> np.ndarray:
+    """The rows of distinct rows that no other beats. The first in descending order is one of them; what it beats goes, and so on."""
+    x = x[np.lexsort(tuple(-x[:, j] for j in reversed(range(x.shape[1]))))]
+    kept = []
+    while len(x):
+        kept.append(x[0])
+        x = x[~(x <= x[0]).all(axis=1)]
+    return np.array(kept).reshape(len(kept), x.shape[1])
+
+
 def pareto(df: DataFrame, id_col: str, up: list[str], down: list[str]) -> DataFrame:
-    """Rows that no other row beats: as good in every objective and better in one. A null objective is the worst value.
+    """Rows that no other row beats: as good in every objective and better in one. A null or NaN objective is the worst value.
 
-    Each row meets all distinct scores, which are broadcast.
+    Each task keeps the front of its scores; the fronts' fronts are taken by ever
+    fewer tasks. Rows then meet the front by equality of all their scores.
     """
-    worst = float("-inf")
-    score = [F.coalesce(F.col(c).cast("double"), F.lit(worst)).alias(f"o{i}") for i, c in enumerate(up)]
-    score += [F.coalesce(-F.col(c).cast("double"), F.lit(worst)).alias(f"o{len(up) + i}") for i, c in enumerate(down)]
-    a, b = df.select(F.col(id_col).alias("ida"), *score), df.select(F.col(id_col).alias("idb"), *score)
-    n = len(score)
-    beats = F.lit(True)
-    some = F.lit(False)
-    for i in range(n):
-        beats = beats & (F.col(f"q.o{i}") >= F.col(f"p.o{i}"))
-        some = some | (F.col(f"q.o{i}") > F.col(f"p.o{i}"))
-    front = a.alias("p").join(F.broadcast(b.select([f"o{i}" for i in range(n)]).distinct()).alias("q"), beats & some, "left_anti")
-    return df.join(front.select(F.col("ida").alias(id_col)), id_col, "left_semi")
+    from .graph import cut
+
+    worst = F.lit(float("-inf"))
+    known = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (*up, *down)]
+    names = [f"_o{i}" for i in range(len(known))]
+    scores = [F.coalesce(c if i < len(up) else -c, worst).alias(n) for i, (c, n) in enumerate(zip(known, names, strict=True))]
+
+    def fronts(batches):
+        kept = np.zeros((0, len(names)))
+        for pdf in batches:
+            kept = _front(np.unique(np.concatenate([kept, pdf.to_numpy(float)]), axis=0))
+        yield pd.DataFrame(kept, columns=names)
+
+    kinds = ", ".join(f"{n} double" for n in names)
+    front = cut(df.select(*scores).mapInPandas(fronts, kinds))
+    for tasks in (64, 8, 1):
+        front = cut(front.coalesce(tasks).mapInPandas(fronts, kinds))
+    rows = df.withColumns(dict(zip(names, scores, strict=True)))
+    return rows.join(front, names, "left_semi").select(*df.columns)
 
 
 def cluster_statistics(df: DataFrame, label: str, features: list[str]) -> DataFrame:
