@@ -41,6 +41,8 @@ BITS, DEVIATIONS = 1536, 5
 REACH, BEST = 2, 4
 #: Ids up to which a set of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Nodes up to which their sketches (about 400 bytes each) are broadcast.
+BROADCAST_SKETCHES = 50_000
 #: Rows of a cell in which a hub meets its candidates, and of a slice of a large bucket.
 CELL, SLICE = 64, 512
 
@@ -261,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     bands = band_count(percent, rows)
     every = cut(sketch(docs, width, bands, rows, id_col, text_col))
     nodes = cut(every.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    entries = nodes.select("digest", "node", "n", F.posexplode("bands").alias("band", "key"))
+    entries = nodes.select("digest", "node", "n", "bands", F.posexplode("bands").alias("band", "key")).withColumn("next", F.col("bands")[(F.col("band") + 1) % bands]).drop("bands")
     hubs = entries.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut(entries.join(hubs, ["band", "key"]))
 
@@ -282,21 +284,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     tried = cut(hub_pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"))
     links = confirm(tried, docs, width, percent, id_col, text_col)
     found = components(links)
-    kept = ["node", "n", "comp", *(["bits"] if bits else [])]
     sketches: list[DataFrame] = []
 
     def inside() -> DataFrame:
-        """Entries of buckets that hold several components, with their node's component, its bits and the bucket's largest component."""
-        rows_ = labelled(shared.select("band", "key", "c", "digest", "node", F.col("hub.node").alias("hub")), found, "node", "comp")
+        """Entries of buckets that hold several components, with their node's component and the bucket's largest one."""
+        rows_ = labelled(shared.select("band", "key", "next", "c", "digest", "node", "n", F.col("hub.node").alias("hub")), found, "node", "comp")
         sizes = rows_.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"))
         mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"))
-        out = rows_.join(mixed, ["band", "key"]).join(nodes.select("digest", "n", "bands"), "digest")
-        if not bits:
-            return cut(out)
+        out = cut(rows_.join(mixed, ["band", "key"]))
         if not sketches:  # later rounds have no buckets that the first has not
-            ids = cut(out.select(F.col("node").alias("id")).distinct())
-            sketches.append(cut(bit_sketch(_of_ids(docs, ids, id_col, text_col), width, bits)))
-        return cut(out.join(sketches[0], "digest"))
+            inner = nodes.select("digest", "node", "bands").join(out.select("digest").distinct(), "digest")
+            if bits:
+                ids = cut(inner.select(F.col("node").alias("id")).distinct())
+                inner = inner.join(bit_sketch(_of_ids(docs, ids, id_col, text_col), width, bits), "digest")
+            sketches.append(cut(inner.drop("node")))
+        return out
+
+    def with_sketch(df: DataFrame, digest: str, *names: Column) -> DataFrame:
+        """``df`` with expressions over the ``bands`` and ``bits`` of a node; few nodes are broadcast."""
+        side = sketches[0].select(F.col("digest").alias(digest), *names)
+        few = sketches[0].limit(BROADCAST_SKETCHES + 1).count() <= BROADCAST_SKETCHES
+        return df.join(F.broadcast(side) if few else side, digest)
 
     def apart(x: str, y: str) -> Column:
         """Bits in which two nodes differ."""
@@ -308,21 +316,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # A large bucket is dealt at random into slices of about SLICE rows, each with its own order. Of a node's
         # neighbours and hubs in other components, the BEST that differ least in their bits are tried; the last step has the others.
         met = []
-        for number, order in enumerate((F.col("bands")[(F.col("band") + 1) % bands], F.col("bits") if bits else F.col("bands"))):
-            row = Window.partitionBy("band", "key", "_part").orderBy(order, "node")
-            sliced = rows_.withColumn("_part", F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("c") / F.lit(SLICE))))
-            met += [sliced.withColumn("o", F.lag(F.struct(*kept), k).over(row)) for k in range(1, REACH + 1)]
-        hubs_ = rows_.where("node = hub").select("band", "key", F.struct(*kept).alias("o"))
-        met.append(rows_.join(hubs_, ["band", "key"]))
-        near_ = [m.where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n") & (apart("bits", "o.bits") <= most)).select(F.col("node").alias("a"), F.col("o.node").alias("b"), apart("bits", "o.bits").alias("h")) for m in met]
-        every_ = reduce(DataFrame.unionByName, near_).distinct().join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
-        return every_.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "b"))), 1, BEST).alias("l")).select("a", F.explode("l").alias("l")).select("a", "l.b")
+        other = F.struct("digest", "node", "n", "comp")
+        word = F.col("bits")[0] if bits else F.col("bands")[0]
+        for number, (df, order) in enumerate(((rows_, F.col("next")), (with_sketch(rows_, "digest", word.alias("word")), F.col("word")))):
+            sliced = df.select("band", "key", "digest", "node", "n", "comp", order.alias("_order"), F.pmod(F.xxhash64("node", F.lit(number)), F.ceil(F.col("c") / F.lit(SLICE))).alias("_part"))
+            row = Window.partitionBy("band", "key", "_part").orderBy("_order", "node")
+            before = sliced.select("digest", "node", "n", "comp", F.array(*[F.lag(other, k).over(row) for k in range(1, REACH + 1)]).alias("l"))
+            met.append(before.select("digest", "node", "n", "comp", F.explode("l").alias("o")))
+        hubs_ = rows_.where("node = hub").select("band", "key", other.alias("o"))
+        met.append(rows_.join(hubs_, ["band", "key"]).select("digest", "node", "n", "comp", "o"))
+        near_ = reduce(DataFrame.unionByName, met).where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n"))
+        pairs = near_.select(F.col("node").alias("a"), F.col("o.node").alias("b"), F.col("digest").alias("da"), F.col("o.digest").alias("db")).distinct()
+        pairs = pairs.join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
+        if bits:
+            pairs = with_sketch(with_sketch(pairs, "da", F.col("bits").alias("ba")), "db", F.col("bits").alias("bb"))
+        best = pairs.select("a", "b", (apart("ba", "bb") if bits else F.xxhash64("a", "b")).alias("h"))
+        if bits:
+            best = best.where(F.col("h") <= most)
+        return best.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "b"))), 1, BEST).alias("l")).select("a", F.explode("l").alias("l")).select("a", "l.b")
 
     def crossing(rows_: DataFrame) -> DataFrame:
         # Of a bucket's nodes, those outside its largest component meet the others. Large buckets are dealt over cells.
-        rows_ = rows_.withColumn("_ways", F.ceil(F.col("c") / F.lit(SLICE)).cast("int"))
-        minor = rows_.where("comp <> top").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_cell"), *[F.col(c).alias(f"x_{c}") for c in (*kept, "bands")])
-        whole = rows_.withColumn("_cell", F.pmod(F.xxhash64("node"), "_ways").cast("int"))
+        names = ["node", "n", "comp", "bands", *(["bits"] if bits else [])]
+        rows_ = with_sketch(rows_, "digest", *[F.col(c) for c in names[3:]]).withColumn("_ways", F.ceil(F.col("c") / F.lit(SLICE)).cast("int"))
+        minor = rows_.where("comp <> top").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_cell"), *[F.col(c).alias(f"x_{c}") for c in names])
+        whole = rows_.select("band", "key", "top", *names, F.pmod(F.xxhash64("node"), "_ways").cast("int").alias("_cell"))
         once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("x_node"))  # of two minor nodes one order is enough
         at_first = F.array_position(F.zip_with("bands", "x_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
         cross = minor.join(whole, ["band", "key", "_cell"]).where((F.col("comp") != F.col("x_comp")) & once & alike("n", "x_n") & (apart("bits", "x_bits") <= most) & at_first)

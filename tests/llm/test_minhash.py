@@ -107,6 +107,7 @@ def test_nothing_is_broadcast_beyond_its_bound(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = sorted(map(tuple, minhash.near_duplicates(docs).collect()))
     monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(minhash, "BROADCAST_SKETCHES", 0)
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == want
 
 
