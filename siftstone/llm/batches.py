@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,11 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch; with long texts the default would be hundreds of MB.
 BATCH_ROWS = 500
 
 
+def release() -> None:
+    """Give freed memory back: a worker process outlives its task and would hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def spans(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of rows that hold at most ``limit`` bytes, or one row."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -102,6 +112,8 @@ def map_texts(
             for a, b in spans(texts):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *fn(texts.slice(a, b - a))], names)
+        del fn
+        release()
 
     out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"f{i}").alias(n) for i, (n, _) in enumerate(fields)])
