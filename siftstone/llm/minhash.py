@@ -38,13 +38,13 @@ BAND_ROWS, MISS = 4, 1e-5
 #: Signature bits for the last comparison, and the deviations beyond what the threshold gives that rule a pair out (chance 3e-7).
 BITS, DEVIATIONS = 1536, 5
 #: Neighbours on each side in a bucket's sorted orders, and how many of a node's are tried.
-REACH, BEST = 2, 4
+REACH, BEST = 1, 4
 #: Ids up to which a set of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Nodes up to which their sketches (about 400 bytes each) are broadcast.
 BROADCAST_SKETCHES = 50_000
-#: Rows of a cell in which a hub meets its candidates, and of a slice of a large bucket.
-CELL, SLICE = 64, 512
+#: Rows of a cell in which a hub meets its candidates, of a slice of a large bucket, and of a cell of it in the last step.
+CELL, SLICE, CROSS = 64, 512, 4_096
 
 
 def band_count(percent: int, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     def crossing(rows_: DataFrame) -> DataFrame:
         # Of a bucket's nodes, those outside its largest component meet the others. Large buckets are dealt over cells.
         names = ["node", "n", "comp", "bands", *(["bits"] if bits else [])]
-        rows_ = with_sketch(rows_, "digest", *[F.col(c) for c in names[3:]]).withColumn("_ways", F.ceil(F.col("c") / F.lit(SLICE)).cast("int"))
+        rows_ = with_sketch(rows_, "digest", *[F.col(c) for c in names[3:]]).withColumn("_ways", F.ceil(F.col("c") / F.lit(CROSS)).cast("int"))
         minor = rows_.where("comp <> top").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_cell"), *[F.col(c).alias(f"x_{c}") for c in names])
         whole = rows_.select("band", "key", "top", *names, F.pmod(F.xxhash64("node"), "_ways").cast("int").alias("_cell"))
         once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("x_node"))  # of two minor nodes one order is enough
