@@ -87,6 +87,7 @@ def test_large_group_around_the_threshold(spark, monkeypatch):
     """One hot group: each text changes words of the same base, so that pairs lie on both sides of the threshold."""
     monkeypatch.setattr(minhash, "CELL", 4)
     monkeypatch.setattr(minhash, "SLICE", 16)
+    monkeypatch.setattr(minhash, "CROSS", 16)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(150)]
     rows = []
