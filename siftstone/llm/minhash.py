@@ -12,8 +12,9 @@ components, each node meets the nearest by signature bits of its smallest nodes
 and of its neighbours in two sorted orders, which joins most of what belongs
 together. At last, nodes outside a bucket's largest component meet the bucket's
 nodes in other components, once for each pair, and only those whose signature
-bits leave the threshold possible. What is never compared is already connected
-or too far apart, so components are those of all candidate pairs.
+bits leave the threshold possible. They meet inside tasks, block by block; only
+links that hold become rows. What is never compared is already connected or too
+far apart, so components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ REACH, BEST = 1, 4
 BROADCAST_IDS = 1_000_000
 #: Nodes up to which their sketches (about 400 bytes each) are broadcast.
 BROADCAST_SKETCHES = 50_000
-#: Rows of a cell in which a hub meets its candidates, of a slice of a large bucket, and of a cell of it in the last step.
+#: Rows of a cell in which a hub meets its candidates, of a slice of a large bucket, and of each side of a block in the last step.
 CELL, SLICE, CROSS = 64, 512, 4_096
+#: Texts of each side of a tile of such a block, in which pairs are compared on their full sets.
+TILE = 32, 128
 
 
 def band_count(percent: int, rows: int = BAND_ROWS, miss: float = MISS) -> int:
@@ -242,6 +245,87 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     return out
 
 
+def block_tiles(percent: int, most: int, tile: tuple[int, int] = TILE):
+    """A function of a block: the texts that its tiles need.
+
+    A block has rows ``minor`` (outside the bucket's largest component) and
+    others. It gives (tile, id, of): a tile's minor nodes with a null ``of``, the
+    others with the list of minor nodes that they are to be compared with.
+    """
+
+    def array(block: pa.Table, name: str, rows: np.ndarray) -> np.ndarray:
+        flat = block.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return flat.reshape(block.num_rows, -1)[rows]
+
+    def run(block: pa.Table) -> pa.Table:
+        node, minor = block.column("node").combine_chunks(), block.column("minor").to_numpy().astype(bool)
+        one, two = np.flatnonzero(minor), np.flatnonzero(~minor)
+        comp = block.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        n, mark, top = (block.column(c).to_numpy() for c in ("n", "mark", "top"))
+        name = "-".join(str(block.column(c)[0].as_py()) for c in ("band", "key", "_cell", "_slice"))
+        band = block.column("band")[0].as_py()
+        bands = [array(block, "bands", r) for r in (one, two)]
+        bits = [array(block, "bits", r).view(np.uint64) for r in (one, two)] if "bits" in block.column_names else None
+        found = []
+        strip = max(1, 50_000 // max(len(two), 1))
+        for lo in range(0, len(one), strip):
+            x = one[lo : lo + strip, None]
+            once = top[two] | (mark[two] <= mark[x])  # of two minor nodes one order is enough
+            ok = (comp[x] != comp[two]) & once & (100 * np.minimum(n[x], n[two]) >= percent * np.maximum(n[x], n[two]))
+            i, j = np.nonzero(ok)
+            i += lo
+            first = (bands[0][i] == bands[1][j]).argmax(axis=1) == band
+            i, j = i[first], j[first]
+            if bits:
+                near = np.bitwise_count(bits[0][i] ^ bits[1][j]).sum(axis=1, dtype=np.int64) <= most
+                i, j = i[near], j[near]
+            found.append((i, j))
+        i, j = (np.concatenate(v) if found else np.zeros(0, int) for v in (zip(*found, strict=True) if found else ([], [])))
+        # Only nodes that are in some pair take a place in a tile.
+        ones, i = np.unique(i, return_inverse=True)
+        twos, j = np.unique(j, return_inverse=True)
+        tiles, ids, of = [], [], []
+        at = (i // tile[0]) * (len(twos) // tile[1] + 1) + j // tile[1]
+        order = np.lexsort((i, j, at))
+        i, j, at = i[order], j[order], at[order]
+        edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)) if len(at) else np.zeros(0, int)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            heads = np.unique(i[a:b])
+            lists = np.split(i[a:b], np.flatnonzero(np.diff(j[a:b])) + 1)
+            tiles += [f"{name}-{at[a]}"] * (len(heads) + len(lists))
+            ids += [*one[ones[heads]], *two[twos[np.unique(j[a:b])]]]
+            of += [*[None] * len(heads), *[node.take(pa.array(one[ones[v]])).to_pylist() for v in lists]]
+        return pa.table({"tile": pa.array(tiles, pa.string()), "id": node.take(pa.array(ids, pa.int64())), "of": pa.array(of, pa.list_(node.type))})
+
+    return run
+
+
+def confirm_tiles(roles: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of tiles, as ``block_tiles`` gives them, whose full sets have 100 * intersection >= percent * union. Each text goes to a tile once."""
+    kind = roles.schema["id"].dataType.simpleString()
+    roles = cut(roles)
+    met = _of_ids(docs, roles, id_col, text_col).select("tile", "id", "of", "text")
+
+    def run(tile: pa.Table) -> pa.Table:
+        ids, of, texts = tile.column("id").combine_chunks(), tile.column("of").combine_chunks(), as_texts(tile.column("text").combine_chunks())
+        heads = pc.is_null(of).to_pylist()
+        sets, a, b = {}, [], []
+        for k, t, h in zip(ids.to_pylist(), texts, heads, strict=True):
+            if h:
+                sets.setdefault(k, []).append(shingle_set(t.as_py(), width))  # rows may share an id
+        for k, t, h, others in zip(ids.to_pylist(), texts, heads, of, strict=True):
+            if not h:
+                two = shingle_set(t.as_py(), width)
+                linked = [o for o in others.as_py() if any(100 * (both := len(x & two)) >= percent * (len(x) + len(two) - both) for x in sets[o])]
+                a += linked
+                b += [k] * len(linked)
+        return pa.table({"a": pa.array(a, ids.type), "b": pa.array(b, ids.type)})
+
+    out = cut(met.groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}").distinct())
+    discard(roles)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = BAND_ROWS, bits: int = BITS) -> DataFrame:
     """One row per row of ``docs``: ``<id_col>, n_shingles, component_id, kept``.
 
@@ -290,7 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         """Entries of buckets that hold several components, with their node's component and the bucket's largest one."""
         rows_ = labelled(shared.select("band", "key", "next", "c", "digest", "node", "n", F.col("hub.node").alias("hub")), found, "node", "comp")
         sizes = rows_.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"))
-        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"))
+        mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"), F.col("top.k").alias("most"))
         out = cut(rows_.join(mixed, ["band", "key"]))
         if not sketches:  # later rounds have no buckets that the first has not
             inner = nodes.select("digest", "node", "bands").join(out.select("digest").distinct(), "digest")
@@ -327,7 +411,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         met.append(rows_.join(hubs_, ["band", "key"]).select("digest", "node", "n", "comp", "o"))
         near_ = reduce(DataFrame.unionByName, met).where((F.col("o.comp") != F.col("comp")) & alike("n", "o.n"))
         pairs = near_.select(F.col("node").alias("a"), F.col("o.node").alias("b"), F.col("digest").alias("da"), F.col("o.digest").alias("db")).distinct()
-        pairs = pairs.join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(tried.select(F.col("a").alias("lo"), F.col("b").alias("hi")), ["lo", "hi"], "left_anti")
         if bits:
             pairs = with_sketch(with_sketch(pairs, "da", F.col("bits").alias("ba")), "db", F.col("bits").alias("bb"))
         best = pairs.select("a", "b", (apart("ba", "bb") if bits else F.xxhash64("a", "b")).alias("h"))
@@ -336,25 +420,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return best.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "b"))), 1, BEST).alias("l")).select("a", F.explode("l").alias("l")).select("a", "l.b")
 
     def crossing(rows_: DataFrame) -> DataFrame:
-        # Of a bucket's nodes, those outside its largest component meet the others. Large buckets are dealt over cells.
+        # Of a bucket's nodes, those outside its largest component meet the others in blocks of at most about CROSS by CROSS.
         names = ["node", "n", "comp", "bands", *(["bits"] if bits else [])]
-        rows_ = with_sketch(rows_, "digest", *[F.col(c) for c in names[3:]]).withColumn("_ways", F.ceil(F.col("c") / F.lit(CROSS)).cast("int"))
-        minor = rows_.where("comp <> top").select("band", "key", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)).alias("_cell"), *[F.col(c).alias(f"x_{c}") for c in names])
-        whole = rows_.select("band", "key", "top", *names, F.pmod(F.xxhash64("node"), "_ways").cast("int").alias("_cell"))
-        once = (F.col("comp") == F.col("top")) | (F.col("node") < F.col("x_node"))  # of two minor nodes one order is enough
-        at_first = F.array_position(F.zip_with("bands", "x_bands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-        cross = minor.join(whole, ["band", "key", "_cell"]).where((F.col("comp") != F.col("x_comp")) & once & alike("n", "x_n") & (apart("bits", "x_bits") <= most) & at_first)
-        return cross.select(F.col("node").alias("a"), F.col("x_node").alias("b"))
-
-    for step in (neighbours, neighbours, crossing):
+        rows_ = with_sketch(rows_, "digest", *[F.col(c) for c in names[3:]]).withColumns({"_ways": F.ceil(F.col("c") / F.lit(CROSS)).cast("int"), "_mways": F.ceil((F.col("c") - F.col("most")) / F.lit(CROSS)).cast("int"), "mark": F.xxhash64("node")})
+
+        def dealt(number: int, ways: str) -> Column:
+            return F.pmod(F.xxhash64("node", F.lit(number)), ways).cast("int")
+
+        def copies(ways: str) -> Column:
+            return F.explode(F.sequence(F.lit(0), F.col(ways) - 1))
+
+        side = ["band", "key", "mark", (F.col("comp") == F.col("top")).alias("top"), *names]
+        minor = rows_.where("comp <> top").select(*side, F.lit(True).alias("minor"), copies("_ways").alias("_cell"), dealt(1, "_mways").alias("_slice"))
+        whole = rows_.select(*side, F.lit(False).alias("minor"), dealt(2, "_ways").alias("_cell"), copies("_mways").alias("_slice"))
+        kind = rows_.schema["node"].dataType.simpleString()
+        return minor.unionByName(whole).groupBy("band", "key", "_cell", "_slice").applyInArrow(block_tiles(percent, most), f"tile string, id {kind}, of array<{kind}>")
+
+    for _ in range(2):
         rows_ = inside()
-        fresh = step(rows_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = cut(fresh.join(tried, ["a", "b"], "left_anti"))
+        fresh = cut(neighbours(rows_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         discard(rows_)
         if not fresh.isEmpty():
             links = links.unionByName(confirm(fresh, docs, width, percent, id_col, text_col))
             tried = tried.unionByName(fresh)
             found = components(links)
+    rows_ = inside()
+    last = confirm_tiles(crossing(rows_), docs, width, percent, id_col, text_col)
+    discard(rows_)
+    if not last.isEmpty():
+        found = components(links.unionByName(last))
     label = labelled(nodes.select("digest", "node"), found, "node", "component_id").select("digest", "component_id")
     return (
         every.join(label, "digest", "left")

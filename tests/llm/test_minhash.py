@@ -112,6 +112,31 @@ def test_nothing_is_broadcast_beyond_its_bound(spark, sf, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == want
 
 
+def test_many_nodes_just_below_the_threshold_make_no_rows_of_pairs(spark, monkeypatch):
+    """Each two of 150 texts are about 0.82 alike: whatever is written has a few rows for each text, not one for each pair."""
+    rng, made, cut = random.Random(3), [], minhash.cut
+
+    def counted(df):
+        out = cut(df)
+        made.append(out.count())
+        return out
+
+    base = [f"b{i}" for i in range(600)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for at in rng.sample(range(0, 600, 3), 10):
+            text[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(text)))
+    rows += [(200, rows[0][1] + " end"), (201, rows[140][1] + " end")]
+    monkeypatch.setattr(minhash, "cut", counted)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    want = brute(rows, 3, 85)
+    assert len({c for _, c in want.values()}) >= 130
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert max(made) < 40 * len(rows) < len(rows) ** 2 / 3, made
+
+
 def test_signature_bits_rule_out_no_pair_above_the_threshold():
     """Of 2000 pairs of sets just above the threshold all pass; the chance of losing one is 3e-7 each."""
     rng = np.random.default_rng(9)
