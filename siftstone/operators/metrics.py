@@ -317,10 +317,11 @@ def pareto(df: DataFrame, id_col: str, up: list[str], down: list[str]) -> DataFr
         yield pd.DataFrame(kept, columns=names)
 
     kinds = ", ".join(f"{n} double" for n in names)
-    front = cut(df.select(*scores).mapInPandas(fronts, kinds))
+    # Written once: sums of doubles that are computed anew may end in other bits, and rows would miss their own scores.
+    rows = cut(df.withColumns(dict(zip(names, scores, strict=True))))
+    front = cut(rows.select(*names).mapInPandas(fronts, kinds))
     for tasks in (64, 8, 1):
         front = cut(front.coalesce(tasks).mapInPandas(fronts, kinds))
-    rows = df.withColumns(dict(zip(names, scores, strict=True)))
     return rows.join(front, names, "left_semi").select(*df.columns)
 
 
