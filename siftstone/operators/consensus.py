@@ -22,6 +22,8 @@ from .graph import cut
 DENSE = 2_000
 #: Profiles that meta-clustering takes.
 META = 20_000
+#: Rows of a profile in one list.
+MEMBERS = 4_096
 #: Rows of weights up to which they are broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -34,20 +36,27 @@ def _bounded(df: DataFrame) -> DataFrame:
 def coassociation(runs: DataFrame, weights: DataFrame | None = None, id_col: str = "row_id") -> DataFrame:
     """(i, j, c) with i < j: weighted share of runs in which both rows are in one cluster.
 
-    Pairs meet by (run, label). With ``weights`` (run, weight) the weights are
-    scaled to sum 1; otherwise all runs weigh the same.
+    Profiles meet by (run, label), and lists of at most about MEMBERS of their
+    rows by profile: pairs of rows come out of the last step, so none is
+    shuffled, and a condition on ``c`` leaves out profiles. With ``weights``
+    (run, weight) the weights are scaled to sum 1; otherwise all runs weigh the same.
     """
-    rows = runs.select("run", id_col, "label")
+    members, counted = profiles(runs, id_col)
+    rows = counted.select("pid", F.explode("labels").alias("l")).select("pid", "l.run", "l.label")
     if weights is None:
         n = runs.select("run").distinct().count()
         rows = rows.withColumn("w", F.lit(1.0 / max(n, 1)))
     else:
         total = float(weights.agg(F.sum("weight")).first()[0] or 1.0)
         rows = rows.join(_bounded(weights), "run").withColumn("w", F.col("weight") / F.lit(total))
-    rows = rows.where("label <> -1")
-    a = rows.select("run", "label", "w", F.col(id_col).alias("i"))
-    b = rows.select("run", "label", F.col(id_col).alias("j"))
-    return a.join(b, ["run", "label"]).where("i < j").groupBy("i", "j").agg(F.sum("w").alias("c"))
+    a = rows.select("run", "label", "w", F.col("pid").alias("p"))
+    b = rows.select("run", "label", F.col("pid").alias("q"))
+    pairs = a.join(b, ["run", "label"]).where("p <= q").groupBy("p", "q").agg(F.sum("w").alias("c"))
+    ways = F.ceil(F.col("n") / F.lit(MEMBERS)).cast("int")
+    lists = members.join(counted.select("pid", ways.alias("ways")), "pid").groupBy("pid", F.pmod(F.xxhash64(id_col), "ways").alias("part")).agg(F.collect_list(id_col).alias("ids"))
+    met = pairs.join(lists.select(F.col("pid").alias("p"), F.col("ids").alias("a")), "p").join(lists.select(F.col("pid").alias("q"), F.col("ids").alias("b")), "q")
+    met = met.select("p", "q", "c", F.explode("a").alias("i"), "b").select("p", "q", "c", "i", F.explode("b").alias("j"))
+    return met.where("p < q OR i < j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "c")
 
 
 def cosampled_consensus(runs: DataFrame, id_col: str = "row_id") -> DataFrame:
