@@ -41,7 +41,7 @@ def coassociation(runs: DataFrame, weights: DataFrame | None = None, id_col: str
     shuffled, and a condition on ``c`` leaves out profiles. With ``weights``
     (run, weight) the weights are scaled to sum 1; otherwise all runs weigh the same.
     """
-    members, counted = profiles(runs, id_col)
+    members, counted = profiles(runs.select("run", F.col(id_col).alias("_row"), "label"), "_row")  # the ids may be called pid
     rows = counted.select("pid", F.explode("labels").alias("l")).select("pid", "l.run", "l.label")
     if weights is None:
         n = runs.select("run").distinct().count()
@@ -53,7 +53,7 @@ def coassociation(runs: DataFrame, weights: DataFrame | None = None, id_col: str
     b = rows.select("run", "label", F.col("pid").alias("q"))
     pairs = a.join(b, ["run", "label"]).where("p <= q").groupBy("p", "q").agg(F.sum("w").alias("c"))
     ways = F.ceil(F.col("n") / F.lit(MEMBERS)).cast("int")
-    lists = members.join(counted.select("pid", ways.alias("ways")), "pid").groupBy("pid", F.pmod(F.xxhash64(id_col), "ways").alias("part")).agg(F.collect_list(id_col).alias("ids"))
+    lists = members.join(counted.select("pid", ways.alias("ways")), "pid").groupBy("pid", F.pmod(F.xxhash64("_row"), "ways").alias("part")).agg(F.collect_list("_row").alias("ids"))
     met = pairs.join(lists.select(F.col("pid").alias("p"), F.col("ids").alias("a")), "p").join(lists.select(F.col("pid").alias("q"), F.col("ids").alias("b")), "q")
     met = met.select("p", "q", "c", F.explode("a").alias("i"), "b").select("p", "q", "c", "i", F.explode("b").alias("j"))
     return met.where("p < q OR i < j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "c")
