@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, which separates words everywhere in this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
+#: Rows that fill a partition: small tables are read and written in few tasks and files.
+PART_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,6 +29,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def packed(df: DataFrame, rows: int, each: int = PART_ROWS) -> DataFrame:
+    """``df`` of at most ``rows`` rows in no more partitions than these fill, whatever the width of a shuffle is."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)

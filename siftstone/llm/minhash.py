@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .batches import as_texts, map_texts, word_numbers, words
-from .common import cut, discard
+from .common import cut, discard, packed
 from .components import connected_components
 
 #: Rows of a band, and the chance that a pair at the threshold meets in no band.
@@ -40,6 +40,8 @@ BAND_ROWS, MISS = 4, 1e-5
 BITS, DEVIATIONS = 1536, 5
 #: Neighbours on each side in a bucket's sorted orders, and how many of a node's are tried.
 REACH, BEST = 1, 4
+#: Entries of buckets that fill a partition: what is read of a bucket's nodes has one row for each of its bands.
+ENTRIES = 50_000
 #: Ids up to which a set of them is broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 #: Nodes up to which their sketches (about 400 bytes each) are broadcast.
@@ -223,10 +225,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
     the text of a once and that of each b once, so a hub of many pairs is
     neither one task nor shipped with each of them.
     """
+    rows = pairs.count()
     ways = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("ways"))
     dealt = pairs.join(ways, "a").select("a", "b", F.pmod(F.xxhash64("b"), "ways").cast("int").alias("cell"))
     hubs = dealt.select("a", "cell").distinct()
-    roles = cut(dealt.select(F.col("b").alias("id"), "a", "cell", "b").unionByName(hubs.select(F.col("a").alias("id"), "a", "cell", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"))))
+    roles = dealt.select(F.col("b").alias("id"), "a", "cell", "b").unionByName(hubs.select(F.col("a").alias("id"), "a", "cell", F.lit(None).cast(pairs.schema["b"].dataType).alias("b")))
+    roles = cut(packed(roles, 2 * rows))
     met = _of_ids(docs, roles, id_col, text_col).select("a", "cell", "b", "text")
 
     def run(cell: pa.Table) -> pa.Table:
@@ -240,7 +244,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col:
         return pa.table({"a": of, "b": b}).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    out = cut(met.groupBy("a", "cell").applyInArrow(run, f"a {kind}, b {kind}").distinct())
+    out = cut(packed(met.groupBy("a", "cell").applyInArrow(run, f"a {kind}, b {kind}").distinct(), rows))
     discard(roles)
     return out
 
@@ -304,6 +308,7 @@ def confirm_tiles(roles: DataFrame, docs: DataFrame, width: int, percent: int, i
     """The pairs (a, b) of tiles, as ``block_tiles`` gives them, whose full sets have 100 * intersection >= percent * union. Each text goes to a tile once."""
     kind = roles.schema["id"].dataType.simpleString()
     roles = cut(roles)
+    rows = roles.agg(F.sum(F.coalesce(F.size("of"), F.lit(0)))).first()[0] or 0
     met = _of_ids(docs, roles, id_col, text_col).select("tile", "id", "of", "text")
 
     def run(tile: pa.Table) -> pa.Table:
@@ -321,7 +326,7 @@ def confirm_tiles(roles: DataFrame, docs: DataFrame, width: int, percent: int, i
                 b += [k] * len(linked)
         return pa.table({"a": pa.array(a, ids.type), "b": pa.array(b, ids.type)})
 
-    out = cut(met.groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}").distinct())
+    out = cut(packed(met.groupBy("tile").applyInArrow(run, f"a {kind}, b {kind}").distinct(), rows))
     discard(roles)
     return out
 
@@ -346,10 +351,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     bands = band_count(percent, rows)
     every = cut(sketch(docs, width, bands, rows, id_col, text_col))
-    nodes = cut(every.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    total = every.count()
+    nodes = cut(packed(every.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), total))
     entries = nodes.select("digest", "node", "n", "bands", F.posexplode("bands").alias("band", "key")).withColumn("next", F.col("bands")[(F.col("band") + 1) % bands]).drop("bands")
     hubs = entries.groupBy("band", "key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = cut(entries.join(hubs, ["band", "key"]))
+    shared = cut(packed(entries.join(hubs, ["band", "key"]), bands * total, ENTRIES))
 
     def alike(x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
@@ -365,7 +371,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     # Each node meets the hub with which it shares most buckets.
     hub_pairs = shared.where((F.col("node") != F.col("hub.node")) & alike("n", "hub.n")).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    tried = cut(hub_pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"))
+    tried = cut(packed(hub_pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), total))
     links = confirm(tried, docs, width, percent, id_col, text_col)
     found = components(links)
     sketches: list[DataFrame] = []
@@ -375,13 +381,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         rows_ = labelled(shared.select("band", "key", "next", "c", "digest", "node", "n", F.col("hub.node").alias("hub")), found, "node", "comp")
         sizes = rows_.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("k"))
         mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("k", "comp")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "key", F.col("top.comp").alias("top"), F.col("top.k").alias("most"))
-        out = cut(rows_.join(mixed, ["band", "key"]))
+        out = cut(packed(rows_.join(mixed, ["band", "key"]), bands * total, ENTRIES))
         if not sketches:  # later rounds have no buckets that the first has not
             inner = nodes.select("digest", "node", "bands").join(out.select("digest").distinct(), "digest")
             if bits:
-                ids = cut(inner.select(F.col("node").alias("id")).distinct())
+                ids = cut(packed(inner.select(F.col("node").alias("id")).distinct(), total))
                 inner = inner.join(bit_sketch(_of_ids(docs, ids, id_col, text_col), width, bits), "digest")
-            sketches.append(cut(inner.drop("node")))
+            sketches.append(cut(packed(inner.drop("node"), total)))
         return out
 
     def with_sketch(df: DataFrame, digest: str, *names: Column) -> DataFrame:
@@ -438,7 +444,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     for _ in range(2):
         rows_ = inside()
-        fresh = cut(neighbours(rows_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        fresh = cut(packed(neighbours(rows_).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), BEST * total))
         discard(rows_)
         if not fresh.isEmpty():
             links = links.unionByName(confirm(fresh, docs, width, percent, id_col, text_col))

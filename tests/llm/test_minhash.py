@@ -170,3 +170,52 @@ def test_keep_representatives_with_clashing_names(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([r for r in map(tuple, docs.collect()) if r[0] != 2], key=str)
     assert minhash.keep_representatives(docs.limit(0), id_col="gone").count() == 0
+
+
+def test_small_tables_fill_few_partitions_of_a_wide_shuffle(spark, monkeypatch):
+    """What is written has as many partitions as its rows fill, not as many as a shuffle has, and so few files and tasks."""
+    from siftstone.llm import components
+
+    written, cut, wide = [], minhash.cut, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(minhash, "cut", counted)
+    monkeypatch.setattr(components, "cut", counted)
+    rows = varied(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+    before = {k: spark.conf.get(k, None) for k in wide}
+    try:
+        for k, v in wide.items():
+            spark.conf.set(k, v)
+        got = minhash.near_duplicates(docs, 3, 85).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
+    # The sketches have those of the table, the tiles of the last step one for each partition of their blocks.
+    assert len(written) > 10 and max(sorted(written)[:-2]) == 1 and max(written) <= 64, written
+
+
+def test_components_in_several_partitions(spark):
+    from siftstone.llm.components import connected_components
+
+    edges = [(i, i + 1) for i in range(60_000) if i % 7] + [(70_000, i) for i in range(0, 60_000, 2000)]
+    random.Random(5).shuffle(edges)
+    comp = list(range(70_001))
+
+    def find(i):
+        while comp[i] != i:
+            comp[i] = comp[comp[i]]
+            i = comp[i]
+        return i
+
+    for u, v in edges:
+        u, v = find(u), find(v)
+        comp[max(u, v)] = min(u, v)
+    got = connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(got) == len({r.id for r in got})
+    assert {r.id: r.component for r in got} == {i: find(i) for i in {x for e in edges for x in e} if find(i) != i}
