@@ -110,3 +110,39 @@ def test_matrices_written_and_read(spark, tmp_path):
     (row,) = spark.read.parquet(str(tmp_path / "m")).collect()
     assert row.doc_ids == [1] and row.n_tokens == 2
     assert packing.token_matrices(frame.limit(0), PATH).count() == 0
+
+
+def test_letters_and_closing_punctuation_take_the_short_way():
+    """Words of letters are learnt without special tokens between them, closing punctuation apart; the ids are those of whole texts."""
+    import random
+
+    import pyarrow as pa
+
+    from siftstone.llm import tokens
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeghilmnorstuzéßñÉжλ字ǅ") for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    ends = ["", "", "", ".", "!!", ".%%%", ",$$$", "&&&", "?)", "'", "'s", "…", "×!!", "<|endoftext|>", "<|endoftext|>.", "|>", "_", "\u0301", "\u0301!!", "=\u0338", "1", "1;"]
+    texts = [" ".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randint(0, 80))) for _ in range(120)]
+    encoder = tokens.Encoder(PATH, 2)
+    assert {"!", "%", "&"} <= set(encoder.points) and not set("'<|>") & set(encoder.points) and encoder.splits_ends
+    handed = []
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, batch, **options):
+            handed.extend(batch)
+            return self.inner.encode_batch_fast(batch, **options)
+
+    encoder.tokenizer = Spy(encoder.tokenizer)
+    ids, at = encoder.encode(pa.array(texts))
+    plain = Tokenizer.from_file(PATH)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [2], t
+    assert any(t.replace(" ", "").isalpha() for t in handed)
+    assert "!!" in encoder.number and not any(w[0].isalpha() and w.endswith("&&&") and w[:-3].isascii() for w in encoder.number)
