@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from . import cutting_stock
 from . import tokens as token_ids
-from .batches import as_texts, spans
+from .batches import as_texts, release, spans
 from .common import cut, shuffle_width
 
 #: Bytes of text that are encoded at once: more than elsewhere, as a word is looked up once in each slice.
@@ -54,6 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int | Non
                     [batch.column(0).slice(a, b - a).take(pa.array(row)), *[pa.array(v, pa.int64()) for v in (start, size, crc, sizes[row])]],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+        release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES.format(id=kind.simpleString()))
 
