@@ -54,6 +54,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int | Non
                     [batch.column(0).slice(a, b - a).take(pa.array(row)), *[pa.array(v, pa.int64()) for v in (start, size, crc, sizes[row])]],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
+                release()  # what a slice needed besides its ids would else stay with the worker
         release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES.format(id=kind.simpleString()))

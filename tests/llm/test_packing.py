@@ -146,3 +146,41 @@ def test_letters_and_closing_punctuation_take_the_short_way():
         assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [2], t
     assert any(t.replace(" ", "").isalpha() for t in handed)
     assert "!!" in encoder.number and not any(w[0].isalpha() and w.endswith("&&&") and w[:-3].isascii() for w in encoder.number)
+
+
+def test_memory_of_a_slice_is_given_back_before_the_next(spark, monkeypatch):
+    """Between slices a worker holds no memory that it could give back."""
+    import random
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from siftstone.llm.batches import release
+
+    smaps = Path("/proc/self/smaps_rollup")
+    if not smaps.exists():
+        pytest.skip("memory can't be read here")
+
+    def mb():
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", smaps.read_text())[1]) / 1024
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60_000)]
+    ids = pa.array(range(100), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array([" ".join(rng.choices(words, k=20_000)) for _ in range(100)])], ["doc_id", "text"])
+    held = []
+
+    def batches():
+        for _ in range(3):
+            release()
+            yield batch
+            before = mb()
+            release()
+            held.append(before - mb())
+
+    frame = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: run)
+    out = list(packing.token_pieces(frame, PATH, 4096, 2)(batches()))
+    assert sum(sum(b.column("length").to_pylist()) for b in out) == sum(b.column("doc_tokens").to_numpy()[b.column("start").to_numpy() == 0].sum() for b in out) > 0
+    assert max(held) < 10, held
